@@ -79,12 +79,22 @@ def ordered_distinct(arr: Column, limit: int | None = None) -> Column:
     return F.slice(out, 1, limit) if limit is not None else out
 
 
-def distinct_by_canon(arr: Column, limit: int | None = None) -> Column:
-    """First element of every canonical key, in order. One pass with a map of seen keys would be
-    quadratic in SQL too, so keys are made distinct first and the first spelling is looked up."""
-    keys = F.transform(arr, canon)
-    wanted = F.array_distinct(F.filter(keys, lambda k: k != ""))
-    out = F.transform(wanted, lambda k: F.element_at(arr, F.array_position(keys, k).cast("int")))
+def let(value: Column, body) -> Column:
+    """Bind an expression once for use inside `body`; a lambda body would otherwise evaluate it per element."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def distinct_by_canon(arr: Column, limit: int | None = None, key=None) -> Column:
+    """First element of every non-empty key, in order: sort by (key, position), keep group heads, restore order."""
+    key = key or canon
+
+    def heads(a: Column) -> Column:
+        kept = F.filter(a, lambda x, i: (x["k"] != "") & ((i == 0) | (F.get(a, i - 1)["k"] != x["k"])))
+        back = F.array_sort(F.transform(kept, lambda x: F.struct(x["i"].alias("i"), x["v"].alias("v"))))
+        return F.transform(back, lambda x: x["v"])
+
+    keyed = F.array_sort(F.transform(arr, lambda x, i: F.struct(key(x).alias("k"), i.alias("i"), x.alias("v"))))
+    out = let(keyed, heads)
     return F.slice(out, 1, limit) if limit is not None else out
 
 

@@ -141,7 +141,8 @@ def stage_tables(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
         F.initcap("c_mktsegment").alias("role"),
         F.when(k % 17 == 8, "").otherwise(F.split_part("c_name", F.lit("#"), F.lit(1))).alias("focus"),
         F.when(k % 19 == 9, "").otherwise(
-            F.concat(F.lit("k"), (k % 4).cast("string"), F.lit(", K"), (k % 6).cast("string"), F.lit(" / Customer"))).alias("keywords"),
+            F.concat(F.lit("k"), (k % 4).cast("string"), F.lit(", K"), (k % 6).cast("string"),
+                     F.when(k % 5 == 2, " / Customer").otherwise(" / Part"))).alias("keywords"),
         F.when(k % 23 == 3, "sum").otherwise(F.concat(F.lit("summary "), F.lower("c_mktsegment"))).alias("summary"),
         F.col("c_nationkey").cast("string").alias("company"), F.col("c_name").alias("title"),
         F.when(F.col("c_acctbal") > 5000, F.concat(F.lit("llm platform "), F.col("c_mktsegment")))
@@ -166,7 +167,7 @@ stage1 AS (
     CASE WHEN c_custkey % 13 = 6 THEN '' ELSE CAST(c_nationkey AS VARCHAR) END AS change_hash,
     upper(substring(c_mktsegment, 1, 1)) || lower(substring(c_mktsegment, 2)) AS role,
     CASE WHEN c_custkey % 17 = 8 THEN '' ELSE split_part(c_name, '#', 1) END AS focus,
-    CASE WHEN c_custkey % 19 = 9 THEN '' ELSE 'k' || (c_custkey % 4) || ', K' || (c_custkey % 6) || ' / Customer' END AS keywords,
+    CASE WHEN c_custkey % 19 = 9 THEN '' ELSE 'k' || (c_custkey % 4) || ', K' || (c_custkey % 6) || CASE WHEN c_custkey % 5 = 2 THEN ' / Customer' ELSE ' / Part' END END AS keywords,
     CASE WHEN c_custkey % 23 = 3 THEN 'sum' ELSE 'summary ' || lower(c_mktsegment) END AS summary,
     CAST(c_nationkey AS VARCHAR) AS company, c_name AS title,
     CASE WHEN c_acctbal > 5000 THEN 'llm platform ' || c_mktsegment WHEN c_acctbal < 0 THEN 'crm growth dashboard'
