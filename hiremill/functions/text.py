@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable, Mapping, Sequence
 
 from pyspark.sql import Column
@@ -112,15 +113,37 @@ def split_terms(c: str | Column) -> Column:
 
 
 def family(patterns: Sequence[str], ignore_case: bool = True) -> str:
-    """One alternation per pattern family; Unicode classes so that word borders see Hangul."""
+    """One alternation per pattern family; Unicode classes so that word borders see Hangul.
+
+    When every pattern starts at the beginning, the anchor is written once, so a search gives up after one try.
+    """
     flags = "(?iU)" if ignore_case else "(?U)"
+    if patterns and all(p.startswith("^") and "|^" not in p for p in patterns):
+        return flags + "^(?:" + "|".join(f"(?:{p[1:]})" for p in patterns) + ")"
     return flags + "(?:" + "|".join(f"(?:{p})" for p in patterns) + ")"
 
 
+def literal_alternatives(pattern: str) -> list[str] | None:
+    """The words of a pattern that is nothing but `a|b|c`; None for a real regular expression."""
+    body = pattern[1:-1] if pattern.startswith("(") and pattern.endswith(")") and pattern.count("(") == 1 else pattern
+    parts = body.split("|")
+    return parts if all(p and re.fullmatch("[0-9A-Za-z가-힣 /&·_-]+", p) for p in parts) else None
+
+
 def matches(c: Column, patterns: Sequence[str], ignore_case: bool = True) -> Column:
-    if not patterns:
-        return F.lit(False)
-    return c.rlike(family(patterns, ignore_case))
+    """Does any pattern occur? Literal alternatives become substring tests, which are far cheaper than a regex scan."""
+    words, rest = [], []
+    for p in patterns:
+        lits = literal_alternatives(p)
+        if lits is None:
+            rest.append(p)
+        else:
+            words += lits
+    out = c.rlike(family(rest, ignore_case)) if rest else F.lit(False)
+    if words:
+        found = let(F.lower(c), lambda x: contains_any(x, [w.lower() for w in words])) if ignore_case else contains_any(c, words)
+        out = found | out
+    return out
 
 
 def hit_count(text: Column, terms: Sequence[str]) -> Column:

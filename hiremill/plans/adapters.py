@@ -34,7 +34,7 @@ def posting_doc(spark: SparkSession, sf: str) -> DataFrame:
         F.concat(F.coalesce("event_type", F.lit("")), F.when(n % 3 == 0, F.concat(F.lit("/"), F.col("source"))).otherwise("")).alias("focus"),
         F.concat_ws(" / ", "event_type", "lang").alias("group_summary"),
         F.col("text").alias("detail_body"),
-        non_blank(F.transform(F.split("text", "\n"), F.trim)).alias("tasks"),
+        non_blank(F.transform(F.split("text", "\n"), lambda x: F.trim(x))).alias("tasks"),
         ordered_distinct(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{6,}"), F.lit(0))).alias("skills"),
         (F.coalesce("value", F.lit(0.0)) >= 10).alias("active"),
         F.coalesce(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss"), F.lit("")).alias("first_seen_at"),

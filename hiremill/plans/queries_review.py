@@ -251,7 +251,7 @@ def c13(spark, sf):
 
 # Rule families made of words that occur in the stage tables.
 SMALL = StageRules(
-    roles=tuple(STAGE_ROLES), analyst_roles=("Building",), ai_roles=("Machinery", "Automobile"), noise_terms=("Customer",),
+    roles=tuple(STAGE_ROLES), analyst_roles=("Building",), ai_roles=("Machinery", "Automobile"), noise_terms=("K5",),
     deeptech=(r"\bllm\b",), business_context=(r"\bcrm\b", "growth"), business_dominance=("k3",), data_titles=("[13579]$",),
     analytics_titles=("7$",), ai_dominance=(r"\bllm\b", "#0000000[0-4]"), clinical=("clinical", "0005"))
 
@@ -282,7 +282,7 @@ vissue AS (SELECT *, list_filter([
     CASE WHEN focus = '' THEN {'c': 'missing_focus', 's': 'medium'} END,
     CASE WHEN summary = '' THEN {'c': 'missing_group_summary', 's': 'medium'} END,
     CASE WHEN len(terms) = 0 THEN {'c': 'missing_keywords', 's': 'medium'} END,
-    CASE WHEN lower(focus) = 'customer' OR list_contains(list_transform(terms, lambda x: lower(x)), 'customer') THEN {'c': 'noise_keyword', 's': 'high'} END,
+    CASE WHEN lower(focus) = 'k5' OR list_contains(list_transform(terms, lambda x: lower(x)), 'k5') THEN {'c': 'noise_keyword', 's': 'high'} END,
     CASE WHEN focus <> '' AND list_contains(list_transform(terms, lambda x: lower(x)), lower(focus)) THEN {'c': 'duplicate_signal', 's': 'medium'} END,
     CASE WHEN role = 'Building' AND regexp_matches(txt, 'clinical|0005') THEN {'c': 'clinical_scientist_as_analyst', 's': 'high'} END,
     CASE WHEN role = 'Building' AND regexp_matches(txt, '(^|[^a-z0-9])llm([^a-z0-9]|$)') THEN {'c': 'deeptech_as_analyst', 's': CASE WHEN bd THEN 'medium' ELSE 'high' END} END,
