@@ -36,17 +36,18 @@ def explode_labels(df: DataFrame, keys: Sequence[str], arr: str | Column, ord_co
     return df.select(*keys, F.col(ord_col).alias("ord"), F.posexplode(arr).alias("pos", "label"))
 
 
+def place(ord_col: str = "ord", pos: str = "pos") -> Column:
+    """(ordinal, position) as one number, so that `min` finds the first place in a hash aggregate."""
+    return F.col(ord_col).cast("decimal(20,0)") * F.lit(1_000_000_000).cast("decimal(10,0)") + F.col(pos)
+
+
 def label_counts(long: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Occurrences per label with the place it was first seen (breaks ties as a counter would)."""
-    return long.groupBy(*keys, "label").agg(
-        F.count(F.lit(1)).alias("n"),
-        F.min("ord").alias("first_ord"),
-        F.min_by("pos", "ord").alias("first_pos"),
-    )
+    return long.groupBy(*keys, "label").agg(F.count(F.lit(1)).alias("n"), F.min(place()).alias("first_place"))
 
 
 def count_order() -> list[Column]:
-    return [F.col("n").desc(), F.col("first_ord"), F.col("first_pos")]
+    return [F.col("n").desc(), F.col("first_place")]
 
 
 def top_labels(long: DataFrame, keys: Sequence[str], k: int) -> DataFrame:
