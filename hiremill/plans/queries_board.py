@@ -489,3 +489,16 @@ def h11(spark, sf):
     _, m = part_pairs(spark, sf)
     b = H.semantic_bundles(m, 12, PAIR_RULES)
     return H.bundle_health(rows, m, b)
+
+
+@query("h12_build_board")
+def h12(spark, sf):
+    from hiremill.operators.board import BoardPlan, build_board
+
+    args, rules = QT.board_inputs(spark, sf)
+    parts = build_board(*args, plan=BoardPlan(rules=rules, themes=THEME_RULES, pairs=DOC_PAIR_RULES, tones=TONES))
+    out = None
+    for name, df in parts.items():
+        one = df.agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("part"), "n")
+        out = one if out is None else out.unionByName(one)
+    return out

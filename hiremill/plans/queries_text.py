@@ -399,7 +399,8 @@ def b14(spark, sf):
     return S.normalize_model_items(twice, SIG).select("id", "role", "summary", "focus_label", "quality", join_list("keywords").alias("keywords"))
 
 
-def board_rows(spark, sf):
+def board_inputs(spark, sf):
+    """Postings, stored summaries, scope and role overrides, and the small rule set."""
     p = posting_doc(spark, sf)
     n = F.col("n_chars")
     summ = p.where(n % 7 != 0).select("id", "role", "summary", "focus_label", "keywords", "quality")
@@ -408,7 +409,12 @@ def board_rows(spark, sf):
     ro = p.where(n % 5 == 0).select("id", F.lit("fr").alias("role"), F.lit("").alias("signature"), F.lit("high").alias("confidence"))
     rules = K.BoardRules(display=DISPLAY, signals=SIG, roles=ROLE_RULES, scope=SCOPE, terms=TERMS, engineer_roles=("en",), business=("view",))
     sig_rows = S.match_signals(cleaned(spark, sf), SIG).select("id", *SIG_COLS, "role_signals")
-    return K.build_base_rows(p.drop("summary", "quality", "focus_label", "keywords"), summ.join(sig_rows, "id"), so, ro, rules)
+    return (p.drop("summary", "quality", "focus_label", "keywords"), summ.join(sig_rows, "id"), so, ro), rules
+
+
+def board_rows(spark, sf):
+    args, rules = board_inputs(spark, sf)
+    return K.build_base_rows(*args, rules)
 
 
 @query("b13_build_base_rows")
