@@ -12,9 +12,18 @@ from hiremill.functions.text import non_blank, null_if_blank, ordered_distinct
 from hiremill.plans.base import table
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Spreads an input that sits in fewer splits than there are cores; larger inputs are left as they are read.
+
+    The key is the one the view joins on next, so the exchange also serves those joins.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
+
+
 def posting_doc(spark: SparkSession, sf: str) -> DataFrame:
     """Documents as postings: source = company, language = role, lines = tasks, long words = skills."""
-    docs = table(spark, sf, "documents")
+    docs = spread(table(spark, sf, "documents"), "doc_id")
     labels = table(spark, sf, "labels").select("doc_id", "quality", "toxic")
     events = table(spark, sf, "events").select(
         F.col("event_id").alias("doc_id"), "ts", "event_type", "value")

@@ -10,6 +10,7 @@ from hiremill.operators import validate as D
 from hiremill.operators.validate import RepairRules, StageRules
 from hiremill.plans.adapters import POSTING_SQL, SNAP_SQL, STAGE_ROLES, STAGE_SQL, posting_doc, snapshots, stage_tables
 from hiremill.plans.base import query, table
+from hiremill.session import checkpointed
 
 SNAP_COLS = ["company", "role", "title", "last_seen_at"]
 DELTA_SQL = SNAP_SQL + """,
@@ -384,7 +385,8 @@ UNION ALL SELECT 11, 'candidateKeysUnique', '0', '0', true UNION ALL SELECT 12,
 UNION ALL SELECT 13, 'deployRolesAllowed', dr || '', '0', dr = 0 FROM m""")
 def d6(spark, sf):
     s1, s2 = stage_tables(spark, sf)
-    c = candidates(spark, sf)
+    # Candidates are a table of their own between validation and gate; several counts read it.
+    c = checkpointed(candidates(spark, sf))
     return D.release_gate(c, D.deployable_rows(c), D.validation_report(c, s1, s2), roles=STAGE_ROLES)
 
 
