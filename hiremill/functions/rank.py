@@ -15,6 +15,8 @@ Cols = Sequence[str | Column]
 
 
 def top_k(df: DataFrame, keys: Cols, order: Cols, k: int, rank: str = "rank") -> DataFrame:
+    """The k first rows of every key. Spark cuts each task's rows to k before the shuffle while k stays within
+    `spark.sql.optimizer.windowGroupLimitThreshold` (1000); raise that setting for larger samples."""
     w = Window.partitionBy(*keys).orderBy(*order)
     return df.withColumn(rank, F.row_number().over(w)).where(F.col(rank) <= k)
 

@@ -173,5 +173,12 @@ def join_list(arr: str | Column, sep: str = "|") -> Column:
     return F.array_join(lst(arr), sep)
 
 
+def epoch_seconds(c: str | Column) -> Column:
+    """Seconds since 1970 of an ISO text, 0 when it does not parse; texts without an offset are UTC, whatever the session's zone."""
+    x = strip(c)
+    zoned = F.when(F.length(x) == 10, F.concat(x, F.lit("T00:00:00Z"))).when(x.rlike("(Z|[+-]\\d{2}:?\\d{2})$"), x).otherwise(F.concat(x, F.lit("Z")))
+    return F.coalesce(F.unix_timestamp(F.try_to_timestamp(F.when(x != "", zoned))), F.lit(0))
+
+
 def at(arr: Column, i: int = 1) -> Column:
     return F.get(arr, i - 1)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from hiremill.functions.rank import count_if, explode_labels, first_per, gathered, label_counts, melt, place, ratio, top_k
 from hiremill.functions.terms import TERMS, TermRules, board_focus, ends_with, non_generic_filter, unique_non_generic
-from hiremill.functions.text import (at, canon, compact, distinct_by_canon, empty_list, is_in, let, lit_list, lit_map, lst, non_blank,
+from hiremill.functions.text import (at, canon, compact, distinct_by_canon, empty_list, epoch_seconds, is_in, let, lit_list, lit_map, lst, non_blank,
                                      ordered_distinct, s, squeeze)
 from hiremill.operators.signals import CATEGORIES, canon_py, flat
 from hiremill.rules import board as BR
@@ -392,7 +392,7 @@ def semantic_bundles(members: DataFrame, k: int = 12, r: PairRules = PAIRS) -> D
 
 def bundle_evidence(bundles: DataFrame, members: DataFrame, profiles: DataFrame, k: int = 7) -> DataFrame:
     """Evidence terms of the chosen bundles: the pair's own spelling, then the ten most frequent profile terms."""
-    m = members.join(F.broadcast(bundles.select("grp", "pair")), ["grp", "pair"], "left_semi")
+    m = members.join(bundles.select("grp", "pair"), ["grp", "pair"], "left_semi")
     top = top_k(pair_term_counts(m, profiles), ["grp", "pair"], [F.col("n").desc(), "first_place"], 10)
     terms = gathered(top, ["grp", "pair"], "terms")
     j = bundles.join(terms, ["grp", "pair"], "left")
@@ -496,7 +496,7 @@ def related_postings(rows: DataFrame, t: TermRules = TERMS, k: int | None = None
     """
     sig = connection_signals(rows, t)
     rich = sig.groupBy("id").agg(F.sum("weight").alias("richness"))
-    seen = F.coalesce(F.unix_timestamp(F.try_to_timestamp(F.nullif(s("last_seen_at"), F.lit("")))), F.lit(0))
+    seen = epoch_seconds("last_seen_at")
     base = rows.select("id", s("cluster_id").alias("cluster_id"), "company", "title", "focus_label", "role", "quality", "active", seen.alias("seen")).join(rich, "id", "left")
     base = base.withColumn("richness", F.coalesce("richness", F.lit(0)))
     order = [F.col("richness").desc(), F.col("active").desc(), "seen", F.lower(squeeze("company")).desc(), F.lower(squeeze("title")).desc(), F.col("id")]

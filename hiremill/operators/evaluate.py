@@ -76,7 +76,7 @@ def metric_diff(metrics: DataFrame, baseline: str, run: str = "run") -> DataFram
     """Long metrics (run, [dataset], metric, value): every other run minus the baseline."""
     keys = [c for c in ("dataset", "metric") if c in metrics.columns]
     b = metrics.where(F.col(run) == baseline).select(*keys, F.col("value").alias("base"))
-    return metrics.where(F.col(run) != baseline).join(F.broadcast(b), keys).select(run, *keys, F.bround(F.col("value") - F.col("base"), 4).alias("diff"))
+    return metrics.where(F.col(run) != baseline).join(b, keys).select(run, *keys, F.bround(F.col("value") - F.col("base"), 4).alias("diff"))
 
 
 def sentence_like(x: Column, endings: Sequence[str] = tuple(EV.SENTENCE_ENDINGS)) -> Column:
@@ -149,7 +149,7 @@ def non_regression_gate(metrics: DataFrame, baseline: str, checks: Sequence[tupl
         cond = F.when(hit, direction).otherwise(cond)
     m = metrics.withColumn("direction", cond).where("direction IS NOT NULL")
     b = m.where(F.col("run") == baseline).select("dataset", "metric", F.col("value").alias("base"))
-    j = m.where(F.col("run") != baseline).join(F.broadcast(b), ["dataset", "metric"])
+    j = m.where(F.col("run") != baseline).join(b, ["dataset", "metric"])
     ok = F.when(F.col("direction") == "min", F.col("value") >= F.col("base")).otherwise(F.col("value") <= F.col("base"))
     return j.withColumn("ok", ok).groupBy("run").agg(F.bool_and("ok").alias("passed"), count_if(~F.col("ok")).alias("failed_checks"))
 
@@ -286,7 +286,7 @@ def metric_samples(flags: DataFrame, k: int = 10) -> DataFrame:
 
 def target_score(metrics: DataFrame, targets: DataFrame) -> DataFrame:
     """Per-metric fraction and pass flag. targets: metric, comparator (max|min), target, weight."""
-    j = metrics.select("metric", F.col("value").alias("actual")).join(F.broadcast(targets), "metric")
+    j = metrics.select("metric", F.col("value").alias("actual")).join(targets, "metric")
     a, t = F.col("actual"), F.col("target")
     clip = lambda x: F.greatest(F.lit(0.0), F.least(x, F.lit(1.0)))
     top = F.when(t <= 0, F.when(a <= 0, 1.0).otherwise(0.0)).when(a <= t, 1.0).otherwise(clip(F.try_divide(t, a)))

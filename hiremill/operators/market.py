@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from hiremill.functions.rank import count_if, count_order, gathered, label_counts, melt, place, top_k
 from hiremill.functions.terms import TERMS, TermRules, unique_non_generic
-from hiremill.functions.text import (at, canon, compact, contains_any, distinct_by_canon, empty_list, is_in, let, lit_map, lst, non_blank, ordered_distinct,
+from hiremill.functions.text import (at, canon, compact, contains_any, distinct_by_canon, empty_list, epoch_seconds, is_in, let, lit_map, lst, non_blank, ordered_distinct,
                                      s, squeeze)
 from hiremill.operators.aggregate import facet_rows, top_facets
 from hiremill.operators.signals import CATEGORIES, flat
@@ -214,7 +214,7 @@ def order_keys(role: str = "role_group", roles: Sequence[str] = tuple(R.ROLE_ORD
     rank = F.lit(len(roles))
     for i, x in reversed(list(enumerate(roles))):
         rank = F.when(F.col(role) == x, i).otherwise(rank)
-    seen = F.coalesce(F.unix_timestamp(F.try_to_timestamp(F.nullif(s("last_seen_at"), F.lit("")))), F.lit(0))
+    seen = epoch_seconds("last_seen_at")
     return [(~F.col("active")).cast("int"), rank, F.when(rank == len(roles), s(role)).otherwise(""), -seen, F.lower(squeeze("company")), F.lower(squeeze("title")), F.col("id")]
 
 

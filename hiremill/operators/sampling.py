@@ -32,7 +32,7 @@ def stratified_round_robin(rows: DataFrame, target: int) -> DataFrame:
     size = keyed.groupBy(*bucket).agg(F.count(F.lit(1)).alias("n"))
     # One row per bucket; the number of buckets is that of the label combinations.
     ranks = top_k(size, ["quality"], ["n", "role_group", "cluster_id", F.when(F.col("active"), "active").otherwise("inactive")], 1_000_000, "bucket_rank")
-    turns = top_k(keyed, bucket, row_order(), target, "turn").join(F.broadcast(ranks.select(*bucket, "bucket_rank")), bucket)
+    turns = top_k(keyed, bucket, row_order(), target, "turn").join(ranks.select(*bucket, "bucket_rank"), bucket)
     counts = size.agg(F.sum("n").alias("total"), *[F.coalesce(F.sum(F.when(F.col("quality") == q, F.col("n"))), F.lit(0)).alias(q) for q in ("high", "medium", "low")])
     goal = F.least(F.lit(max(target, 1)), F.col("total"))
     counts = counts.withColumn("goal", goal)

@@ -112,9 +112,9 @@ def e11(spark, sf):
     return M.label_snapshot(p, p.where("active"), ["click", "view", "error"], ["view"])
 
 
-@query("e11_top_focus", "WITH " + POSTING_SQL + " SELECT row_number() OVER (ORDER BY n DESC, o) AS rank, label, n FROM (SELECT focus_label AS label, count(*) AS n, min(ord) AS o FROM posting WHERE focus_label <> '' GROUP BY 1) QUALIFY rank <= 3")
+@query("e11_top_focus", "WITH " + POSTING_SQL + " SELECT row_number() OVER (ORDER BY n DESC, o) AS rank, label, n FROM (SELECT focus_label AS label, count(*) AS n, min(ord) AS o FROM posting WHERE focus_label <> '' GROUP BY 1) QUALIFY rank <= 15")
 def e11t(spark, sf):
-    return M.top_focus(posting_doc(spark, sf), 3)
+    return M.top_focus(posting_doc(spark, sf))
 
 
 def review_flags(spark, sf):
@@ -151,15 +151,12 @@ def e13(spark, sf):
 
 
 @query("e14_base_order", "WITH " + POSTING_SQL + """
-SELECT id, row_number() OVER (ORDER BY CASE WHEN active THEN 0 ELSE 1 END, CASE role WHEN 'fr' THEN 0 WHEN 'en' THEN 1 ELSE 2 END, CASE WHEN role IN ('fr', 'en') THEN '' ELSE role END,
-  -coalesce(epoch(TRY_CAST(nullif(last_seen_at, '') AS TIMESTAMP)), 0), lower(company), lower(trim(regexp_replace(title, '\\s+', ' ', 'g'))), id) AS position FROM posting ORDER BY position LIMIT 100""")
+SELECT id, CASE WHEN active THEN 0 ELSE 1 END AS k0, CASE role WHEN 'fr' THEN 0 WHEN 'en' THEN 1 ELSE 2 END AS k1, CASE WHEN role IN ('fr', 'en') THEN '' ELSE role END AS k2,
+  -coalesce(CAST(epoch(TRY_CAST(nullif(last_seen_at, '') AS TIMESTAMP)) AS BIGINT), 0) AS k3, lower(company) AS k4, lower(trim(regexp_replace(title, '\\s+', ' ', 'g'))) AS k5 FROM posting""")
 def e14(spark, sf):
-    # The first hundred places of the order are the report; ranking them afterwards touches a hundred rows.
-    top = M.base_order(posting_doc(spark, sf), "role", ["fr", "en"]).limit(100)
-    keyed = top.select("id", F.lit(1).alias("one"), *[k.alias(f"k{i}") for i, k in enumerate(M.order_keys("role", ["fr", "en"]))])
-    from hiremill.functions.rank import top_k
-
-    return top_k(keyed, ["one"], [f"k{i}" for i in range(7)], 100, "position").select("id", F.col("position").cast("bigint").alias("position"))
+    # The whole table in board order with the keys it is ordered by.
+    ordered = M.base_order(posting_doc(spark, sf), "role", ["fr", "en"])
+    return ordered.select("id", *[k.alias(f"k{i}") for i, k in enumerate(M.order_keys("role", ["fr", "en"])[:6])])
 
 
 @query("e15_distribution", "WITH " + POSTING_SQL + """
@@ -303,14 +300,14 @@ def h3(spark, sf):
 
 
 @query("h3_best_overlap_cluster", "WITH " + POSTING_SQL + """,
-c AS (SELECT DISTINCT company, unnest(keywords) AS term FROM posting WHERE n_chars % 10 = 0), k AS (SELECT DISTINCT role, unnest(keywords) AS term FROM posting WHERE n_chars % 10 = 1),
+c AS (SELECT DISTINCT company, unnest(keywords) AS term FROM posting), k AS (SELECT DISTINCT role, unnest(keywords) AS term FROM posting),
 h AS (SELECT company, role AS cluster_id, count(*) AS overlap FROM c JOIN k USING (term) GROUP BY ALL)
 SELECT * FROM h QUALIFY row_number() OVER (PARTITION BY company ORDER BY overlap DESC, CASE cluster_id WHEN 'de' THEN 1 WHEN 'en' THEN 2 WHEN 'es' THEN 3 ELSE 4 END) = 1""")
 def h3o(spark, sf):
     p = posting_doc(spark, sf)
     flat = lambda df, key: df.select(key, F.explode("keywords").alias("t")).distinct().groupBy(key).agg(F.collect_list("t").alias("keywords"))
-    k = flat(p.where("n_chars % 10 = 1"), "role").select(F.col("role").alias("id"), "keywords", F.when(F.col("role") == "de", 1).when(F.col("role") == "en", 2).when(F.col("role") == "es", 3).otherwise(4).alias("ord"))
-    return H.best_overlap_cluster(flat(p.where("n_chars % 10 = 0"), "company"), k)
+    k = flat(p, "role").select(F.col("role").alias("id"), "keywords", F.when(F.col("role") == "de", 1).when(F.col("role") == "en", 2).when(F.col("role") == "es", 3).otherwise(4).alias("ord"))
+    return H.best_overlap_cluster(flat(p, "company"), k)
 
 
 VEC_SQL = POSTING_SQL + """,
