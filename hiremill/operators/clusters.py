@@ -382,7 +382,7 @@ def semantic_bundles(members: DataFrame, k: int = 12, r: PairRules = PAIRS) -> D
         step = checkpointed(best.withColumn("position", F.lit(i).cast("bigint")))
         if step.isEmpty():
             break
-        chosen = step if chosen is None else checkpointed(chosen.unionByName(step))
+        chosen = step if chosen is None else chosen.unionByName(step)
     if chosen is None:
         chosen = cand.withColumns({"new_postings": F.lit(0).cast("bigint"), "diversity": F.lit(0.0), "position": F.lit(0).cast("bigint")}).where(F.lit(False))
     conf = F.least(F.lit(0.95), 0.42 + F.least(F.col("postings"), F.lit(14)) * 0.026 + F.least(F.col("companies"), F.lit(10)) * 0.025

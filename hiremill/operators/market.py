@@ -77,10 +77,10 @@ def tone_legend(rows: DataFrame, stored: DataFrame | None = None, tones: Sequenc
     hit = F.array_distinct(F.transform("_t", lambda x: x["tone"]))
     text = F.concat_ws(" ", "role", "summary", F.array_join("previews", " "))
     df = df.withColumn("_tones", F.when(F.size("_t") > 0, hit).otherwise(F.array_compact(F.array(tone_of(text, tones)))))
-    counts = df.select(F.explode("_tones").alias("tone")).groupBy("tone").agg(F.count(F.lit(1)).alias("n"))
-    words = df.select(F.explode("_t").alias("t")).groupBy(F.col("t.tone").alias("tone"), F.col("t.label").alias("label")).agg(F.count(F.lit(1)).alias("c"))
+    counts = df.select(F.explode(F.array_compact("_tones")).alias("tone")).groupBy("tone").agg(F.count(F.lit(1)).alias("n"))
+    words = df.select(F.explode(F.array_compact("_t")).alias("t")).groupBy(F.col("t.tone").alias("tone"), F.col("t.label").alias("label")).agg(F.count(F.lit(1)).alias("c"))
     kws = gathered(top_k(words, ["tone"], [F.col("c").desc(), "label"], k), ["tone"], "keywords")
-    lines = df.select(F.explode("_tones").alias("tone"), "ord", non_blank(F.transform(F.concat(F.array("summary"), "previews"), squeeze)).alias("l"))
+    lines = df.select(F.explode(F.array_compact("_tones")).alias("tone"), "ord", non_blank(F.transform(F.concat(F.array("summary"), "previews"), squeeze)).alias("l"))
     long = lines.select("tone", "ord", F.posexplode("l").alias("pos", "label")).withColumn("facet", F.lit("sample"))
     samples = first_seen_lists(long, ["tone"], {"sample": 3})
     base = rows.sparkSession.range(1).select(F.explode(F.array(*[F.struct(F.lit(i).cast("bigint").alias("position"), F.lit(t).alias("tone")) for i, (t, _) in enumerate(tones, 1)])).alias("x")).select("x.*")

@@ -61,7 +61,7 @@ def deploy_overlay(source: DataFrame, deploy: DataFrame, fields: Mapping[str, st
 
 
 def overlay_counts(overlaid: DataFrame) -> DataFrame:
-    return overlaid.select(F.explode("changed_fields").alias("field")).groupBy("field").agg(F.count(F.lit(1)).alias("n"))
+    return overlaid.select(F.explode(F.array_compact("changed_fields")).alias("field")).groupBy("field").agg(F.count(F.lit(1)).alias("n"))
 
 
 def override_applies(kind: str, roles: Sequence[str]) -> Column:

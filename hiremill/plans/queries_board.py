@@ -388,7 +388,13 @@ def h7(spark, sf):
 DOC_PAIR_RULES = H.PairRules(terms=PLAIN, noise=("error",), aliases={}, axis_skills=("thtion", "attion", "ertion", "inoran", "hehely", "orantion", "thatin", "ononst", "thanea", "eriner"), templates=(), thesis="%s with %s")
 
 
-@query("h7_document_pairs")
+@query("h7_document_pairs", "WITH " + POSTING_SQL + """,
+dp0 AS (SELECT id, ord, company, active, list_distinct(list_filter([event_type, role], lambda x: x NOT IN ('', 'error'))) AS axs, list_filter([event_type, role], lambda x: x NOT IN ('', 'error')) AS ax,
+  list_filter(list_filter(skills, lambda x: length(x) <= 24)[1:12], lambda x: x IN ('thtion', 'attion', 'ertion', 'inoran', 'hehely', 'orantion', 'thatin', 'ononst', 'thanea', 'eriner')) AS sk FROM posting),
+dp1 AS (SELECT id, ord, company, active, CASE WHEN len(ax) = 2 THEN [{'l': ax[1], 'r': ax[2]}] ELSE [] END || flatten(list_transform(ax, lambda a: list_transform(sk[1:8], lambda b: {'l': a, 'r': b}))) AS ps FROM dp0),
+dp2 AS (SELECT id, ord, company, active, unnest(ps) AS p FROM dp1),
+dp3 AS (SELECT *, array_to_string(list_sort([p.l, p.r]), '|') AS pair FROM dp2)
+SELECT '' AS grp, pair, count(*) AS postings, count(DISTINCT company) AS companies, count(*) FILTER (active) AS active_postings, arg_min(p.l, ord) AS "left", arg_min(p.r, ord) AS "right" FROM dp3 GROUP BY pair""")
 def h7d(spark, sf):
     rows = posting_doc(spark, sf).withColumn("axes", F.array("event_type", "role"))
     return H.pair_stats(H.pair_members(H.semantic_profile(rows, DOC_PAIR_RULES))).select("grp", "pair", "postings", "companies", "active_postings", "left", "right")

@@ -201,7 +201,7 @@ def f2(spark, sf):
 
     rules = dataclasses.replace(SIG, sections=SECTION_RULES, terms=dataclasses.replace(TERMS, inline=(), canonical={}, generic=(), weak_suffixes=()))
     m = S.section_facets(signal_rows(spark, sf), rules)
-    return m.select("id", F.explode("section_facets").alias("section", "v")).select("id", "section", *[join_list(F.col(f"v.{f}")).alias(f) for f in S.FACETS])
+    return m.select("id", F.explode(F.map_filter("section_facets", lambda k, v: k.isNotNull())).alias("section", "v")).select("id", "section", *[join_list(F.col(f"v.{f}")).alias(f) for f in S.FACETS])
 
 
 ROWFACET_SQL = SIG_SQL + """,
