@@ -1 +1,391 @@
-"""N-gram Jaccard join (in work)."""
+"""N-gram Jaccard join: exact links between documents whose sets of word shingles are alike, and their connected components.
+
+Every scan hashes words and shingles as arrays; a document's set is a sorted array of 64-bit shingle hashes, and equal sets are one node.
+
+1. Nodes: size, a digest of the set, two least hashes. The same scan reports shingles that several sets of a task share; of those the
+   `FREQUENT` most frequent are the tail of the global order of shingles (any order is right, a rare-first one is fast).
+2. Leaders: nodes that share a least hash and a size band are compared with one leader of the group. The links that hold give first
+   components, so that large families of near copies are one component before pairs are looked for.
+3. Tiles: two linked sets must share a shingle among the first |x| - ceil(0.8 |x|) + 1 of each. These prefixes are dealt into tiles of
+   bounded size by shingle. In a tile the sets of a shingle stand in order of size; a set meets those of its size band only (n to 1.25 n),
+   only across components, and only if the hashed bitmap signatures allow it: the bit count of the difference of two parity bitmaps is
+   a lower bound of the sets' difference, hence bounds the overlap from above.
+4. Verification: the pairs that are left fetch whole texts and intersect the sorted arrays exactly.
+5. Components of all links by alternating large-star and small-star steps.
+
+No step gathers the members of a shingle, group or component in the driver; no candidate is dropped by a cap.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from hiremill.llm.arrays import mixed, text_chunks, windows, words_of
+from hiremill.llm.shared import ship_package, written
+
+SHINGLE_WORDS, PERCENT = 5, 80
+#: Frequent shingles that are broadcast at most; sets of one task that share a shingle before it is reported.
+FREQUENT, SHARED_SETS = 1 << 20, 3
+#: Prefix shingles of a tile (about), ratio of the size bands of the leaders, shingles that a task counts at once, bits of the id filter.
+TILE_KEYS, BAND, COUNTED, FILTER_BITS = 2_000_000, 1.12, 6_000_000, 1 << 24
+_SEEDS = [np.uint64(0x243F6A8885A308D3), np.uint64(0x13198A2E03707344)]
+
+
+def shingle_sets(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct shingle hashes of all rows, row by row, and the bounds of the rows.
+
+    A row with fewer words than a shingle has its whole word sequence as the only one; a row without words has none.
+    """
+    rows = len(offsets) - 1
+    words = words_of(data, offsets, True)
+    at, hashes = windows(words, SHINGLE_WORDS)
+    row = words.row[at]
+    n_words = np.diff(words.first)
+    extra_row, extra = [], []
+    for size in range(1, SHINGLE_WORDS):
+        own = np.flatnonzero(n_words == size)
+        if len(own):
+            total = np.full(len(own), np.uint64(size))
+            for k in range(size):
+                total = mixed(total ^ words.hash[words.first[own] + k])
+            extra_row.append(own)
+            extra.append(total)
+    if extra:
+        row, hashes = np.concatenate([row, *extra_row]), np.concatenate([hashes, *extra])
+    order = np.lexsort((hashes, row))
+    row, hashes = row[order], hashes[order]
+    fresh = np.ones(len(row), bool)
+    fresh[1:] = (hashes[1:] != hashes[:-1]) | (row[1:] != row[:-1])
+    row, hashes = row[fresh], hashes[fresh]
+    return hashes, np.searchsorted(row, np.arange(rows + 1))
+
+
+def set_digests(hashes: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """Signed 64-bit digest of each set: sums of two mixes and the size, mixed. Empty sets have 0."""
+    def sums(x: np.ndarray) -> np.ndarray:
+        total = np.zeros(len(x) + 1, np.uint64)
+        np.cumsum(x, out=total[1:])
+        return total[bounds[1:]] - total[bounds[:-1]]
+
+    size = np.diff(bounds).astype(np.uint64)
+    out = mixed(sums(mixed(hashes ^ _SEEDS[0])) ^ mixed(sums(mixed(hashes ^ _SEEDS[1])) + size))
+    out[size == 0] = 0
+    return out.view(np.int64)
+
+
+def alike(a: np.ndarray, b: np.ndarray, percent: int = PERCENT) -> bool:
+    """Whether two sorted arrays reach the similarity."""
+    if not len(a) or not len(b) or 100 * min(len(a), len(b)) < percent * max(len(a), len(b)):
+        return False
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return 100 * both >= percent * (len(a) + len(b) - both)
+
+
+def prefix_length(n: np.ndarray | int, percent: int = PERCENT):
+    """Shingles of a set of n of which a linked set must have one: n - ceil(percent n / 100) + 1."""
+    return n - (n * percent + 99) // 100 + 1
+
+
+def bitmap_words(n: int) -> int:
+    """64-bit words of the parity bitmap of a set of n: a power of two, about a bit for each shingle."""
+    return 1 << max(0, (int(n / 1.5) // 64).bit_length())
+
+
+def parity_bitmap(hashes: np.ndarray, words: int) -> np.ndarray:
+    """Each shingle flips one bit."""
+    odd = np.bincount((mixed(hashes) % np.uint64(64 * words)).astype(np.int64), minlength=64 * words) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.uint64)
+
+
+def folded(bitmap: np.ndarray, words: int) -> np.ndarray:
+    """A parity bitmap at a smaller width."""
+    return np.bitwise_xor.reduce(bitmap.reshape(-1, words), axis=0)
+
+
+def nodes_of(docs: DataFrame, key: str, text: str) -> tuple[DataFrame, DataFrame]:
+    """Scratch tables: (doc_id, mark, n, node, m0, m1) of every row, and (shingle, n) shared within tasks. mark is a hash of the text."""
+    ship_package(docs.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["doc_id", "mark", "n", "node", "m0", "m1"]
+        seen, held, size = set(), [], 0
+
+        def shared() -> pa.RecordBatch:
+            unique, n = np.unique(np.concatenate(held), return_counts=True)
+            some = n >= SHARED_SETS
+            none = pa.nulls(int(some.sum()), pa.int64())
+            return pa.RecordBatch.from_arrays([none, none, pa.array(n[some].astype(np.int64)), pa.array(unique[some].view(np.int64)), none, none], names=names)
+
+        for batch in batches:
+            ns, nodes, least = [], [], [[], []]
+            for _, _, data, offsets in text_chunks(batch.column(1)):
+                hashes, bounds = shingle_sets(data, offsets)
+                node = set_digests(hashes, bounds)
+                ns.append(np.diff(bounds))
+                nodes.append(node)
+                for out, seed in zip(least, _SEEDS):
+                    padded = np.append(mixed(hashes + seed), np.uint64(2**64 - 1))
+                    out.append(np.minimum.reduceat(padded, bounds[:-1]).view(np.int64))
+                fresh = [i for i, x in enumerate(node.tolist()) if x not in seen and not seen.add(x)]
+                held += [hashes[bounds[i]:bounds[i + 1]] for i in fresh]
+                size += sum(int(bounds[i + 1] - bounds[i]) for i in fresh)
+                if size > COUNTED:
+                    yield shared()
+                    held, size = [], 0
+                    seen.clear()
+            join = lambda x: pa.array(np.concatenate(x).astype(np.int64) if x else np.zeros(0, np.int64))
+            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), batch.column(2), join(ns), join(nodes), join(least[0]), join(least[1])], names=names)
+        if held:
+            yield shared()
+
+    source = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("mark"))
+    both = written(source.mapInArrow(run, "doc_id long, mark long, n long, node long, m0 long, m1 long"), "sets")
+    return both.where("mark IS NOT NULL"), both.where("mark IS NULL").select(F.col("node").alias("shingle"), "n")
+
+
+def frequent_shingles(shared: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted hashes of the most frequent shared shingles, and the rank of each by frequency; at most FREQUENT."""
+    rows = shared.groupBy("shingle").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "shingle").limit(FREQUENT).toPandas()
+    hashes = rows["shingle"].to_numpy(np.int64).view(np.uint64)
+    order = np.argsort(hashes)
+    return hashes[order], (len(rows) - 1 - np.arange(len(rows)))[order].astype(np.uint64)
+
+
+def leader_pairs(nodes: DataFrame) -> DataFrame:
+    """(a, b): a the leader of the nodes that share a least hash and a size band, b each other one."""
+    band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(BAND))).cast("int")
+    least = F.array(*(F.struct(F.lit(i).alias("seed"), F.col(f"m{i}").alias("least")) for i in (0, 1)))
+    keyed = nodes.select("node", band.alias("band"), F.explode(least).alias("k"))
+    keyed = keyed.select("node", "band", "k.seed", "k.least")
+    leaders = keyed.groupBy("seed", "least", "band").agg(F.min("node").alias("a"), F.count("*").alias("members")).where("members > 1").drop("members")
+    return keyed.join(leaders, ["seed", "least", "band"]).where("node <> a").select("a", F.col("node").alias("b")).distinct()
+
+
+def _id_filter(ids: DataFrame) -> np.ndarray:
+    """Bits of the ids' hashes: a fixed-size filter that lets every wanted id pass and, while it is not full, few others."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.zeros(FILTER_BITS // 8, np.uint8)
+        for batch in batches:
+            at = (mixed(batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)) % np.uint64(FILTER_BITS)).astype(np.int64)
+            np.bitwise_or.at(bits, at >> 3, (1 << (at & 7)).astype(np.uint8))
+        yield pa.RecordBatch.from_arrays([pa.array([bits.tobytes()], pa.binary())], names=["bits"])
+
+    out = np.zeros(FILTER_BITS // 8, np.uint8)
+    for row in ids.select("doc_id").coalesce(8).mapInArrow(run, "bits binary").collect():
+        out |= np.frombuffer(bytes(row["bits"]), np.uint8)
+    return out
+
+
+def verified(pairs: DataFrame, docs: DataFrame, homes: DataFrame, key: str, text: str) -> DataFrame:
+    """The pairs (a, b) whose sets are alike, from whole texts. homes: (node, doc_id), one document for each node.
+
+    Partners of one node a are dealt into parts of a few hundred; the set of a comes first in each part and the others stream past it.
+    """
+    spark = docs.sparkSession
+    parts = pairs.groupBy("a").agg((F.lit(1) + F.floor(F.count("*") / 256)).cast("int").alias("parts"))
+    dealt = pairs.join(parts, "a").withColumn("part", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int"))
+    sides = dealt.select("a", "part", F.col("b").alias("node"), F.lit(1).alias("side")).unionByName(
+        dealt.select("a", "part").distinct().select("a", "part", F.col("a").alias("node"), F.lit(0).alias("side")))
+    wanted = written(sides.join(homes, "node"), "wanted")
+    bits = spark.sparkContext.broadcast(_id_filter(wanted))
+
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = (mixed(batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)) % np.uint64(FILTER_BITS)).astype(np.int64)
+            yield batch.filter(pa.array((bits.value[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)))
+
+    texts = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).where("doc_id IS NOT NULL").mapInArrow(near, "doc_id long, text string")
+    rows = texts.join(wanted, "doc_id").select("a", "part", "side", "node", "text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, leader = None, None
+        for batch in batches:
+            left, right = [], []
+            a, part, side, node = (batch.column(i).to_pylist() for i in range(4))
+            for first, _, data, offsets in text_chunks(batch.column(4)):
+                hashes, bounds = shingle_sets(data, offsets)
+                digest = set_digests(hashes, bounds)
+                for i in range(len(bounds) - 1):
+                    r = first + i
+                    if (a[r], part[r]) != group:
+                        group, leader = (a[r], part[r]), None
+                    if digest[i] != node[r]:
+                        continue  # another text under the same id
+                    own = hashes[bounds[i]:bounds[i + 1]]
+                    if side[r] == 0:
+                        leader = own.copy()
+                    elif leader is not None and alike(leader, own):
+                        left.append(a[r])
+                        right.append(node[r])
+            yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], names=["a", "b"])
+
+    return written(rows.repartition("a", "part").sortWithinPartitions("a", "part", "side").mapInArrow(run, "a long, b long").distinct(), "links")
+
+
+def connected(edges: DataFrame) -> DataFrame:
+    """(node, root): the smallest node that each node of the edges (a, b) reaches; nodes without edges are not listed."""
+    state = written(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "edges")
+    before = None
+    while True:
+        both = state.unionByName(state.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
+        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        small = large.join(low, "u").select(F.greatest("v", "m").alias("u"), F.least("v", "m").alias("v")).unionByName(low.select("u", F.col("m").alias("v")))
+        state = written(small.where("u <> v").distinct(), "edges")
+        now = state.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
+        if before == now:
+            return state.select(F.col("u").alias("node"), F.col("v").alias("root"))
+        before = now
+
+
+def prefix_table(docs: DataFrame, text: str, frequent: tuple[np.ndarray, np.ndarray]) -> DataFrame:
+    """Scratch table (node, n, keys, bitmap): the prefix of each set in the rare-first order and its parity bitmap; sets of a task once."""
+    shared = docs.sparkSession.sparkContext.broadcast(frequent)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hot, rank = shared.value
+        seen: set[int] = set()
+        for batch in batches:
+            out: list[list] = [[], [], [], []]
+            for _, _, data, offsets in text_chunks(batch.column(0)):
+                hashes, bounds = shingle_sets(data, offsets)
+                size = np.diff(bounds)
+                order = hashes >> np.uint64(1)
+                if len(hot):
+                    at = np.minimum(np.searchsorted(hot, hashes), len(hot) - 1)
+                    order = np.where(hot[at] == hashes, np.uint64(1 << 63) + rank[at], order)
+                row = np.repeat(np.arange(len(size)), size)
+                sort = np.lexsort((order, row))
+                for i, node in enumerate(set_digests(hashes, bounds).tolist()):
+                    if size[i] and node not in seen:
+                        seen.add(node)
+                        own = slice(bounds[i], bounds[i + 1])
+                        out[0].append(node)
+                        out[1].append(int(size[i]))
+                        out[2].append(hashes[sort[own][:prefix_length(int(size[i]))]].tobytes())
+                        out[3].append(parity_bitmap(hashes[own], bitmap_words(int(size[i]))).tobytes())
+                if len(seen) > 1_000_000:
+                    seen.clear()
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(out[0], pa.int64()), pa.array(out[1], pa.int32()), pa.array(out[2], pa.binary()), pa.array(out[3], pa.binary())], names=["node", "n", "keys", "bitmap"])
+
+    return written(docs.select(text).mapInArrow(run, "node long, n int, keys binary, bitmap binary"), "prefixes")
+
+
+def tile_pairs(frame: pd.DataFrame) -> pd.DataFrame:
+    """Candidate pairs of a tile: nodes of different components with a common prefix shingle, fitting sizes and bitmaps."""
+    frame = frame.sort_values(["n", "node"], kind="stable").reset_index(drop=True)
+    node, comp, n = (frame[c].to_numpy(np.int64) for c in ("node", "comp", "n"))
+    lengths = frame["keys"].map(len).to_numpy() // 8
+    key = np.frombuffer(b"".join(frame["keys"]), np.uint64)
+    row = np.repeat(np.arange(len(frame)), lengths)
+    order = np.lexsort((row, key))
+    key, row = key[order], row[order]
+    start = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+    size = np.diff(np.append(start, len(key)))
+    mixed_group = np.minimum.reduceat(comp[row], start) != np.maximum.reduceat(comp[row], start)
+    keep = np.repeat(mixed_group & (size > 1), size)
+    key, row = key[keep], row[keep]
+    bitmaps = [np.frombuffer(b, np.uint64) for b in frame["bitmap"]]
+    tested: set[int] = set()
+    found_a, found_b = [], []
+    active, step = np.arange(len(key)), 0
+    while len(active):
+        step += 1
+        active = active[active + step < len(key)]
+        i, j = active, active + step
+        near = (key[i] == key[j]) & (100 * n[row[i]] >= PERCENT * n[row[j]])
+        active = i = active[near]
+        x, y = row[i], row[i + step]
+        across = comp[x] != comp[y]
+        for code in np.unique(x[across] * len(frame) + y[across]).tolist():
+            if code in tested:
+                continue
+            tested.add(code)
+            p, q = divmod(code, len(frame))
+            a, b = bitmaps[p], bitmaps[q]
+            if len(a) != len(b):
+                a, b = folded(a, min(len(a), len(b))), folded(b, min(len(a), len(b)))
+            total = n[p] + n[q]
+            most = (total - int(np.bitwise_count(a ^ b).sum())) // 2
+            if 100 * most >= PERCENT * (total - most):
+                found_a.append(node[p])
+                found_b.append(node[q])
+    return pd.DataFrame({"a": np.asarray(found_a, np.int64), "b": np.asarray(found_b, np.int64)})
+
+
+def candidate_pairs(prefixes: DataFrame, roots: DataFrame) -> DataFrame:
+    """(a, b) over all tiles."""
+    total = prefixes.agg(F.sum(F.length("keys")).alias("bytes")).first()["bytes"] or 0
+    tiles = max(prefixes.sparkSession.sparkContext.defaultParallelism, -(-total // 8 // TILE_KEYS))
+    own = prefixes.dropDuplicates(["node"]).join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("comp"), "n", "keys", "bitmap")
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            names = ["tile", "node", "comp", "n", "keys", "bitmap"]
+            for lo in range(0, batch.num_rows, 500):
+                part = batch.slice(lo, 500)
+                blobs = part.column(3).to_pylist()
+                key = np.frombuffer(b"".join(blobs), np.uint64)
+                row = np.repeat(np.arange(len(blobs)), [len(b) // 8 for b in blobs])
+                tile = (mixed(key) % np.uint64(tiles)).astype(np.int64)
+                order = np.lexsort((tile, row))
+                key, code = key[order], (row * tiles + tile)[order]
+                start = np.flatnonzero(np.append(True, code[1:] != code[:-1])) if len(code) else np.zeros(0, np.int64)
+                raw, ends = key.tobytes(), np.append(start, len(key)) * 8
+                at = pa.array(code[start] // tiles)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array((code[start] % tiles).astype(np.int32)), part.column(0).take(at), part.column(1).take(at), part.column(2).take(at),
+                     pa.array([raw[s:e] for s, e in zip(ends, ends[1:])], pa.binary()), part.column(4).take(at)], names=names)
+
+    dealt = own.mapInArrow(deal, "tile int, node long, comp long, n int, keys binary, bitmap binary")
+    return written(dealt.groupBy("tile").applyInPandas(tile_pairs, "a long, b long").distinct(), "pairs")
+
+
+def labelled(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(doc_id, mark, n, component_id) of every row; see components()."""
+    rows, shared = nodes_of(docs, key, text)
+    some = rows.where("n > 0 AND doc_id IS NOT NULL")
+    nodes = some.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("m0").alias("m0"), F.first("m1").alias("m1"))
+    nodes = written(nodes, "nodes")
+    homes = nodes.select("node", "doc_id")
+    first = verified(leader_pairs(nodes), docs, homes, key, text)
+    roots = connected(first)
+    pairs = candidate_pairs(prefix_table(docs.where(F.col(key).isNotNull()), text, frequent_shingles(shared)), roots)
+    second = verified(pairs, docs, homes, key, text)
+    roots = connected(first.unionByName(second))
+    named = homes.join(roots, "node", "left").select("node", "doc_id", F.coalesce("root", "node").alias("root"))
+    least = named.groupBy("root").agg(F.min("doc_id").alias("component_id"))
+    labels = named.join(least, "root").select("node", "component_id")
+    return rows.join(labels, "node", "left").select(
+        "doc_id", "mark", "n", F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+
+
+def components(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(key, n_shingles, component_id) of every row: the size of its set, and the smallest id that links reach.
+
+    Two documents link if they share at least 80 % of the union of their sets. Null and empty texts and texts without words have no
+    shingles and link with nothing: their component is their own id. Rows without an id link with nothing and have a null component.
+    Equal texts always link; repeated rows each get a row. An empty table gives an empty result. Other columns are not read.
+    """
+    return labelled(docs, key, text).select(F.col("doc_id").alias(key), F.col("n").alias("n_shingles"), "component_id")
+
+
+def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """The documents without near copies: of each component the one with the smallest id stays, once. Columns as given.
+
+    Documents without words stay (repeated rows once), and so do all rows without an id.
+    """
+    labels = labelled(docs, key, text).where("doc_id IS NOT NULL")
+    chosen = labels.where("n > 0").groupBy("component_id").agg(F.min(F.struct("doc_id", "mark")).alias("first")).select("first.doc_id", "first.mark")
+    stay = chosen.unionByName(labels.where("n = 0").select("doc_id", "mark")).distinct().withColumnsRenamed({"doc_id": "__id", "mark": "__mark"})
+    mark = F.xxhash64(F.coalesce(F.col(text), F.lit("")))
+    linked = docs.where(F.col(key).isNotNull()).join(stay, (F.col(key).cast("long") == F.col("__id")) & (mark == F.col("__mark")))
+    return linked.dropDuplicates(["__id", "__mark"]).select(*[F.col(f"`{c}`") for c in docs.columns]).unionByName(docs.where(F.col(key).isNull()))
