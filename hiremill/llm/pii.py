@@ -36,7 +36,7 @@ WIDE_PATTERNS = [
 NEAR_WORDS = ["e-?mail|mail|contact|write|correo|courriel", "ip|host|server|client|login|addr", "card|visa|master|amex|credit|karte|carte|tarjeta", "tel|phone|fax|call|mobile|cell|handy|fono"]
 OTHER_WORDS = "version|release|chapter|section|isbn|issn|order|invoice|article|build|sha|md5|token|key"
 DOMAIN_ENDS = "(?i)[.\\x20)\\]](?:com|org|net|edu|gov|info|io|co|de|fr|es|uk|eu|us)$"
-CONTEXT = 24
+CONTEXT, RUN = 24, 64
 LABELLERS = ["pattern", "structure", "gazetteer", "other_words", "joined", "variety"]
 _SHAPES = 4
 
@@ -49,8 +49,20 @@ def _let(value: Column, body) -> Column:
 
 
 def _spans(pieces: Column, matches: Column) -> Column:
-    """Start, end (code points) and surroundings of the matches, from the pieces between them."""
+    """Start, end (code points) and surroundings of the matches, from the pieces between them.
+
+    Matches are placed in runs of RUN, whose first positions are summed beforehand, so that thousands of matches take linear time.
+    """
     empty = F.expr(f"CAST(array() AS array<{Span}>)")
+    runs = F.sequence(F.lit(0), F.floor((F.size(matches) - 1) / RUN).cast("int"))
+
+    def indexes(run: Column) -> Column:
+        return F.sequence(run * RUN, F.least(F.size(matches), run * RUN + RUN) - 1)
+
+    def length(run: Column) -> Column:
+        return F.aggregate(indexes(run), F.lit(0), lambda acc, i: acc + F.length(pieces[i]) + F.length(matches[i]))
+
+    offsets = F.aggregate(runs, F.array(F.lit(0)), lambda acc, run: F.concat(acc, F.array(acc[F.size(acc) - 1] + length(run))))
 
     def step(acc: Column, i: Column) -> Column:
         piece, value = pieces[i], matches[i]
@@ -60,7 +72,10 @@ def _spans(pieces: Column, matches: Column) -> Column:
                 start.alias("start"), (start + F.length(value)).alias("end"), value.alias("value"),
                 F.right(piece, F.lit(CONTEXT)).alias("before"), F.left(pieces[i + 1], F.lit(1)).alias("after")))).alias("out")))
 
-    found = F.aggregate(F.sequence(F.lit(0), F.size(matches) - 1), F.struct(F.lit(0).alias("pos"), empty.alias("out")), step, lambda acc: acc["out"])
+    def placed(run: Column, begin: Column) -> Column:
+        return F.aggregate(indexes(run), F.struct(begin.alias("pos"), empty.alias("out")), step, lambda acc: acc["out"])
+
+    found = _let(offsets, lambda o: F.flatten(F.transform(runs, lambda run: placed(run, o[run]))))
     return F.when(F.size(matches) > 0, found).otherwise(empty)
 
 
