@@ -149,7 +149,7 @@ def estimate(patterns: np.ndarray, counts: np.ndarray, rounds: int = 200) -> Lab
             float((g.sum() + 1) / (counts.sum() + 2)),
             (np.einsum("i,ijk->jk", g, onehot) + 1) / (g.sum() + 3), (np.einsum("i,ijk->jk", b, onehot) + 1) / (b.sum() + 3))
         new = model.posterior(votes)
-        if np.abs(new - p).max() < 1e-9:
+        if np.abs(new - p).max(initial=0) < 1e-9:
             break
         p = new
     return model
