@@ -103,7 +103,7 @@ def judge_urls(pages: DataFrame, rules: Sequence[tuple[str, str]], default: str
     spark = pages.sparkSession
     ship_package(spark)
     found = "struct<host:string,path:string,labels:int,length:int,rule:string,verdict:string>"
-    out, columns = pages, []
+    out, columns = pages.drop(*[c for c in ("host", "path", "rule", "verdict") if c != url]), []
     parts = [rules[i:i + rules_per_part] for i in range(0, len(rules), rules_per_part)] or [[]]
     for k, part in enumerate(parts):
         shared = spark.sparkContext.broadcast(list(part))
