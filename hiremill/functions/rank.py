@@ -13,11 +13,18 @@ from pyspark.sql import functions as F
 
 Cols = Sequence[str | Column]
 
+#: `spark.sql.optimizer.windowGroupLimitThreshold` of Spark, and the parts of a key for larger samples.
+WINDOW_LIMIT, KEY_PARTS = 1000, 64
+
 
 def top_k(df: DataFrame, keys: Cols, order: Cols, k: int, rank: str = "rank") -> DataFrame:
-    """The k first rows of every key. Spark cuts each task's rows to k before the shuffle while k stays within
-    `spark.sql.optimizer.windowGroupLimitThreshold` (1000); raise that setting for larger samples."""
+    """The k first rows of every key, for any k. Up to WINDOW_LIMIT Spark cuts each task's rows to k before the shuffle; beyond it a
+    first ranking within parts of each key does, so that a hot key is never sorted whole by one task."""
     w = Window.partitionBy(*keys).orderBy(*order)
+    if k > WINDOW_LIMIT:
+        part = F.pmod(F.xxhash64(*[F.col(c) for c in df.columns if "map" not in dict(df.dtypes)[c]]), F.lit(KEY_PARTS))
+        first = Window.partitionBy(*keys, "_part").orderBy(*order)
+        df = df.withColumn("_part", part).withColumn("_rn", F.row_number().over(first)).where(F.col("_rn") <= k).drop("_part", "_rn")
     return df.withColumn(rank, F.row_number().over(w)).where(F.col(rank) <= k)
 
 
@@ -32,6 +39,11 @@ def last_wins(df: DataFrame, key: str = "id", ord_col: str = "ord") -> DataFrame
     return first_per(kept, [key], [F.col(ord_col).desc()])
 
 
+def one_per_key(df: DataFrame, key: str = "id") -> DataFrame:
+    """A right side for a keyed join: the last row of each key by `ord`, or any one where the table has no order."""
+    return last_wins(df, key) if "ord" in df.columns else df.dropDuplicates([key])
+
+
 def explode_labels(df: DataFrame, keys: Sequence[str], arr: str | Column, ord_col: str = "ord") -> DataFrame:
     """Long form (keys, ord, pos, label); column pruning keeps the wide row out of the shuffle."""
     arr = F.col(arr) if isinstance(arr, str) else arr

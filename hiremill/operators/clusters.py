@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from hiremill.functions.rank import count_if, explode_labels, first_per, gathered, label_counts, melt, place, ratio, top_k
@@ -128,8 +128,8 @@ def company_theme_clusters(assigned: DataFrame, labels: Mapping[str, str] | None
     kws = gathered(top_k(firsts, ["theme"], ["c", "p"], k), ["theme"], "keywords")
     label = F.coalesce(F.try_element_at(lit_map(dict(labels)), F.col("theme")), F.col("theme"))
     out = base.join(kws, "theme", "left").withColumn("label", label)
-    # One row per theme of a fixed table: the number of rows here is bounded by that table.
-    ranked = top_k(out.withColumn("_all", F.lit(1)), ["_all"], [F.col("postings").desc(), "label"], 10_000)
+    # One row per theme, all of them ranked.
+    ranked = out.withColumn("rank", F.row_number().over(Window.partitionBy(F.lit(1)).orderBy(F.col("postings").desc(), "label")))
     return ranked.select(F.concat(F.lit("cluster-"), F.col("rank")).alias("id"), "theme", "label", "postings", "company_count", lst("keywords").alias("keywords"))
 
 

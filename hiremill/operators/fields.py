@@ -58,7 +58,7 @@ def term_label(token: Column, r: FieldRules) -> Column:
         for label, patterns in r.aliases:
             cond = contains_any(k, [canon_py(p) for p in patterns])
             out = F.when(cond, F.lit(label)) if out is None else out.when(cond, F.lit(label))
-        latin = F.when((F.length(token) <= 4) | token.rlike("[+/#]"), F.upper(token)).otherwise(F.concat(F.upper(F.substring(token, 1, 1)), F.lower(F.substring(token, 2, 100))))
+        latin = F.when((F.length(token) <= 4) | token.rlike("[+/#]"), F.upper(token)).otherwise(F.concat(F.upper(F.substring(token, 1, 1)), F.lower(F.right(token, F.length(token) - 1))))
         plain = F.when(token.rlike("^[A-Za-z0-9+./#-]+$"), latin).otherwise(token)
         return out.otherwise(plain) if out is not None else plain
 

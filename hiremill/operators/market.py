@@ -121,7 +121,7 @@ class ProfileRules:
         "focus": 36, "keyword": 44, "skill": 32, "company": 24, "task": 140, "requirement": 140, "preferred": 140, **{c: 44 for c in CATEGORIES}})
     headers: Sequence[str] = ("모집요강", "자격 요건", "우대 사항", "우대사항", "지원 자격", "지원자격", "필수 역량", "기본 요건", "직무내용", "별도 우대사항 미기재")
     snippets: Sequence[str] = ("채용절차법", "반환 청구", "반환 서류", "반환 청구 기간", "복지포인트", "건강검진", "생일 반차", "장기근속 휴가", "오피스 간식", "유급휴가",
-                               "중소기업 청년", "서류 전형", "면접 전형", "처우협의")
+                               "중소기업 청년", "서류 전형", "면접 전형", "처우협의", "최종합격", "혜택 및 복지", "복리후생", "재택근무", "유연출근", "간식 제공", "레퍼런스 체크")
 
 
 PROFILE = ProfileRules()

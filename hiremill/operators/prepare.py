@@ -7,6 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from hiremill.functions.rank import one_per_key
 from hiremill.functions.text import (
     LIST_DELIMITERS, at, canon, col, compact, contains_any, empty_list, first_filled, is_in, lit_list, lit_map, lst,
     matches, non_blank, null_if_blank, ordered_distinct, s, split_lines, split_tags, strip,
@@ -113,7 +114,7 @@ def normalize_taxonomy(postings: DataFrame) -> DataFrame:
 
 def apply_enrichment(postings: DataFrame, enrichments: DataFrame) -> DataFrame:
     """Non-empty normalised values (`experience_label`, `track_labels`, `focus_labels`, `skills`) replace the originals."""
-    e = enrichments.select(
+    e = one_per_key(enrichments).select(
         "id", F.col("experience_label").alias("_exp"), F.col("track_labels").alias("_track"),
         F.col("focus_labels").alias("_focus"), F.col("skills").alias("_skills"),
         F.col("applied_at").alias("ai_applied_at"), F.col("reviewer_note").alias("ai_reviewer_note"),

@@ -7,14 +7,15 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from hiremill.functions.rank import first_per, last_wins
+from hiremill.functions.rank import first_per, last_wins, one_per_key
 from hiremill.functions.text import canon, empty_list, is_in, lit_map, lst, ordered_distinct, s, squeeze, strip
 from hiremill.operators.prepare import SYNC_FIELDS, content_signature
 from hiremill.operators.validate import removed_keys  # noqa: F401  (part of the comparison surface)
 
 
 def signatures(df: DataFrame, cols: Sequence[str], out: str = "sig") -> DataFrame:
-    return last_wins(df).select("id", content_signature(df, cols).alias(out))
+    """Last signature of each id. The hash is taken first, so that the ranking moves ids, ordinals and hashes only."""
+    return last_wins(df.select("id", "ord", content_signature(df, cols).alias(out))).select("id", out)
 
 
 def snapshot_delta(before: DataFrame, after: DataFrame, cols: Sequence[str] = tuple(SYNC_FIELDS)) -> DataFrame:
@@ -77,14 +78,14 @@ def override_applies(kind: str, roles: Sequence[str]) -> Column:
 def resolve_overrides(rows: DataFrame, overrides: DataFrame, kind: str, roles: Sequence[str] = ()) -> DataFrame:
     """Rows (with their current `signature`) and the override that counts for them; `o_*` is NULL otherwise."""
     cols = [c for c in overrides.columns if c not in ("id", "ord")]
-    o = (last_wins(overrides) if "ord" in overrides.columns else overrides).select("id", *[F.col(c).alias(f"o_{c}") for c in cols])
+    o = one_per_key(overrides).select("id", *[F.col(c).alias(f"o_{c}") for c in cols])
     j = rows.join(o, "id", "left").withColumn("_ok", F.coalesce(override_applies(kind, roles), F.lit(False)))
     return j.withColumns({f"o_{c}": F.when(F.col("_ok"), F.col(f"o_{c}")) for c in cols}).drop("_ok")
 
 
 def stale_overrides(rows: DataFrame, overrides: DataFrame) -> DataFrame:
     """Overrides decided on a content that has changed since."""
-    o = overrides.select("id", strip("signature").alias("stored_signature")).where("stored_signature <> ''")
+    o = one_per_key(overrides).select("id", strip("signature").alias("stored_signature")).where("stored_signature <> ''")
     return rows.select("id", "signature").join(o, "id").where("stored_signature <> signature")
 
 
@@ -96,10 +97,16 @@ def incremental_targets(postings: DataFrame, delta: DataFrame, store: DataFrame,
                         mode: str = "incremental", profile: str = "", limit: int | None = None) -> DataFrame:
     """Ids to refresh with their reason: added (by id), changed (by id), then refresh rows in source order.
 
-    Modes: incremental, missing (no usable record), stale (also another prompt profile), all.
+    kind summary: the store holds summaries; modes incremental, missing (no usable record), stale (also another prompt profile), all.
+    kind scope: the store holds overrides; modes incremental and stale (decided on another signature), missing (no override that is
+    fresh), review (rows whose `scope_action` is review), all. kind role: the same without review; stale takes rows without a fresh
+    override. Of several records of an id the last one counts.
     """
-    p = last_wins(postings).select("id", "ord", *[c for c in ("signature", "last_seen_at") if c in postings.columns])
-    st = store.select("id", *[F.col(c).alias(f"st_{c}") for c in store.columns if c not in ("id", "ord")], F.lit(True).alias("st_found"))
+    modes = {"summary": ("incremental", "missing", "stale", "all"), "scope": ("incremental", "missing", "stale", "review", "all"), "role": ("incremental", "missing", "stale", "all")}
+    if mode not in modes[kind]:
+        raise ValueError(f"{kind} targets have no mode {mode}")
+    p = last_wins(postings).select("id", "ord", *[c for c in ("signature", "last_seen_at", "scope_action") if c in postings.columns])
+    st = one_per_key(store).select("id", *[F.col(c).alias(f"st_{c}") for c in store.columns if c not in ("id", "ord")], F.lit(True).alias("st_found"))
     j = p.join(st, "id", "left")
     found = F.coalesce("st_found", F.lit(False))
     if kind == "summary":
@@ -110,7 +117,9 @@ def incremental_targets(postings: DataFrame, delta: DataFrame, store: DataFrame,
         if mode == "all":
             need = F.lit(True)
     else:
-        need = found & (strip("st_signature") != "") & (strip("st_signature") != F.col("signature"))
+        other = found & (strip("st_signature") != "") & (strip("st_signature") != F.col("signature"))
+        need = {"incremental": other, "stale": other if kind == "scope" else ~found | other, "missing": ~found | other, "all": F.lit(True),
+                "review": squeeze("scope_action") == "review" if kind == "scope" and mode == "review" else None}[mode]
     refresh = j.where(need).select("id", F.lit("refresh").alias("reason"), F.lit(2).alias("priority"), F.col("ord").alias("_o"))
     out = refresh
     if mode == "incremental":
@@ -213,9 +222,9 @@ def merge_current(items: DataFrame, rows: DataFrame, postings: DataFrame, datase
 
     items: id, company, title, role_group, cluster_id, cluster_label, active, summary, focus_label, keywords, quality, source.
     """
-    r = rows.select("id", F.struct(squeeze("summary").alias("summary"), squeeze("focus_label").alias("focus_label"),
+    r = one_per_key(rows).select("id", F.struct(squeeze("summary").alias("summary"), squeeze("focus_label").alias("focus_label"),
                                    clean_list("keywords", 6).alias("keywords"), squeeze("quality").alias("quality")).alias("_row"))
-    p = postings.select("id", source_struct().alias("_src"))
+    p = one_per_key(postings).select("id", source_struct().alias("_src"))
     j = items.join(r, "id", "left").join(p, "id", "left")
     own = F.struct(squeeze("summary").alias("summary"), squeeze("focus_label").alias("focus_label"),
                    clean_list("keywords", 6).alias("keywords"), squeeze("quality").alias("quality"))
@@ -244,7 +253,7 @@ def cached_or_related(rows: DataFrame, cache: DataFrame, board_ord: str = "ord")
 
     rows: id, company, signature, headline, reason, summary, ord. cache: id, signature, insight.
     """
-    c = cache.where(squeeze("insight") != "").select("id", F.col("signature").alias("_sig"), squeeze("insight").alias("_own"))
+    c = one_per_key(cache.where(squeeze("insight") != "")).select("id", F.col("signature").alias("_sig"), squeeze("insight").alias("_own"))
     # Cache entries meet their company on the (small) cached set; only one entry per company goes on.
     related = first_per(rows.select("id", "company", board_ord).join(c, "id").where(s("company") != ""), ["company"], [board_ord])
     related = related.select("company", F.col("_own").alias("_company"))

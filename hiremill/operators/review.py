@@ -7,7 +7,7 @@ from collections.abc import Callable, Mapping, Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hiremill.functions.rank import count_if, first_per, last_wins
+from hiremill.functions.rank import count_if, first_per, last_wins, one_per_key
 from hiremill.functions.terms import TERMS, TermRules, canonical_term, generic_keyword
 from hiremill.functions.text import at, compact, contains_any, empty_list, is_in, let, lit_list, lit_map, lst, matches, non_blank, ordered_distinct, s, squeeze
 from hiremill.operators.evaluate import is_reviewed
@@ -73,7 +73,7 @@ PREFILL = ["summary", "focus_label", "keywords", "quality", "notes"]
 
 def prefill(wave: DataFrame, manual: DataFrame, suggested: DataFrame) -> DataFrame:
     """Manual proposal first, else the suggestion, with its source."""
-    side = lambda df, p: df.select("id", *[F.col(c).alias(f"{p}_{c}") for c in PREFILL], F.lit(True).alias(f"{p}_hit"))
+    side = lambda df, p: one_per_key(df).select("id", *[F.col(c).alias(f"{p}_{c}") for c in PREFILL], F.lit(True).alias(f"{p}_hit"))
     j = wave.join(side(manual, "_m"), "id", "left").join(side(suggested, "_s"), "id", "left")
     m = F.coalesce("_m_hit", F.lit(False))
     out = j.withColumns({f"pre_{c}": F.when(m, F.col(f"_m_{c}")).otherwise(F.col(f"_s_{c}")) for c in PREFILL})
@@ -141,7 +141,7 @@ def suggestion_usable(t: TermRules = TERMS) -> Column:
 
 
 # Spellings of a reviewed flag.
-TRUE_WORDS = ["true", "1", "yes", "y", "pass", "o"]
+TRUE_WORDS = ["true", "1", "yes", "y", "pass", "ok"]
 FALSE_WORDS = ["false", "0", "no", "n", "fail", "x"]
 
 
@@ -152,7 +152,7 @@ def parse_flag(c: str | Column) -> Column:
 
 
 def keyword_list(c: str) -> Column:
-    return ordered_distinct(F.transform(F.split(s(c), "[,|\\n]+"), squeeze))
+    return ordered_distinct(F.transform(F.split(s(c), "[|]"), squeeze))
 
 
 def apply_decisions(items: DataFrame, decisions: DataFrame) -> DataFrame:
@@ -318,22 +318,35 @@ def gold_to_overrides(gold: DataFrame, postings: DataFrame, updated_at: str, all
 
 
 def guarded_apply(spark: SparkSession, root: str, store: DataFrame, batch: DataFrame, gate_passed: bool, measure: Callable[[DataFrame], bool], dry_run: bool = False,
-                  version: str = "next") -> str:
+                  version: str | None = None) -> str:
     """Publish an upserted override table as a new version directory and switch the pointer only when gate and re-measurement hold.
 
-    Returns the status: dry_run, blocked, rolled_back or published. The previous version is never touched.
+    Returns the status: dry_run, blocked, rolled_back or published. `version` is a new name (a fresh one by default); a name that exists
+    is refused, so no published version is ever touched. The pointer is written beside the old one and takes its place by a rename.
     """
+    import uuid
+
     from hiremill.sources.io import upsert_by_key
 
+    version = version or uuid.uuid4().hex
+
     if dry_run:
         return "dry_run"
     if not gate_passed:
         return "blocked"
     path = f"{root}/version={version}"
-    upsert_by_key(store, batch).write.mode("overwrite").parquet(path)
+    upsert_by_key(store, batch).write.mode("errorifexists").parquet(path)
     if not measure(spark.read.parquet(path)):
         return "rolled_back"
-    spark.createDataFrame([(path,)], "path string").coalesce(1).write.mode("overwrite").json(f"{root}/current")
+    jvm = spark.sparkContext._jvm
+    fresh, pointer, old = (jvm.org.apache.hadoop.fs.Path(f"{root}/{n}") for n in (f"pointer-{version}", "current", f"replaced-by-{version}"))
+    spark.createDataFrame([(path,)], "path string").coalesce(1).write.json(fresh.toString())
+    fs = fresh.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if fs.exists(pointer) and not fs.rename(pointer, old):
+        raise OSError(f"the pointer {pointer} could not be moved")
+    if not fs.rename(fresh, pointer):
+        fs.rename(old, pointer)
+        raise OSError(f"the pointer {pointer} could not be written")
     return "published"
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from hiremill.functions.rank import first_per, top_k
@@ -30,8 +30,9 @@ def stratified_round_robin(rows: DataFrame, target: int) -> DataFrame:
     keyed = rows.select("id", "quality", "active", "role_group", "cluster_id", "company", "title")
     bucket = ["quality", "role_group", "cluster_id", "active"]
     size = keyed.groupBy(*bucket).agg(F.count(F.lit(1)).alias("n"))
-    # One row per bucket; the number of buckets is that of the label combinations.
-    ranks = top_k(size, ["quality"], ["n", "role_group", "cluster_id", F.when(F.col("active"), "active").otherwise("inactive")], 1_000_000, "bucket_rank")
+    # One row per bucket, all of them ranked: the number of buckets is that of the label combinations.
+    rarest = Window.partitionBy("quality").orderBy("n", "role_group", "cluster_id", F.when(F.col("active"), "active").otherwise("inactive"))
+    ranks = size.withColumn("bucket_rank", F.row_number().over(rarest))
     turns = top_k(keyed, bucket, row_order(), target, "turn").join(ranks.select(*bucket, "bucket_rank"), bucket)
     counts = size.agg(F.sum("n").alias("total"), *[F.coalesce(F.sum(F.when(F.col("quality") == q, F.col("n"))), F.lit(0)).alias(q) for q in ("high", "medium", "low")])
     goal = F.least(F.lit(max(target, 1)), F.col("total"))

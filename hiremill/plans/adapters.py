@@ -12,18 +12,9 @@ from hiremill.functions.text import non_blank, null_if_blank, ordered_distinct
 from hiremill.plans.base import table
 
 
-def spread(df: DataFrame, key: str) -> DataFrame:
-    """Spreads an input that sits in fewer splits than there are cores; larger inputs are left as they are read.
-
-    The key is the one the view joins on next, so the exchange also serves those joins.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
-
-
 def posting_doc(spark: SparkSession, sf: str) -> DataFrame:
     """Documents as postings: source = company, language = role, lines = tasks, long words = skills."""
-    docs = spread(table(spark, sf, "documents"), "doc_id")
+    docs = table(spark, sf, "documents")
     labels = table(spark, sf, "labels").select("doc_id", "quality", "toxic")
     events = table(spark, sf, "events").select(
         F.col("event_id").alias("doc_id"), "ts", "event_type", "value")
@@ -37,7 +28,7 @@ def posting_doc(spark: SparkSession, sf: str) -> DataFrame:
         F.when(n > 3000, "large").when(n > 800, "mid").otherwise("").alias("company_tier"),
         F.col("lang").alias("role"),
         F.upper("lang").alias("role_display"),
-        F.substring(F.split_part("text", F.lit("\n"), F.lit(1)), 1, 48).alias("title"),
+        F.split_part("text", F.lit("\n"), F.lit(1)).alias("title"),
         F.when(n % 4 == 0, "").otherwise(F.concat(F.lit("경력 "), (n % 12).cast("string"), F.lit("년"))).alias("experience"),
         F.when(n % 5 == 0, "석사/박사").when(n % 5 == 1, "학사").when(n % 5 == 2, "일반채용").otherwise("").alias("track"),
         F.concat(F.coalesce("event_type", F.lit("")), F.when(n % 3 == 0, F.concat(F.lit("/"), F.col("source"))).otherwise("")).alias("focus"),
@@ -57,9 +48,9 @@ def posting_doc(spark: SparkSession, sf: str) -> DataFrame:
         "*",
         F.filter("tasks", lambda x: F.length(x) >= 80).alias("requirements"),
         F.filter("tasks", lambda x: F.length(x) < 40).alias("preferred"),
-        F.slice("skills", 1, 6).alias("keywords"),
+        F.col("skills").alias("keywords"),
         F.when(F.col("quality") == "low", "").otherwise(
-            F.coalesce(F.substring(F.try_element_at("tasks", F.lit(-1)), 1, 60), F.lit(""))).alias("summary"),
+            F.coalesce(F.try_element_at("tasks", F.lit(-1)), F.lit(""))).alias("summary"),
         F.col("event_type").alias("focus_label"),
     )
 
@@ -75,7 +66,7 @@ posting AS (
   SELECT CAST(doc_id AS VARCHAR) AS id, doc_id AS ord, source AS company,
     CASE WHEN n_chars > 3000 THEN 'large' WHEN n_chars > 800 THEN 'mid' ELSE '' END AS company_tier,
     lang AS role, upper(lang) AS role_display,
-    substring(split_part(text, chr(10), 1), 1, 48) AS title,
+    split_part(text, chr(10), 1) AS title,
     CASE WHEN n_chars % 4 = 0 THEN '' ELSE '경력 ' || CAST(n_chars % 12 AS VARCHAR) || '년' END AS experience,
     CASE n_chars % 5 WHEN 0 THEN '석사/박사' WHEN 1 THEN '학사' WHEN 2 THEN '일반채용' ELSE '' END AS track,
     coalesce(et, '') || CASE WHEN n_chars % 3 = 0 THEN '/' || source ELSE '' END AS focus,
@@ -89,8 +80,8 @@ posting AS (
     coalesce(et, '') AS event_type, n_chars, coalesce(tox, 0) AS toxic,
     list_filter(tasks, lambda x: length(x) >= 80) AS requirements,
     list_filter(tasks, lambda x: length(x) < 40) AS preferred,
-    list_filter(words, lambda x, i: list_position(words, x) = i)[1:6] AS keywords,
-    CASE WHEN q = 0 THEN '' ELSE coalesce(substring(tasks[-1], 1, 60), '') END AS summary,
+    list_filter(words, lambda x, i: list_position(words, x) = i) AS keywords,
+    CASE WHEN q = 0 THEN '' ELSE coalesce(tasks[-1], '') END AS summary,
     coalesce(et, '') AS focus_label
   FROM base0
 )"""

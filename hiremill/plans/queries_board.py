@@ -55,7 +55,7 @@ al AS (SELECT * FROM hits UNION ALL SELECT * FROM fb WHERE tone IS NOT NULL),
 words AS (SELECT tone, label, row_number() OVER (PARTITION BY tone ORDER BY count(*) DESC, label) AS rk FROM kt1 WHERE tone IS NOT NULL GROUP BY tone, label),
 t AS (SELECT unnest(['tone-a', 'tone-b', 'tone-c']) AS tone, unnest([1, 2, 3]) AS position)
 SELECT t.position, t.tone, (SELECT count(*) FROM al WHERE al.tone = t.tone) AS n, coalesce((SELECT string_agg(label, '|' ORDER BY rk) FROM words WHERE words.tone = t.tone AND rk <= 5), '') AS keywords,
-  CASE WHEN t.tone = 'tone-a' THEN 'stored' ELSE (SELECT string_agg(label, ', ' ORDER BY rk) FROM words WHERE words.tone = t.tone AND rk <= 3) || ' 중심의 공고 신호를 모아 보여줍니다.' END AS description FROM t""")
+  CASE WHEN t.tone = 'tone-a' THEN 'stored' ELSE coalesce((SELECT string_agg(label, ', ' ORDER BY rk) FROM words WHERE words.tone = t.tone AND rk <= 3) || ' 중심의 공고 신호를 모아 보여줍니다.', '""" + M.NO_TONE_TEXT + """') END AS description FROM t""")
 def e7(spark, sf):
     stored = table(spark, sf, "region").where("r_regionkey = 0").select(F.lit("tone-a").alias("tone"), F.lit("stored").alias("description"))
     t = M.tone_legend(posting_doc(spark, sf), stored, TONES)

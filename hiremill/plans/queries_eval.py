@@ -53,7 +53,7 @@ REVIEW_SQL = POSTING_SQL + """,
 ri0 AS (SELECT *, trim(regexp_replace(summary, '\\s+', ' ', 'g')) AS sm, list_filter(string_split(trim(regexp_replace(lower(summary), '[^0-9a-z가-힣]+', ' ', 'g')), ' '), lambda x: x <> '') AS st,
   list_filter(string_split(trim(regexp_replace(lower(title), '[^0-9a-z가-힣]+', ' ', 'g')), ' '), lambda x: x <> '') AS tt FROM posting),
 ri1 AS (SELECT *, CASE WHEN len(st) > 0 AND len(tt) > 0 THEN len(list_intersect(list_distinct(st), list_distinct(tt))) / least(len(list_distinct(st)), len(list_distinct(tt))) ELSE 0 END AS ov,
-  len(list_filter(keywords, lambda x: x IN ('thatin', 'inoran', 'ein', 'attion') OR x LIKE '%ing' OR x LIKE '%ly')) AS nz FROM ri0),
+  len(list_filter(keywords[1:8], lambda x: x IN ('thatin', 'inoran', 'ein', 'attion') OR x LIKE '%ing' OR x LIKE '%ly')) AS nz FROM ri0),
 review AS (SELECT *, list_filter([CASE WHEN quality = 'low' THEN 'low_quality' END, CASE WHEN sm = '' THEN 'summary_missing' WHEN length(sm) >= 56 THEN 'summary_too_long' END,
   CASE WHEN focus_label = '' THEN 'focus_missing' WHEN focus_label = 'view' THEN 'focus_too_broad' WHEN regexp_matches(focus_label, 'ein|attion') THEN 'focus_hiring_echo' END,
   CASE WHEN sm = '' THEN NULL WHEN ov >= 0.8 THEN 'summary_title_echo' WHEN regexp_matches(lower(sm), 'ein|attion') THEN 'summary_hiring_echo' WHEN contains(array_to_string(st, ' '), company) THEN 'summary_company_echo' END,
@@ -195,7 +195,7 @@ def j2f(spark, sf):
 
 GENERIC = TermRules(**{**PLAIN.__dict__, "generic": ("^thatin$",), "weak_suffixes": ("ing",)})
 OUT_SQL = POSTING_SQL + """,
-o AS (SELECT *, n_chars % 6 > 0 AS ret, list_filter(keywords, lambda x: x = 'thatin' OR x LIKE '%ing' OR x LIKE 'hat%') AS ban, list_filter(keywords, lambda x: length(x) >= 28 OR x LIKE '%tion') AS sen, focus_label <> '' AND (focus_label LIKE 'hat%' OR focus_label LIKE '%ing' OR focus_label = 'view') AS fb FROM posting)"""
+o AS (SELECT *, n_chars % 6 > 0 AS ret, list_filter(keywords, lambda x: x = 'thatin' OR x LIKE '%ing' OR x LIKE 'hat%') AS ban, list_filter(keywords, lambda x: length(x) >= 28 OR x LIKE '%tion') AS sen, focus_label <> '' AND (focus_label LIKE 'hat%' OR focus_label LIKE '%ing' OR focus_label = 'view') AS fb FROM (SELECT * REPLACE (keywords[1:6] AS keywords) FROM posting))"""
 BAN = ("^hat", "^view$")
 
 
@@ -525,7 +525,7 @@ d1 AS (SELECT *, CASE WHEN decision IS NULL THEN 'none' WHEN decision IN ('appro
 
 
 @query("k6_apply_decisions", "WITH " + DEC_SQL + """
-SELECT id, decision, st AS decision_status, CASE WHEN st <> 'applied' THEN NULL ELSE decision = 'approve_current' END AS overall_pass, CASE WHEN st = 'applied' AND decision = 'needs_edit' AND ord % 8 = 3 THEN 'a|b' WHEN st = 'applied' AND decision = 'needs_edit' THEN '' ELSE NULL END AS manual_keywords FROM d1""")
+SELECT id, decision, st AS decision_status, CASE WHEN st <> 'applied' THEN NULL ELSE decision = 'approve_current' END AS overall_pass, CASE WHEN st = 'applied' AND decision = 'needs_edit' AND ord % 8 = 3 THEN 'a, b|a' WHEN st = 'applied' AND decision = 'needs_edit' THEN '' ELSE NULL END AS manual_keywords FROM d1""")
 def k6(spark, sf):
     a = K.apply_decisions(drafted(spark, sf), decision_rows(spark, sf))
     return a.select("id", "decision", "decision_status", "review.overall_pass", F.when((F.col("decision") == "needs_edit") & F.col("review").isNotNull(), F.array_join("review.corrected_keywords", "|")).alias("manual_keywords"))

@@ -149,6 +149,26 @@ def c7s(spark, sf):
     return C.incremental_targets(rows, C.snapshot_delta(before, after, SNAP_COLS), store_of(before), kind="scope")
 
 
+MODES = {"missing": "s.id IS NULL OR (s.signature <> '' AND s.signature <> a.role)", "stale": "s.id IS NOT NULL AND s.signature <> '' AND s.signature <> a.role", "all": "TRUE"}
+
+
+def _kind_mode(kind, mode, cond):
+    @query(f"c7_{kind}_{mode}", "WITH " + SNAP_SQL + STORE_SQL + f"""
+SELECT a.id, 'refresh' AS reason, 2 AS priority FROM snap_after a LEFT JOIN store s ON s.id = a.id WHERE {cond}""")
+    def run(spark, sf):
+        before, after = snapshots(spark, sf)
+        rows = after.withColumns({"signature": F.col("role"), "scope_action": F.when(F.col("ord") % 5 == 0, "review").otherwise("include")})
+        return C.incremental_targets(rows, None, store_of(before), kind=kind, mode=mode)
+
+
+for _mode, _cond in MODES.items():
+    _kind_mode("scope", _mode, _cond)
+_kind_mode("scope", "review", "a.ord % 5 = 0")
+_kind_mode("role", "missing", MODES["missing"])
+_kind_mode("role", "stale", MODES["missing"])
+_kind_mode("summary", "missing", "s.id IS NULL OR s.summarized_at = '' OR s.quality = 'low'")
+
+
 @query("c7_stale_mode_newest", "WITH " + SNAP_SQL + STORE_SQL + """
 SELECT a.id, 'refresh' AS reason, 2 AS priority, a.last_seen_at FROM snap_after a LEFT JOIN store s ON s.id = a.id
 WHERE s.id IS NULL OR s.summarized_at = '' OR s.quality = 'low' OR s.profile <> 'p2' ORDER BY last_seen_at DESC, ord, a.id LIMIT 50""")

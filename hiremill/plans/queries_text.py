@@ -123,11 +123,10 @@ SIG = S.SignalRules(
 
 
 def cleaned(spark, sf):
-    """Rows with short cleaned lists: the signals' evidence is title, labels and the last task line."""
+    """Rows with their cleaned lists: all lines of the text, its long lines as tasks and all long words as skills."""
     p = posting_doc(spark, sf)
-    last = F.filter(F.array(F.try_element_at("tasks", F.lit(-1))), lambda x: x.isNotNull())
-    return p.withColumns({"c_detail": last, "c_tasks": F.slice("tasks", 1, 1), "c_requirements": empty_list(), "c_preferred": empty_list(),
-                          "c_skills": F.slice("skills", 1, 4), "m_model": F.when(F.col("n_chars") % 5 == 0, F.array(F.lit("given"), F.lit("ertion"), F.lit("given"))).otherwise(empty_list())})
+    return p.withColumns({"c_detail": F.col("tasks"), "c_tasks": F.col("requirements"), "c_requirements": empty_list(), "c_preferred": empty_list(),
+                          "c_skills": F.col("skills"), "m_model": F.when(F.col("n_chars") % 5 == 0, F.array(F.lit("given"), F.lit("ertion"), F.lit("given"))).otherwise(empty_list())})
 
 
 def sig(name, col="txt"):
@@ -135,7 +134,7 @@ def sig(name, col="txt"):
 
 
 SIG_SQL = POSTING_SQL + """,
-sg0 AS (SELECT *, lower(regexp_replace(concat_ws(' ', nullif(title, ''), nullif(summary, ''), nullif(focus_label, ''), nullif(array_to_string(keywords, ' '), ''), tasks[-1], tasks[1], nullif(array_to_string(skills[1:4], ' '), '')), '\\s+', ' ', 'g')) AS txt,
+sg0 AS (SELECT *, lower(regexp_replace(concat_ws(' ', nullif(title, ''), nullif(summary, ''), nullif(focus_label, ''), nullif(array_to_string(keywords, ' '), ''), nullif(array_to_string(tasks, ' '), ''), nullif(array_to_string(requirements, ' '), ''), nullif(array_to_string(skills, ' '), '')), '\\s+', ' ', 'g')) AS txt,
   lower(summary) AS sml, quality = 'low' AS low FROM posting),
 kw0 AS (SELECT *, list_transform(keywords, lambda x: CASE WHEN x = 'inoran' THEN 'Thatin' WHEN x = 'ononst' THEN 'Ononst' ELSE replace(x, 'thatin', 'Thatin') END) AS ckw FROM sg0),
 kw1 AS (SELECT *, lower(concat_ws(' ', nullif(trim(summary, ' -–—·•▪*'), ''), nullif(array_to_string(ckw, ' '), ''))) AS joined FROM kw0),
@@ -168,10 +167,11 @@ def signal_rows(spark, sf):
 
 
 @query("f1_match_signals", "WITH " + SIG_SQL + " SELECT id, " + ", ".join(f"array_to_string({c}, '|') AS {c}" for c in SIG_COLS) + """,
-  array_to_string(CASE WHEN low THEN ['low_confidence'] ELSE list_filter([CASE WHEN focus_label IN ('click', 'hehely') THEN 'broad_focus_input' END,
+  array_to_string(CASE WHEN low THEN list_filter(['low_confidence', sprs], lambda x: x IS NOT NULL) ELSE list_filter([CASE WHEN focus_label IN ('click', 'hehely') THEN 'broad_focus_input' END,
     CASE WHEN len(domain_signals) + len(problem_signals) = 0 THEN 'missing_domain_problem_signal' END,
-    CASE WHEN len(domain_signals) + len(problem_signals) = 0 AND len(system_signals) > 0 THEN 'system_only_signal' END], lambda x: x IS NOT NULL) END, '|') AS notes,
-  array_to_string(list_distinct([upper(role), role]), '|') <> '' AS has_role FROM signals""")
+    CASE WHEN len(domain_signals) + len(problem_signals) = 0 AND len(system_signals) > 0 THEN 'system_only_signal' END, sprs], lambda x: x IS NOT NULL) END, '|') AS notes,
+  array_to_string(list_distinct([upper(role), role]), '|') <> '' AS has_role
+FROM (SELECT *, CASE WHEN len(tasks) + len(requirements) <= 1 THEN 'sparse_input_signal' END AS sprs FROM signals)""")
 def f1(spark, sf):
     m = signal_rows(spark, sf)
     return m.select("id", *[join_list(c).alias(c) for c in SIG_COLS], join_list("confidence_notes").alias("notes"), (F.size("role_signals") > 0).alias("has_role"))
@@ -282,8 +282,8 @@ def f6(spark, sf):
 
 
 @query("f7_confidence_gate", "WITH " + POSTING_SQL + """,
-cg AS (SELECT *, least(len(tasks), 1) AS one, len(skills[1:4]) AS sk, len(keywords) AS kn FROM posting)
-SELECT id, (one * 2 = 0 AND sk <= 1) OR (one * 2 <= 1 AND sk = 0) OR (summary = '' AND kn <= 1 AND one * 2 <= 1) AS force_low, (one = 1 AND sk >= 2) OR sk >= 4 AS strong_input FROM cg""")
+cg AS (SELECT *, len(tasks) + len(requirements) AS dt, len(skills) AS sk, len(keywords) AS kn FROM posting)
+SELECT id, (dt = 0 AND sk <= 1) OR (dt <= 1 AND sk = 0) OR (summary = '' AND kn <= 1 AND dt <= 1) AS force_low, dt >= 4 OR (dt >= 2 AND sk >= 2) OR sk >= 4 AS strong_input FROM cg""")
 def f7(spark, sf):
     return S.confidence_gate(cleaned(spark, sf), SIG).select("id", "force_low", "strong_input")
 
@@ -304,11 +304,11 @@ def vote_rows(p):
     pick = lambda k: F.element_at(F.array(*[F.lit(x) for x in ("en", "fr", "de", "es", "xx")]), ((n / k).cast("bigint") % 5 + 1).cast("int"))
     return p.select("id", "title", "quality", "focus_label", "keywords", F.col("role").alias("raw_role"), pick(1).alias("summary_role"), F.array(pick(3)).alias("role_signals"),
                     pick(7).alias("mapped_role"), F.when(n % 4 < 2, pick(11)).otherwise("").alias("classifier_role"),
-                    F.when(n % 3 == 0, "high").when(n % 3 == 1, "medium").otherwise("low").alias("classifier_confidence"), F.lower("title").alias("evidence"))
+                    F.when(n % 3 == 0, "high").when(n % 3 == 1, "medium").otherwise("low").alias("classifier_confidence"), F.lower(F.concat_ws(" ", "title", "summary", F.array_join("keywords", " "))).alias("evidence"))
 
 
 VOTE_SQL = POSTING_SQL + """,
-v0 AS (SELECT id, lower(trim(regexp_replace(title, '\\s+', ' ', 'g'))) AS t, lower(title) AS ev, role AS raw, ['en', 'fr', 'de', 'es', NULL][n_chars % 5 + 1] AS sm, ['en', 'fr', 'de', 'es', NULL][n_chars // 3 % 5 + 1] AS sg,
+v0 AS (SELECT id, lower(trim(regexp_replace(title, '\\s+', ' ', 'g'))) AS t, lower(concat_ws(' ', title, summary, array_to_string(keywords, ' '))) AS ev, role AS raw, ['en', 'fr', 'de', 'es', NULL][n_chars % 5 + 1] AS sm, ['en', 'fr', 'de', 'es', NULL][n_chars // 3 % 5 + 1] AS sg,
   ['en', 'fr', 'de', 'es', NULL][n_chars // 7 % 5 + 1] AS mp, CASE WHEN n_chars % 4 < 2 THEN ['en', 'fr', 'de', 'es', NULL][n_chars // 11 % 5 + 1] END AS cl, ['high', 'medium', 'low'][n_chars % 3 + 1] AS cf FROM posting),
 v1 AS (SELECT *, unnest(['en', 'fr', 'de', 'es']) AS r, unnest([0, 1, 2, 3]) AS rk FROM v0),
 v2 AS (SELECT *, round(CASE WHEN raw = r THEN 3.0 ELSE 0 END + CASE WHEN sm = r THEN 3.5 ELSE 0 END + CASE WHEN sg = r THEN 4.0 ELSE 0 END + CASE WHEN mp = r THEN 1.25 ELSE 0 END
@@ -364,13 +364,20 @@ def f10(spark, sf):
 
 
 @query("f11_scope_guard_off", "WITH " + SCOPE_SQL + """,
-off AS (SELECT s.*, CASE WHEN rec THEN 'exclude' ELSE scope_action END AS oa, l.quality AS g FROM scope s LEFT JOIN labels l ON l.doc_id = s.ord),
-m AS (SELECT count(*) AS n, count(*) FILTER (oa = 'include') AS b, count(*) FILTER (rec) AS r, count(*) FILTER (oa = 'exclude' AND g = 1) AS f FROM off)
-SELECT 'source_rows' AS metric, CAST(n AS DOUBLE) AS value FROM m UNION ALL SELECT 'board_rows', b FROM m UNION ALL SELECT 'filtered_rows', n - b FROM m UNION ALL SELECT 'guard_recovered_rows', r FROM m
-UNION ALL SELECT 'false_hard_excludes', f FROM m UNION ALL SELECT 'retention_rate', round_even(b / n, 6) FROM m UNION ALL SELECT 'filtered_out_rate', round_even((n - b) / n, 6) FROM m""")
+off AS (SELECT s.*, CASE WHEN rec THEN 'exclude' ELSE scope_action END AS oa, l.quality AS g, s.quality = 'high' AS hi,
+  (regexp_matches(ev, 'thanea|attion') OR (role = 'de' AND contains(ev, 'und'))) AND NOT contains(concat_ws(' ', t, focus_label, array_to_string(keywords[1:2], ' ')), 'stupid') AS sgn
+  FROM scope s LEFT JOIN labels l ON l.doc_id = s.ord),
+offf AS (SELECT *, (rec AND coalesce(g, 1) = 1) OR (act = 'exclude' AND coalesce(g, 0) = 1) AS rcv, oa = 'exclude' AND CASE WHEN g IS NOT NULL THEN g = 1 ELSE sgn END AS fx FROM off),
+m AS (SELECT count(*) AS n, count(*) FILTER (oa = 'include') AS b, count(*) FILTER (scope_action = 'include') AS onb, count(*) FILTER (oa = 'review') AS rv, count(*) FILTER (oa = 'exclude') AS hx,
+  count(*) FILTER (rcv) AS r, count(*) FILTER (rcv AND hi) AS rh, count(*) FILTER (fx) AS f, count(*) FILTER (fx AND hi) AS fh FROM offf)
+SELECT metric, CAST(value AS DOUBLE) AS value, target, CASE WHEN target IS NULL THEN NULL WHEN metric = 'retention_rate' THEN value >= target ELSE value <= target END AS passed FROM (
+  SELECT 'source_rows' AS metric, CAST(n AS DOUBLE) AS value, CAST(NULL AS DOUBLE) AS target FROM m UNION ALL SELECT 'guard_on_board_rows', onb, NULL FROM m UNION ALL SELECT 'board_rows', b, NULL FROM m
+  UNION ALL SELECT 'filtered_rows', n - b, NULL FROM m UNION ALL SELECT 'review_rows', rv, NULL FROM m UNION ALL SELECT 'hard_excluded_rows', hx, NULL FROM m
+  UNION ALL SELECT 'guard_recovered_rows', r, 0 FROM m UNION ALL SELECT 'guard_recovered_high_rows', rh, 0 FROM m UNION ALL SELECT 'excluded_ai_adjacent_rows', f, 0 FROM m
+  UNION ALL SELECT 'excluded_high_quality_rows', fh, 10 FROM m UNION ALL SELECT 'retention_rate', round_even(b / n, 6), 0.8 FROM m UNION ALL SELECT 'filtered_out_rate', round_even((n - b) / n, 6), 0.2 FROM m)""")
 def f11(spark, sf):
     gold = table(spark, sf, "labels").select(F.col("doc_id").cast("string").alias("id"), F.when(F.col("quality") == 1, "include").otherwise("exclude").alias("expected"))
-    return K.scope_guard_off(scope_rows(spark, sf), gold, SCOPE).select("metric", "value")
+    return K.scope_guard_off(scope_rows(spark, sf), gold, SCOPE)
 
 
 @query("f12_needs_adjudication", "WITH " + VOTE_SQL + """,

@@ -20,6 +20,7 @@ def local_session(cpus: str = "8", app: str = "hiremill") -> SparkSession:
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", os.environ.get("HIREMILL_DRIVER_MEM", "8g"))
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
@@ -27,11 +28,13 @@ def local_session(cpus: str = "8", app: str = "hiremill") -> SparkSession:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the shared folder the cluster names; fall back to a temporary one only where none is named."""
+    """Use the shared folder the cluster names. Only a local master falls back to a temporary folder; a cluster must name one."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is not None:
         return
     shared = spark.conf.get(CHECKPOINT_CONF, None) or sc.getConf().get(CHECKPOINT_CONF)
+    if not shared and not (sc.master == "local" or sc.master.startswith("local[")):
+        raise ValueError(f"set {CHECKPOINT_CONF} to a folder that all executors share")
     sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
 
 
