@@ -218,3 +218,43 @@ def test_quality_score_bounds(spark):
     df = posting(spark, experience="", track="", focus="", first_seen_at="bad", last_seen_at="", active=False, tasks=[], requirements=[], skills=[], title=" ")
     r = E.posting_quality(B.normalize_taxonomy(df)).first()
     assert r["quality_score"] == 28 and len(r["review_issues"]) == 7 and r["review_priority"] == "high" and r["first_seen_date"] is None
+
+
+def test_fixed_values_of_the_review_and_the_market_profile(spark):
+    from hiremill.operators import market as M
+
+    flags = spark.createDataFrame([("ok",), ("o",), ("X",), (" Pass ",), (None,)], "x string")
+    assert [r["v"] for r in flags.select(R.parse_flag("x").alias("v")).collect()] == [True, None, False, True, None]
+    assert val(one(spark, x="a, b|a| a "), R.keyword_list("x")) == ["a, b", "a"]
+    for x in ("최종합격", "혜택 및 복지", "복리후생", "재택근무", "유연출근", "간식 제공", "레퍼런스 체크", "채용절차법", "처우협의"):
+        assert x in M.PROFILE.snippets
+    assert len(M.PROFILE.snippets) == 21
+
+
+def test_keyed_sides_count_once_and_modes_are_checked(spark):
+    import pytest
+
+    from hiremill.operators import reconcile as C
+
+    posts = spark.createDataFrame([("a", 1, "s1", "2024", "review"), ("b", 2, "s2", "2024", "include"), ("c", 3, "s3", "2024", "review")], "id string, ord long, signature string, last_seen_at string, scope_action string")
+    store = spark.createDataFrame([("a", 1, "s1"), ("a", 2, "old"), ("b", 3, "s2"), ("b", 4, "s2")], "id string, ord long, signature string")
+    targets = lambda kind, mode: [r["id"] for r in C.incremental_targets(posts, None, store, kind=kind, mode=mode).collect()]
+    assert targets("scope", "stale") == ["a"] and targets("scope", "missing") == ["a", "c"] and targets("scope", "review") == ["a", "c"] and targets("scope", "all") == ["a", "b", "c"]
+    assert targets("role", "stale") == ["a", "c"]
+    with pytest.raises(ValueError):
+        targets("role", "review")
+
+
+def test_guard_off_targets(spark):
+    from hiremill.operators import classify as K
+
+    targets = {n: (d, v) for n, d, v in K.GUARD_TARGETS}
+    assert targets == {"guard_recovered_rows": ("max", 0.0), "guard_recovered_high_rows": ("max", 0.0), "excluded_ai_adjacent_rows": ("max", 0.0), "excluded_high_quality_rows": ("max", 10.0),
+                       "retention_rate": ("min", 0.8), "filtered_out_rate": ("max", 0.2)}
+
+
+def test_large_samples_of_one_hot_key(spark):
+    from hiremill.functions.rank import top_k
+
+    rows = spark.range(5000).select((F.col("id") * 0).alias("k"), "id")
+    assert sorted(r["id"] for r in top_k(rows, ["k"], [F.col("id").desc()], 1500).collect()) == list(range(3500, 5000))
