@@ -24,16 +24,19 @@ def tidy_rows(raw: DataFrame, ord_col: str | None = None) -> DataFrame:
     return out.dropna("all", subset=[n for _, n in named])
 
 
-def read_snapshot(spark: SparkSession, path: str, fmt: str = "csv", ord_col: str | None = None) -> DataFrame:
+def read_snapshot(spark: SparkSession, path: str, fmt: str = "csv", ord_col: str | None = None, multi_line: bool = False) -> DataFrame:
     """A tabular snapshot as string rows with a source ordinal.
 
-    Without an ordinal column the ordinal follows file order; write the result once before use, so that
-    a recomputed task cannot number rows differently.
+    CSV is read in splits; `multi_line` allows line breaks inside cells and makes every file one task. The ordinal is a column of the
+    table; only a snapshot of a single file may go without one and is numbered in file order, because splits of several files are dealt
+    by size. Write such a result once before use, so that a recomputed task cannot number rows differently.
     """
     if fmt == "csv":
-        raw = spark.read.csv(path, header=True, multiLine=True, escape='"', encoding="UTF-8")
+        raw = spark.read.csv(path, header=True, multiLine=multi_line, escape='"', encoding="UTF-8")
     else:
         raw = spark.read.format(fmt).load(path)
+    if ord_col is None and len(raw.inputFiles()) > 1:
+        raise ValueError(f"{path} holds several files: name the column that orders their rows")
     return tidy_rows(raw, ord_col)
 
 
@@ -55,8 +58,14 @@ def source_size_guard(new: DataFrame, previous: DataFrame, min_rows: int = 0, sh
     return out
 
 
-def load_keyed_store(spark: SparkSession, path: str, item_schema: T.StructType, key: str = "id") -> DataFrame:
-    """A `{updatedAt, items: {key: record}}` JSON document as one row per key."""
+def load_keyed_store(spark: SparkSession, path: str, item_schema: T.StructType, key: str = "id", lines: bool = False) -> DataFrame:
+    """A keyed store as one row per key: JSON lines (`lines`), or one `{updatedAt, items: {key: record}}` document.
+
+    A document is a single value that one task reads; it is meant for a one-time import into lines or Parquet.
+    """
+    if lines:
+        own = T.StructType([T.StructField(key, T.StringType()), *[f for f in item_schema.fields if f.name != key]])
+        return spark.read.schema(own).json(path).where(F.col(key).isNotNull())
     schema = T.StructType([T.StructField("updatedAt", T.StringType()),
                            T.StructField("items", T.MapType(T.StringType(), item_schema))])
     docs = spark.read.schema(schema).json(path, multiLine=True)

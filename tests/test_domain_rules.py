@@ -168,7 +168,7 @@ def test_snapshot_reader_and_guard(spark, tmp_path):
 
     p = tmp_path / "s.csv"
     p.write_text("﻿ 공고키 ,회사명,\n a , x ,1\n,,\nb,\"two\nlines\",\n", encoding="utf-8")
-    rows = A.read_snapshot(spark, str(p)).orderBy("ord").collect()
+    rows = A.read_snapshot(spark, str(p), multi_line=True).orderBy("ord").collect()
     assert [(r["공고키"], r["회사명"]) for r in rows] == [("a", "x"), ("b", "two\nlines")]
     many, few = spark.range(100), spark.range(80)
     assert A.source_size_guard(few, many).first()["passed"] is False and A.source_size_guard(few, many, allow_shrink=True).first()["passed"] is True
@@ -258,3 +258,22 @@ def test_large_samples_of_one_hot_key(spark):
 
     rows = spark.range(5000).select((F.col("id") * 0).alias("k"), "id")
     assert sorted(r["id"] for r in top_k(rows, ["k"], [F.col("id").desc()], 1500).collect()) == list(range(3500, 5000))
+
+
+def test_snapshots_of_several_files_need_an_order(spark, tmp_path):
+    import pytest
+
+    for i in (0, 1):
+        (tmp_path / f"{i}.csv").write_text(f"id,n\na{i},{i}\n", encoding="utf-8")
+    with pytest.raises(ValueError):
+        A.read_snapshot(spark, str(tmp_path))
+    assert [r["ord"] for r in A.read_snapshot(spark, str(tmp_path), ord_col="n").orderBy("ord").collect()] == [0, 1]
+
+
+def test_keyed_store_of_lines(spark, tmp_path):
+    from pyspark.sql import types as T_
+
+    p = tmp_path / "lines.json"
+    p.write_text('{"id": "a", "x": "1"}\n{"x": "2"}\n{"id": "b", "x": "3"}\n', encoding="utf-8")
+    rows = A.load_keyed_store(spark, str(p), T_.StructType([T_.StructField("x", T_.StringType())]), lines=True).collect()
+    assert sorted((r["id"], r["x"]) for r in rows) == [("a", "1"), ("b", "3")]
