@@ -7,9 +7,11 @@ Every scan hashes words and shingles as arrays; a document's set is a sorted arr
 2. Leaders: nodes that share a least hash and a size band are compared with one leader of the group. The links that hold give first
    components, so that large families of near copies are one component before pairs are looked for.
 3. Tiles: two linked sets must share a shingle among the first |x| - ceil(0.8 |x|) + 1 of each. These prefixes are dealt into tiles of
-   bounded size by shingle. In a tile the sets of a shingle stand in order of size; a set meets those of its size band only (n to 1.25 n),
-   only across components, and only if the hashed bitmap signatures allow it: the bit count of the difference of two parity bitmaps is
-   a lower bound of the sets' difference, hence bounds the overlap from above.
+   bounded size by shingle; shingles of one component only are left out. In a tile the sets of a shingle stand in order of size; a set
+   meets those of its size band only (n to 1.25 n), only across components, and only if the hashed bitmap signatures allow it: the bit
+   count of the difference of two parity bitmaps is a lower bound of the sets' difference, hence bounds the overlap from above.
+   A tile is walked twice: first each two components bring their best pair only, and after the links of those have joined components,
+   all pairs that are left.
 4. Verification: the pairs that are left fetch whole texts and intersect the sorted arrays exactly.
 5. Components of all links by alternating large-star and small-star steps.
 
@@ -31,9 +33,10 @@ from hiremill.llm.shared import ship_package, written
 
 SHINGLE_WORDS, PERCENT = 5, 80
 #: Frequent shingles that are broadcast at most; sets of one task that share a shingle before it is reported.
-FREQUENT, SHARED_SETS = 1 << 20, 3
-#: Prefix shingles of a tile (about), ratio of the size bands of the leaders, shingles that a task counts at once, bits of the id filter.
-TILE_KEYS, BAND, COUNTED, FILTER_BITS = 2_000_000, 1.12, 6_000_000, 1 << 24
+FREQUENT, SHARED_SETS = 1 << 18, 2
+#: Prefix shingles of a tile (about) and tiles at least, ratio of the size bands of the leaders, shingles that a task counts at once, bits
+#: of the id filter.
+TILE_KEYS, TILES, BAND, COUNTED, FILTER_BITS = 2_000_000, 24, 1.12, 3_000_000, 1 << 24
 _SEEDS = [np.uint64(0x243F6A8885A308D3), np.uint64(0x13198A2E03707344)]
 
 
@@ -93,8 +96,8 @@ def prefix_length(n: np.ndarray | int, percent: int = PERCENT):
 
 
 def bitmap_words(n: int) -> int:
-    """64-bit words of the parity bitmap of a set of n: a power of two, about a bit for each shingle."""
-    return 1 << max(0, (int(n / 1.5) // 64).bit_length())
+    """64-bit words of the parity bitmap of a set of n: a power of two, four to eight bits for each shingle."""
+    return 1 << (n // 16).bit_length()
 
 
 def parity_bitmap(hashes: np.ndarray, words: int) -> np.ndarray:
@@ -103,9 +106,9 @@ def parity_bitmap(hashes: np.ndarray, words: int) -> np.ndarray:
     return np.packbits(odd.astype(np.uint8)).view(np.uint64)
 
 
-def folded(bitmap: np.ndarray, words: int) -> np.ndarray:
-    """A parity bitmap at a smaller width."""
-    return np.bitwise_xor.reduce(bitmap.reshape(-1, words), axis=0)
+def folded(bitmaps: np.ndarray, words: int) -> np.ndarray:
+    """Rows of parity bitmaps at a smaller width."""
+    return np.bitwise_xor.reduce(bitmaps.reshape(len(bitmaps), -1, words), axis=1)
 
 
 def nodes_of(docs: DataFrame, key: str, text: str) -> tuple[DataFrame, DataFrame]:
@@ -150,11 +153,25 @@ def nodes_of(docs: DataFrame, key: str, text: str) -> tuple[DataFrame, DataFrame
 
 
 def frequent_shingles(shared: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted hashes of the most frequent shared shingles, and the rank of each by frequency; at most FREQUENT."""
-    rows = shared.groupBy("shingle").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "shingle").limit(FREQUENT).toPandas()
-    hashes = rows["shingle"].to_numpy(np.int64).view(np.uint64)
+    """Sorted hashes of the most frequent shared shingles, and the rank of each by frequency; at most FREQUENT.
+
+    The histogram of the counts gives the least count that is taken; the driver gets no more rows than that.
+    """
+    counted = shared.groupBy("shingle").agg(F.sum("n").alias("n"))
+    total, least = 0, None
+    for r in counted.groupBy("n").agg(F.count("*").alias("shingles")).orderBy(F.desc("n")).collect():
+        total += r["shingles"]
+        if total > FREQUENT:
+            break
+        least = r["n"]
+    if least is None:
+        return np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+    rows = counted.where(F.col("n") >= least).toPandas()
+    hashes, n = rows["shingle"].to_numpy(np.int64).view(np.uint64), rows["n"].to_numpy(np.int64)
+    rank = np.empty(len(rows), np.uint64)
+    rank[np.lexsort((hashes, n))] = np.arange(len(rows), dtype=np.uint64)
     order = np.argsort(hashes)
-    return hashes[order], (len(rows) - 1 - np.arange(len(rows)))[order].astype(np.uint64)
+    return hashes[order], rank[order]
 
 
 def leader_pairs(nodes: DataFrame) -> DataFrame:
@@ -279,57 +296,107 @@ def prefix_table(docs: DataFrame, text: str, frequent: tuple[np.ndarray, np.ndar
     return written(docs.select(text).mapInArrow(run, "node long, n int, keys binary, bitmap binary"), "prefixes")
 
 
-def tile_pairs(frame: pd.DataFrame) -> pd.DataFrame:
-    """Candidate pairs of a tile: nodes of different components with a common prefix shingle, fitting sizes and bitmaps."""
-    frame = frame.sort_values(["n", "node"], kind="stable").reset_index(drop=True)
-    node, comp, n = (frame[c].to_numpy(np.int64) for c in ("node", "comp", "n"))
-    lengths = frame["keys"].map(len).to_numpy() // 8
+def _by_key(frame: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Keys and rows of a tile in order of key and row, and which keys stand in several components."""
+    comp = frame["comp"].to_numpy(np.int64)
     key = np.frombuffer(b"".join(frame["keys"]), np.uint64)
-    row = np.repeat(np.arange(len(frame)), lengths)
+    row = np.repeat(np.arange(len(frame)), frame["keys"].map(len).to_numpy() // 8)
     order = np.lexsort((row, key))
     key, row = key[order], row[order]
     start = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
-    size = np.diff(np.append(start, len(key)))
-    mixed_group = np.minimum.reduceat(comp[row], start) != np.maximum.reduceat(comp[row], start)
-    keep = np.repeat(mixed_group & (size > 1), size)
-    key, row = key[keep], row[keep]
-    bitmaps = [np.frombuffer(b, np.uint64) for b in frame["bitmap"]]
-    tested: set[int] = set()
-    found_a, found_b = [], []
+    across = np.minimum.reduceat(comp[row], start) != np.maximum.reduceat(comp[row], start)
+    return key, row, np.repeat(across, np.diff(np.append(start, len(key))))
+
+
+def shared_keys(frame: pd.DataFrame) -> pd.DataFrame:
+    """The rows of a tile with the keys that stand in several components; rows without one are left out."""
+    key, row, across = _by_key(frame)
+    key, row = key[across], row[across]
+    order = np.argsort(row, kind="stable")
+    key, row = key[order], row[order]
+    start = np.flatnonzero(np.append(True, row[1:] != row[:-1])) if len(row) else np.zeros(0, np.int64)
+    raw, ends = key.tobytes(), np.append(start, len(key)) * 8
+    out = frame.iloc[row[start]][["tile", "node", "comp", "n"]].copy()
+    out["keys"] = [raw[s:e] for s, e in zip(ends, ends[1:])]
+    return out
+
+
+class Bitmaps:
+    """Parity bitmaps by width, for bounds of many pairs at once."""
+
+    def __init__(self, blobs: list[bytes]):
+        self.width = np.asarray([len(b) // 8 for b in blobs])
+        self.place = np.zeros(len(blobs), np.int64)
+        self.rows: dict[int, np.ndarray] = {}
+        for w in np.unique(self.width).tolist():
+            own = np.flatnonzero(self.width == w)
+            self.place[own] = np.arange(len(own))
+            self.rows[w] = np.frombuffer(b"".join(blobs[i] for i in own), np.uint64).reshape(-1, w)
+
+    def difference(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """Lower bounds of the sets' differences for pairs of rows."""
+        out = np.zeros(len(x), np.int64)
+        widths = self.width[x] * (1 << 32) + self.width[y]
+        for code in np.unique(widths).tolist():
+            at, a, b = np.flatnonzero(widths == code), code >> 32, code & (2**32 - 1)
+            low = min(a, b)
+            for part in np.array_split(at, 1 + len(at) * max(a, b) // 4_000_000):
+                left, right = self.rows[a][self.place[x[part]]], self.rows[b][self.place[y[part]]]
+                out[part] = np.bitwise_count((folded(left, low) if a > low else left) ^ (folded(right, low) if b > low else right)).sum(1)
+        return out
+
+
+def tile_pairs(frame: pd.DataFrame, best_only: bool) -> pd.DataFrame:
+    """Candidate pairs of a tile: nodes of different components with a common prefix shingle, fitting sizes and bitmaps.
+
+    best_only: of each two components the pair with the greatest bound.
+    """
+    frame = frame.sort_values(["n", "node"], kind="stable").reset_index(drop=True)
+    node, comp, n = (frame[c].to_numpy(np.int64) for c in ("node", "comp", "n"))
+    key, row, across = _by_key(frame)
+    key, row = key[across], row[across]
+    bitmaps, found, bounds, held = Bitmaps(list(frame["bitmap"])), [], [], []
+
+    def test() -> None:
+        codes = np.unique(np.concatenate(held)) if held else np.zeros(0, np.int64)
+        held.clear()
+        x, y = codes // len(frame), codes % len(frame)
+        total = n[x] + n[y]
+        most = (total - bitmaps.difference(x, y)) // 2
+        fits = 100 * most >= PERCENT * (total - most)
+        found.append(codes[fits])
+        bounds.append((most / np.maximum(total - most, 1))[fits])
+
     active, step = np.arange(len(key)), 0
     while len(active):
         step += 1
         active = active[active + step < len(key)]
-        i, j = active, active + step
-        near = (key[i] == key[j]) & (100 * n[row[i]] >= PERCENT * n[row[j]])
-        active = i = active[near]
-        x, y = row[i], row[i + step]
-        across = comp[x] != comp[y]
-        for code in np.unique(x[across] * len(frame) + y[across]).tolist():
-            if code in tested:
-                continue
-            tested.add(code)
-            p, q = divmod(code, len(frame))
-            a, b = bitmaps[p], bitmaps[q]
-            if len(a) != len(b):
-                a, b = folded(a, min(len(a), len(b))), folded(b, min(len(a), len(b)))
-            total = n[p] + n[q]
-            most = (total - int(np.bitwise_count(a ^ b).sum())) // 2
-            if 100 * most >= PERCENT * (total - most):
-                found_a.append(node[p])
-                found_b.append(node[q])
-    return pd.DataFrame({"a": np.asarray(found_a, np.int64), "b": np.asarray(found_b, np.int64)})
-
-
-def candidate_pairs(prefixes: DataFrame, roots: DataFrame) -> DataFrame:
-    """(a, b) over all tiles."""
+        active = active[(key[active] == key[active + step]) & (100 * n[row[active + step]] * PERCENT <= 10_000 * n[row[active]])]
+        x, y = row[active], row[active + step]
+        new = comp[x] != comp[y]
+        held.append(x[new] * len(frame) + y[new])
+        if sum(map(len, held)) > 2_000_000:
+            test()
+    test()
+    codes, place = np.unique(np.concatenate(found), return_index=True)
+    if best_only:
+        bound, x, y = np.concatenate(bounds)[place], comp[codes // len(frame)], comp[codes % len(frame)]
+        low, high = np.minimum(x, y), np.maximum(x, y)
+        order = np.lexsort((-bound, high, low))
+        first = np.ones(len(order), bool)
+        first[1:] = (low[order][1:] != low[order][:-1]) | (high[order][1:] != high[order][:-1])
+        codes = codes[order[first]]
+    return pd.DataFrame({"a": node[codes // len(frame)], "b": node[codes % len(frame)]})
+
+
+def tiles_of(prefixes: DataFrame, roots: DataFrame) -> DataFrame:
+    """Scratch table (tile, node, comp, n, keys): the prefixes dealt into tiles, without keys that one component has alone."""
     total = prefixes.agg(F.sum(F.length("keys")).alias("bytes")).first()["bytes"] or 0
-    tiles = max(prefixes.sparkSession.sparkContext.defaultParallelism, -(-total // 8 // TILE_KEYS))
-    own = prefixes.dropDuplicates(["node"]).join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("comp"), "n", "keys", "bitmap")
+    tiles = max(TILES, -(-total // 8 // TILE_KEYS))
+    own = prefixes.select("node", "n", "keys").dropDuplicates(["node"]).join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("comp"), "n", "keys")
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            names = ["tile", "node", "comp", "n", "keys", "bitmap"]
             for lo in range(0, batch.num_rows, 500):
                 part = batch.slice(lo, 500)
                 blobs = part.column(3).to_pylist()
@@ -343,10 +410,20 @@ def candidate_pairs(prefixes: DataFrame, roots: DataFrame) -> DataFrame:
                 at = pa.array(code[start] // tiles)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array((code[start] % tiles).astype(np.int32)), part.column(0).take(at), part.column(1).take(at), part.column(2).take(at),
-                     pa.array([raw[s:e] for s, e in zip(ends, ends[1:])], pa.binary()), part.column(4).take(at)], names=names)
+                     pa.array([raw[s:e] for s, e in zip(ends, ends[1:])], pa.binary())], names=["tile", "node", "comp", "n", "keys"])
+
+    schema = "tile int, node long, comp long, n int, keys binary"
+    return written(own.mapInArrow(deal, schema).groupBy("tile").applyInPandas(shared_keys, schema), "shared")
+
 
-    dealt = own.mapInArrow(deal, "tile int, node long, comp long, n int, keys binary, bitmap binary")
-    return written(dealt.groupBy("tile").applyInPandas(tile_pairs, "a long, b long").distinct(), "pairs")
+def candidate_pairs(tiles: DataFrame, prefixes: DataFrame, best_only: bool) -> DataFrame:
+    """(a, b) over all tiles. Only the nodes of the tiles bring their bitmaps."""
+    bitmaps = prefixes.select("node", "bitmap").join(tiles.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"])
+
+    def pairs(frame: pd.DataFrame) -> pd.DataFrame:
+        return tile_pairs(frame, best_only)
+
+    return written(tiles.join(bitmaps, "node").groupBy("tile").applyInPandas(pairs, "a long, b long").distinct(), "pairs")
 
 
 def labelled(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -358,9 +435,15 @@ def labelled(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
     homes = nodes.select("node", "doc_id")
     first = verified(leader_pairs(nodes), docs, homes, key, text)
     roots = connected(first)
-    pairs = candidate_pairs(prefix_table(docs.where(F.col(key).isNotNull()), text, frequent_shingles(shared)), roots)
-    second = verified(pairs, docs, homes, key, text)
-    roots = connected(first.unionByName(second))
+    prefixes = prefix_table(docs.where(F.col(key).isNotNull()), text, frequent_shingles(shared))
+    tiles = tiles_of(prefixes, roots)
+    best = candidate_pairs(tiles, prefixes, True)
+    links = first.unionByName(verified(best, docs, homes, key, text))
+    roots = connected(links)
+    again = tiles.drop("comp").join(roots, "node", "left").select("tile", "node", F.coalesce("root", "node").alias("comp"), "n", "keys")
+    across = written(again.groupBy("tile").applyInPandas(shared_keys, "tile int, node long, comp long, n int, keys binary"), "shared")
+    rest = candidate_pairs(across, prefixes, False).join(best, ["a", "b"], "left_anti")
+    roots = connected(links.unionByName(verified(rest, docs, homes, key, text)))
     named = homes.join(roots, "node", "left").select("node", "doc_id", F.coalesce("root", "node").alias("root"))
     least = named.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     labels = named.join(least, "root").select("node", "component_id")
@@ -383,9 +466,27 @@ def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
 
     Documents without words stay (repeated rows once), and so do all rows without an id.
     """
-    labels = labelled(docs, key, text).where("doc_id IS NOT NULL")
-    chosen = labels.where("n > 0").groupBy("component_id").agg(F.min(F.struct("doc_id", "mark")).alias("first")).select("first.doc_id", "first.mark")
-    stay = chosen.unionByName(labels.where("n = 0").select("doc_id", "mark")).distinct().withColumnsRenamed({"doc_id": "__id", "mark": "__mark"})
+    spark = docs.sparkSession
+    rows = written(labelled(docs, key, text).where("doc_id IS NOT NULL").groupBy("doc_id", "mark").agg(
+        F.max("n").alias("n"), F.min("component_id").alias("component_id"), F.count("*").alias("copies")), "labels")
+    chosen = rows.where("n > 0").groupBy("component_id").agg(F.min(F.struct("doc_id", "mark")).alias("first")).select("first.doc_id", "first.mark")
+    stay = chosen.unionByName(rows.where("n = 0").select("doc_id", "mark"))
+    # Texts are shuffled only where a row has to go or is repeated, and where the fixed-size filter takes it for such a row.
+    unclear = rows.join(stay, ["doc_id", "mark"], "left_anti").select("doc_id", "mark").unionByName(rows.where("copies > 1").select("doc_id", "mark"))
+    bits = spark.sparkContext.broadcast(_id_filter(unclear.select(F.xxhash64("doc_id", "mark").alias("doc_id"))))
     mark = F.xxhash64(F.coalesce(F.col(text), F.lit("")))
-    linked = docs.where(F.col(key).isNotNull()).join(stay, (F.col(key).cast("long") == F.col("__id")) & (mark == F.col("__mark")))
-    return linked.dropDuplicates(["__id", "__mark"]).select(*[F.col(f"`{c}`") for c in docs.columns]).unionByName(docs.where(F.col(key).isNull()))
+    marked = docs.withColumns({"__id": F.col(key).cast("long"), "__mark": mark}).withColumn("__row", F.xxhash64("__id", "__mark"))
+
+    def part(hit: bool) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                at = (mixed(batch.column(batch.num_columns - 1).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)) % np.uint64(FILTER_BITS)).astype(np.int64)
+                found = (bits.value[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool) & ~np.asarray(batch.column(batch.num_columns - 3).is_null())
+                yield batch.filter(pa.array(found == hit))
+
+        return marked.mapInArrow(run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in marked.schema.fields))
+
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    settled = part(False).select(*columns)
+    kept = part(True).join(stay.withColumnsRenamed({"doc_id": "__id", "mark": "__mark"}), ["__id", "__mark"], "left_semi").dropDuplicates(["__id", "__mark"])
+    return settled.unionByName(kept.select(*columns))
