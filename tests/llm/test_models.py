@@ -138,3 +138,20 @@ def test_garbage_leaves_the_band(spark):
     kept = perplexity.keep_fluent(documents(spark, data))
     assert kept.schema == documents(spark, data).schema and {r.doc_id for r in kept.collect()} == {i for i, r in got.items() if r.kept}
     assert perplexity.judge_documents(documents(spark, [])).count() == 0 and perplexity.keep_fluent(documents(spark, [])).count() == 0
+
+
+def test_planted_junk_leaves_the_band(tables):
+    """Symbol spam and word lists of the table: labelled 0, yet long and varied enough for the base rules."""
+    docs, labels = tables
+    got = {r.doc_id: r for r in perplexity.judge_documents(docs).collect()}
+    junk = [got[i].kept for i, r in labels.items() if not r.quality and not got[i].base_failed]
+    assert len(junk) > 20 and not any(junk)
+
+
+def test_spam_and_lists_leave_the_band_and_prose_stays(spark):
+    data = [(i, prose(i, 120), "en", "s", 1, None, None, None, None, None) for i in range(80)]
+    data += [(900 + i, " ".join(w + "#$%"[(i + k) % 3] * 3 for k, w in enumerate(prose(100 + i, 120).split())), "en", "s", 1, None, None, None, None, None) for i in range(6)]
+    data += [(950 + i, " ".join(w + "|" for w in prose(200 + i, 120).split()), "en", "s", 1, None, None, None, None, None) for i in range(6)]
+    got = {r.doc_id: r for r in perplexity.judge_documents(documents(spark, data)).collect()}
+    assert not any(r.kept or r.base_failed for i, r in got.items() if i >= 900)
+    assert sum(r.kept or r.base_failed for i, r in got.items() if i < 900) >= 79
