@@ -13,8 +13,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Buckets, padded tokens of a batch, documents of a slice (about), lengths that the dynamic programme tells apart at most.
-BUCKETS, BATCH_TOKENS, SLICE_ROWS, CELLS = 16, 65_536, 2_000, 2_048
+#: Buckets, padded tokens of a batch, documents of a slice (about).
+BUCKETS, BATCH_TOKENS, SLICE_ROWS = 16, 65_536, 2_000
 WORD = "[^\\x20\\x09-\\x0D]+"
 
 
@@ -43,27 +43,22 @@ def plan_buckets(lengths: np.ndarray, counts: np.ndarray, k: int) -> Buckets:
     n = len(x)
     if not n:
         return Buckets([], [], 0)
-    rows = [0, *np.cumsum(c).tolist()]
-    tokens = [0, *np.cumsum(c * x).tolist()]
-    value = x.tolist()
-
-    def cost(i: int, j: int) -> int:
-        return value[j] * (rows[j + 1] - rows[i]) - (tokens[j + 1] - tokens[i])
-
-    best, cuts = [cost(0, j) for j in range(n)], []
+    rows, tokens = np.append(0, np.cumsum(c)), np.append(0, np.cumsum(c * x))
+    best, cuts = x * rows[1:] - tokens[1:], []
     for _ in range(1, min(k, n)):
-        layer, cut = [0] * n, [0] * n
+        layer, cut = np.zeros(n, np.int64), np.zeros(n, np.int64)
         todo = [(0, n - 1, 0, n - 1)]
         while todo:
             lo, hi, a, b = todo.pop()
             if lo > hi:
                 continue
             mid = (lo + hi) // 2
-            at, low = 0, best[mid]
-            for i in range(max(a, 1), min(b, mid) + 1):
-                v = best[i - 1] + cost(i, mid)
-                if v < low or (v == low and at == 0):
-                    at, low = i, v
+            at, low, first, end = 0, best[mid], max(a, 1), min(b, mid) + 1
+            if first < end:
+                v = best[first - 1:end - 1] + x[mid] * (rows[mid + 1] - rows[first:end]) - (tokens[mid + 1] - tokens[first:end])
+                i = int(v.argmin())
+                if v[i] <= low:
+                    at, low = first + i, v[i]
             layer[mid], cut[mid] = low, at
             todo.append((lo, mid - 1, a, max(at, a)))
             todo.append((mid + 1, hi, at, b))
@@ -76,28 +71,22 @@ def plan_buckets(lengths: np.ndarray, counts: np.ndarray, k: int) -> Buckets:
         if cut[j] == 0:
             j = -1
             break
-        j = cut[j] - 1
+        j = int(cut[j]) - 1
     if j >= 0:
         bounds.append(j)
     bounds = sorted(set(bounds))
     ends = [-1, *bounds]
-    return Buckets([value[j] for j in bounds], [rows[b + 1] - rows[a + 1] for a, b in zip(ends, ends[1:])], int(padding))
+    return Buckets([int(x[j]) for j in bounds], [int(rows[b + 1] - rows[a + 1]) for a, b in zip(ends, ends[1:])], int(padding))
 
 
 def length_histogram(docs: DataFrame, length: Column) -> tuple[np.ndarray, np.ndarray]:
-    """Lengths and how many documents have them. Where more than CELLS lengths occur, neighbours share a cell of the length axis.
+    """Every length that occurs, and how many documents have it.
 
-    Cells hold about as many documents each as their share of a fine histogram of the lengths' logarithms, so the driver gets a
-    bounded number of rows; a cell stands for the greatest length in it, hence the plan's padding is never understated.
+    The driver gets a row for each distinct length; d of them need at least d (d - 1) / 2 tokens, so d grows with the root of the
+    corpus at most.
     """
-    fine = F.when(length < 1024, length).otherwise(1024 + F.floor(F.log2(length / 1024) * 512)).cast("long")
-    rows = docs.select(length.alias("n"), fine.alias("cell")).groupBy("cell").agg(F.max("n").alias("top"), F.count("*").alias("rows")).orderBy("cell").collect()
-    top, count = np.asarray([r["top"] for r in rows], np.int64), np.asarray([r["rows"] for r in rows], np.int64)
-    while len(top) > CELLS:
-        pair = np.arange(0, len(top), 2)
-        count = np.add.reduceat(count, pair)
-        top = np.maximum.reduceat(top, pair)
-    return top, count
+    rows = docs.select(length.alias("n")).groupBy("n").agg(F.count("*").alias("rows")).toPandas()
+    return rows["n"].to_numpy(np.int64), rows["rows"].to_numpy(np.int64)
 
 
 def pack(docs: DataFrame, length: Column, key: str = "doc_id", buckets: int = BUCKETS, batch_tokens: int = BATCH_TOKENS, slice_rows: int = SLICE_ROWS) -> DataFrame:

@@ -97,3 +97,21 @@ def test_pack_places_every_row_once(spark):
     words = {r[0]: len((r[1] or "").split()) for r in rows() if r[0] is not None}
     assert all(r.n_tokens == words[r.doc_id] for r in got if r.doc_id is not None)
     assert packing.pack(documents(spark, []), packing.word_length()).count() == 0
+
+
+def test_pack_is_optimal_over_more_than_2048_lengths(spark):
+    rng = np.random.default_rng(5)
+    lengths = np.sort(rng.choice(20_000, 2_500, replace=False)) + 1
+    rows = [(i, int(n)) for i, n in enumerate(np.repeat(lengths, rng.integers(1, 8, len(lengths))))]
+    x, c = np.unique([n for _, n in rows], return_counts=True)
+    count, total = np.append(0, np.cumsum(c)), np.append(0, np.cumsum(c * x))
+    cost = x[None, :] * (count[None, 1:] - count[:-1, None]) - (total[None, 1:] - total[:-1, None])
+    cost[np.tril_indices(len(x), -1)] = 1 << 60
+    best = cost[0]
+    for _ in range(15):
+        best = np.minimum(best, (np.append(0, best[:-1])[:, None] + cost).min(0))
+    got = packing.pack(spark.createDataFrame(rows, "doc_id long, n long"), packing.F.col("n")).collect()
+    assert len(got) == len(rows) and len({r.bucket for r in got}) == 16
+    assert sum(r.bucket_tokens - r.n_tokens for r in got) == best[-1]
+    plan = packing.plan_buckets(x, c, 16)
+    assert plan.padding == best[-1] and sum(plan.rows) == len(rows)
