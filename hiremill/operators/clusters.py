@@ -196,7 +196,7 @@ def weighted_jaccard(left: DataFrame, right: DataFrame, pairs: DataFrame) -> Dat
     j = (p.join(shared, ["l", "r"], "left").join(lt.withColumnRenamed("key", "l"), "l", "left").join(rt.withColumnRenamed("key", "r"), "r", "left"))
     mins = F.coalesce("mins", F.lit(0.0))
     both = F.coalesce("lt", F.lit(0.0)) + F.coalesce("rt", F.lit(0.0)) - mins
-    return j.select("l", "r", F.when(F.col("lt").isNotNull() & F.col("rt").isNotNull() & (both > 0), F.round(mins / both, 6)).otherwise(0.0).alias("similarity"))
+    return j.select("l", "r", F.when(F.col("lt").isNotNull() & F.col("rt").isNotNull() & (both > 0), mins / both).otherwise(0.0).alias("similarity"))
 
 
 @dataclass(frozen=True)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -24,19 +24,37 @@ def tidy_rows(raw: DataFrame, ord_col: str | None = None) -> DataFrame:
     return out.dropna("all", subset=[n for _, n in named])
 
 
+def file_ordinals(raw: DataFrame, name: str) -> DataFrame:
+    """Adds `name`: 0, 1, 2, ... in order of file path, block and row, for a table read from any number of files.
+
+    A block lies in one task, so the rows of a block keep their order there; a count per block gives each block its first number. Only
+    one row for each block is shuffled, and a recomputed task numbers its rows as before.
+    """
+    path, block, at, first, before = (f"{name}_{x}" for x in ("path", "block", "at", "first", "before"))
+    marked = raw.select("*", F.col("_metadata.file_path").alias(path), F.col("_metadata.file_block_start").alias(block))
+    marked = marked.withColumn(at, F.monotonically_increasing_id())
+    blocks = marked.groupBy(path, block).agg(F.min(at).alias(first), F.count(F.lit(1)).alias("rows"))
+    earlier = Window.orderBy(path, block).rowsBetween(Window.unboundedPreceding, -1)
+    blocks = blocks.select(path, block, first, F.coalesce(F.sum("rows").over(earlier), F.lit(0)).alias(before))
+    numbered = marked.join(blocks, [path, block]).withColumn(name, F.col(before) + F.col(at) - F.col(first))
+    return numbered.select(*(F.col(f"`{c}`") for c in raw.columns), name)
+
+
 def read_snapshot(spark: SparkSession, path: str, fmt: str = "csv", ord_col: str | None = None, multi_line: bool = False) -> DataFrame:
     """A tabular snapshot as string rows with a source ordinal.
 
     CSV is read in splits; `multi_line` allows line breaks inside cells and makes every file one task. The ordinal is a column of the
-    table; only a snapshot of a single file may go without one and is numbered in file order, because splits of several files are dealt
-    by size. Write such a result once before use, so that a recomputed task cannot number rows differently.
+    table, or else the place of the row in the order of the files.
     """
     if fmt == "csv":
         raw = spark.read.csv(path, header=True, multiLine=multi_line, escape='"', encoding="UTF-8")
     else:
         raw = spark.read.format(fmt).load(path)
-    if ord_col is None and len(raw.inputFiles()) > 1:
-        raise ValueError(f"{path} holds several files: name the column that orders their rows")
+    if ord_col is None and raw.inputFiles():
+        ord_col = "source_ordinal"
+        while ord_col in raw.columns:
+            ord_col += "_"
+        raw = file_ordinals(raw, ord_col)
     return tidy_rows(raw, ord_col)
 
 
@@ -97,9 +115,9 @@ def prune_by_key(store: DataFrame, removed: DataFrame, key: str = "id") -> tuple
     return kept, gone
 
 
-def read_decisions(spark: SparkSession, path: str) -> DataFrame:
-    """Decision sheet written by people: byte-order mark tolerated, cells trimmed."""
-    return read_snapshot(spark, path, "csv")
+def read_decisions(spark: SparkSession, path: str, ord_col: str | None = None) -> DataFrame:
+    """Decision sheet written by people, in any number of files: byte-order mark tolerated, line breaks kept inside cells, cells trimmed."""
+    return read_snapshot(spark, path, "csv", ord_col, multi_line=True)
 
 
 def sheet_rows(df: DataFrame, fields: Sequence[str]) -> DataFrame:
@@ -117,6 +135,7 @@ def sheet_rows(df: DataFrame, fields: Sequence[str]) -> DataFrame:
 
 
 def write_sheet(df: DataFrame, fields: Sequence[str], path: str) -> None:
+    """A sheet of CSV files that `read_decisions` reads back."""
     sheet_rows(df, fields).write.mode("overwrite").csv(path, header=True, escape='"')
 
 

@@ -260,14 +260,30 @@ def test_large_samples_of_one_hot_key(spark):
     assert sorted(r["id"] for r in top_k(rows, ["k"], [F.col("id").desc()], 1500).collect()) == list(range(3500, 5000))
 
 
-def test_snapshots_of_several_files_need_an_order(spark, tmp_path):
-    import pytest
-
-    for i in (0, 1):
-        (tmp_path / f"{i}.csv").write_text(f"id,n\na{i},{i}\n", encoding="utf-8")
-    with pytest.raises(ValueError):
-        A.read_snapshot(spark, str(tmp_path))
-    assert [r["ord"] for r in A.read_snapshot(spark, str(tmp_path), ord_col="n").orderBy("ord").collect()] == [0, 1]
+def test_snapshots_of_several_files_are_numbered_in_file_order(spark, tmp_path):
+    for i in range(7):
+        (tmp_path / f"{i}.csv").write_text("id,n\n" + "".join(f"a{i}-{j},{1000 * i + j}\n" for j in range(40 * (i % 3))), encoding="utf-8")
+    want = [f"a{i}-{j}" for i in range(7) for j in range(40 * (i % 3))]
+    held = spark.conf.get("spark.sql.files.maxPartitionBytes"), spark.conf.get("spark.sql.files.openCostInBytes")
+    try:
+        for size, cost in (("64", "0"), ("300", "10"), ("128m", "4m")):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            spark.conf.set("spark.sql.files.openCostInBytes", cost)
+            rows = A.read_snapshot(spark, str(tmp_path)).orderBy("ord").collect()
+            assert [r["id"] for r in rows] == want and [r["ord"] for r in rows] == list(range(len(want)))
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", held[0])
+        spark.conf.set("spark.sql.files.openCostInBytes", held[1])
+    rows = A.read_snapshot(spark, str(tmp_path), ord_col="n").orderBy("ord").collect()
+    assert [r["id"] for r in rows] == want and rows[0]["ord"] == 1000
+
+
+def test_decision_sheets_of_several_files_come_back(spark, tmp_path):
+    path = str(tmp_path / "sheet")
+    A.write_sheet(spark.range(500).repartition(6).select(F.col("id"), F.lit("two\nlines, \"quoted\"").alias("memo")), ["id", "memo"], path)
+    back = A.read_decisions(spark, path)
+    assert back.count() == 500 and {r["memo"] for r in back.collect()} == {'two\nlines, "quoted"'}
+    assert [r["ord"] for r in back.orderBy("ord").collect()] == list(range(500))
 
 
 def test_keyed_store_of_lines(spark, tmp_path):
