@@ -246,8 +246,12 @@ def fit_counts(rows: list[tuple[int, int, int]], rounds: int = 100, steps: int =
 
 
 def fit(docs: DataFrame, text: str = "text") -> SpanModel:
-    """Counts the combinations of kind, votes and shape over all documents and fits the models on them."""
-    spans = candidates(docs.select(text), text, "__found").select(F.explode("__found").alias("s"))
+    """Counts the combinations of kind, votes and shape over all documents and fits the models on them.
+
+    The outer form of explode keeps Spark from testing the size of the array in a filter of its own, which would copy the whole
+    expression into it.
+    """
+    spans = candidates(docs.select(text), text, "__found").select(F.explode_outer("__found").alias("s")).where(F.col("s").isNotNull())
     counted = spans.groupBy(F.col("s.kind").alias("kind"), F.col("s.code").alias("code")).agg(F.count("*").alias("n")).orderBy("kind", "code")
     return fit_counts([(r["kind"], r["code"], r["n"]) for r in counted.collect()])
 
