@@ -85,24 +85,23 @@ class Words:
     first: np.ndarray
 
 
-def words_of(data: np.ndarray, offsets: np.ndarray, fold_case: bool) -> Words:
-    """All words of the rows. A single row beyond the chunk size is hashed in parts that end at white space."""
-    n, rows = len(data), len(offsets) - 1
-    space = SPACE[data]
-    inside = ~space
+def _runs(inside: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Start and end of each run of marked bytes; runs end at row bounds."""
+    n = len(inside)
     head = inside.copy()
-    head[1:] &= space[:-1]
+    head[1:] &= ~inside[:-1]
     begin = offsets[:-1][offsets[:-1] < n]
     head[begin] = inside[begin]
     tail = inside.copy()
-    tail[:-1] &= space[1:]
+    tail[:-1] &= ~inside[1:]
     stop = offsets[1:][offsets[1:] > 0] - 1
     tail[stop] = inside[stop]
-    start, end = np.flatnonzero(head), np.flatnonzero(tail) + 1
-    row = np.searchsorted(offsets, start, "right") - 1
-    first = np.searchsorted(start, offsets)
-    values, hashes = _VALUES[fold_case], np.empty(len(start), np.uint64)
-    done = 0
+    return np.flatnonzero(head), np.flatnonzero(tail) + 1
+
+
+def _run_hashes(values: np.ndarray, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Hash of each run. A single row beyond the chunk size is hashed in parts that end between runs."""
+    hashes, done = np.empty(len(start), np.uint64), 0
     while done < len(start):
         upto = max(done + 1, int(np.searchsorted(end, start[done] + CHUNK_BYTES, "right")))
         lo, hi = start[done], end[upto - 1]
@@ -112,7 +111,38 @@ def words_of(data: np.ndarray, offsets: np.ndarray, fold_case: bool) -> Words:
         s, e = start[done:upto] - lo, end[done:upto] - lo
         hashes[done:upto] = mixed((total[e] - total[s]) * down[s] + (e - s).astype(np.uint64))
         done = upto
-    return Words(start, end, row, hashes, first[:rows + 1])
+    return hashes
+
+
+def words_of(data: np.ndarray, offsets: np.ndarray, fold_case: bool) -> Words:
+    """All words of the rows."""
+    start, end = _runs(~SPACE[data], offsets)
+    row = np.searchsorted(offsets, start, "right") - 1
+    return Words(start, end, row, _run_hashes(_VALUES[fold_case], data, start, end), np.searchsorted(start, offsets)[:len(offsets)])
+
+
+@dataclass
+class Tokens:
+    """Runs of token bytes of consecutive rows, A-Z taken as a-z; piece counts the break bytes of the chunk before each."""
+
+    data: np.ndarray
+    start: np.ndarray
+    end: np.ndarray
+    row: np.ndarray
+    hash: np.ndarray
+    piece: np.ndarray
+
+    def text(self, i: int) -> str:
+        return self.data[self.start[i]:self.end[i]].tobytes().lower().decode("utf-8", "replace")
+
+
+def tokens_of(data: np.ndarray, offsets: np.ndarray, inside: np.ndarray, breaks: np.ndarray) -> Tokens:
+    """Tokens of the rows. inside and breaks tell of each byte value whether it belongs to a token, and whether it ends a piece."""
+    start, end = _runs(inside[data], offsets)
+    row = np.searchsorted(offsets, start, "right") - 1
+    broken = np.cumsum(breaks[data], dtype=np.int32)
+    piece = broken[start] if len(start) else np.zeros(0, np.int32)
+    return Tokens(data, start, end, row, _run_hashes(_VALUES[True], data, start, end), piece)
 
 
 def windows(words: Words, size: int) -> tuple[np.ndarray, np.ndarray]:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hiremill.llm import bpe, html_runs, jaccard, langid, packing, perplexity, pii, quality_model, url_rules, vafile
+from hiremill.llm import bpe, divergence, html_runs, jaccard, langid, packing, perplexity, pii, quality_model, url_rules, vafile
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -116,3 +116,34 @@ def op9(spark: SparkSession, sf: str) -> DataFrame:
 @_query("op10_perplexity_rules")
 def op10(spark: SparkSession, sf: str) -> DataFrame:
     return perplexity.judge_documents(_table(spark, sf, "documents"))
+
+
+@_query("op13_source_divergence", """
+WITH d AS (SELECT row_number() OVER () AS id, coalesce(text, '') AS text, coalesce(lang, '') AS lang, coalesce(source, '') AS source FROM documents),
+w AS (
+  SELECT id, lang, source, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+  FROM d
+),
+kept AS (SELECT lang, term, count(*) AS all_n FROM w GROUP BY lang, term HAVING count(DISTINCT id) >= 3),
+lt AS (SELECT lang, count(*) AS v, sum(all_n) AS total FROM kept GROUP BY lang),
+c AS (SELECT lang, source, term, count(*) AS n FROM w SEMI JOIN kept USING (lang, term) GROUP BY ALL),
+g AS (
+  SELECT g.lang, g.source, coalesce(t.total, 0) AS total, coalesce(lt.v, 0) AS v, lt.total AS lang_total FROM (SELECT DISTINCT lang, source FROM d) g
+  LEFT JOIN (SELECT lang, source, sum(n) AS total FROM c GROUP BY ALL) t ON t.lang = g.lang AND t.source = g.source LEFT JOIN lt ON lt.lang = g.lang
+),
+p AS (
+  SELECT g.lang, g.source, k.term, k.all_n, coalesce(c.n, 0) AS n, 1 + (1000000000::HUGEINT * (coalesce(c.n, 0) + 1)) // (g.total + g.v) AS p,
+    1 + (1000000000::HUGEINT * (k.all_n + 1)) // (g.lang_total + g.v) AS lang_p
+  FROM g JOIN kept k ON k.lang = g.lang LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term
+),
+s AS (SELECT a.lang, a.source, b.source AS item, sum(((a.p - b.p) * (a.p - b.p)) // b.p) AS value FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+pairs AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, CAST(coalesce(s.value, 0) AS BIGINT) AS value
+  FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN s ON s.lang = a.lang AND s.source = a.source AND s.item = b.source
+),
+terms AS (SELECT lang, source, 'term' AS part, term AS item, CAST(((p - lang_p) * (p - lang_p)) // lang_p AS BIGINT) AS value FROM p WHERE n > 0 AND p > lang_p),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank FROM (SELECT * FROM pairs UNION ALL SELECT * FROM terms))
+SELECT lang, source, part, item, value, rank FROM r WHERE part = 'pair' OR rank <= 200
+""")
+def op13(spark: SparkSession, sf: str) -> DataFrame:
+    return divergence.audit(_table(spark, sf, "documents"))
