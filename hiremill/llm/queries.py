@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hiremill.llm import bpe, divergence, html_runs, jaccard, langid, packing, perplexity, pii, quality_model, url_rules, vafile
+from hiremill.llm import bpe, divergence, html_runs, jaccard, langid, packing, perplexity, phrases, pii, quality_model, url_rules, vafile
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -118,6 +118,32 @@ def op10(spark: SparkSession, sf: str) -> DataFrame:
     return perplexity.judge_documents(_table(spark, sf, "documents"))
 
 
+@_query("op11_phrase_mining", """
+WITH d AS (SELECT coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents),
+pieces AS (SELECT lang, unnest(string_split_regex(text, '[.,;:!?\x0A-\x0D]')) AS piece FROM d),
+w AS (SELECT lang, list_filter(string_split_regex(piece, '[ \x09]+'), lambda x: x <> '') AS w FROM pieces),
+g AS (SELECT lang, k, unnest(list_transform(range(1, len(w) + 2 - k), lambda i: array_to_string(w[i:i + k - 1], ' '))) AS phrase FROM w, (VALUES (1), (2), (3), (4)) v(k) WHERE len(w) >= k),
+f AS (SELECT lang, k, phrase, count(*) AS a FROM g GROUP BY ALL HAVING count(*) >= 30),
+total AS (SELECT lang, sum(len(w)) AS n FROM w GROUP BY lang),
+c AS (SELECT *, string_split(phrase, ' ') AS w FROM f WHERE k > 1),
+cuts AS (SELECT lang, k, phrase, a, w, unnest(range(1, k)) AS cut FROM c),
+s AS (
+  SELECT c.lang, c.k, c.phrase, c.a, c.cut, l.a AS l, r.a AS r, (2000000::HUGEINT * c.a) // (l.a + r.a) AS score
+  FROM cuts c JOIN f l ON l.lang = c.lang AND l.phrase = array_to_string(c.w[1:c.cut], ' ') JOIN f r ON r.lang = c.lang AND r.phrase = array_to_string(c.w[c.cut + 1:], ' ')
+),
+low AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1),
+inner_spans AS (SELECT lang, a, w, unnest(range(2, k)) AS size FROM c),
+spans AS (SELECT lang, a, size, unnest(list_transform(range(1, len(w) + 2 - size), lambda i: array_to_string(w[i:i + size - 1], ' '))) AS phrase FROM inner_spans),
+longest AS (SELECT lang, phrase, max(a) AS longer FROM spans GROUP BY ALL),
+kept AS (SELECT low.* FROM low LEFT JOIN longest x ON x.lang = low.lang AND x.phrase = low.phrase WHERE x.longer IS NULL OR 100 * x.longer < 80 * low.a),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept)
+SELECT r.lang, CAST(rank AS BIGINT) AS rank, phrase, CAST(a AS BIGINT) AS a, CAST(l AS BIGINT) AS l, CAST(r AS BIGINT) AS r, CAST(n AS BIGINT) AS n, CAST(score AS BIGINT) AS score
+FROM ranked r JOIN total t ON t.lang = r.lang WHERE rank <= 2000
+""")
+def op11(spark: SparkSession, sf: str) -> DataFrame:
+    return phrases.mine(_table(spark, sf, "documents"))
+
+
 @_query("op13_source_divergence", """
 WITH d AS (SELECT row_number() OVER () AS id, coalesce(text, '') AS text, coalesce(lang, '') AS lang, coalesce(source, '') AS source FROM documents),
 w AS (
