@@ -6,87 +6,179 @@ each word in which it occurs. For two groups the AND of two bitsets and its popc
 the one, count in the other), which is multiplied by the cell's divergence once. Cells with a count of zero follow by complement: from
 the popcounts of the levels and the number of kept terms.
 
-Words are dealt into shards and, where a language has many sources, pairs of sources into tiles, so that a task holds a bounded piece.
-Only counts, bitsets and sums are shuffled. Divisions and squares are integer arithmetic.
+The scan reports counts by 64-bit hashes of (language, term) and numbers of groups; they are dealt by hash into parts of bounded size,
+where the numbering and the bitsets are made. For the pairs, words are dealt into shards and, where a language has many sources, sources
+into bands, so that a task holds a bounded piece. Strings are shuffled once for each term and task. Divisions and squares are integer
+arithmetic.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from hiremill.llm.arrays import Tokens, text_chunks, tokens_of
+from hiremill.llm.arrays import mixed, text_chunks, tokens_of
 from hiremill.llm.shared import ship_package, written
 
 #: Documents of the language in which a kept term stands at least, ranks of the terms, scale of the probabilities.
 MIN_DOCS, TERM_RANKS, SCALE = 3, 200, 1_000_000_000
-#: Terms of a word, words of a shard, sources of a band.
+#: Terms of a word, words of a shard (about), sources of a band.
 WORD, SHARD_WORDS, BAND_SOURCES = 64, 64, 64
-#: Terms that a task holds before it reports them.
-HELD = 1_500_000
+#: (Row, term) pairs that a task holds before it reports them, reported rows of a part (about).
+HELD, PART_ROWS = 1_000_000, 1_000_000
 
 #: Bytes that terms consist of, letters and all code points above 127.
 _TERM = np.zeros(256, bool)
 _TERM[65:91] = _TERM[97:123] = _TERM[128:] = True
 _NO_BREAK = np.zeros(256, bool)
-
-
-def _task_terms(held: list[tuple[int, Tokens, np.ndarray]], groups: list[tuple[str, str]]) -> pa.RecordBatch:
-    """(lang, source, term, n, docs) over some chunks: occurrences, and rows that have the term."""
-    group = np.concatenate([g for _, _, g in held])
-    key = np.concatenate([t.hash for _, t, _ in held])
-    row = np.concatenate([first + t.row for first, t, _ in held])
-    order = np.lexsort((row, key, group))
-    group, key, row = group[order], key[order], row[order]
-    fresh = np.ones(len(key), bool)
-    fresh[1:] = (key[1:] != key[:-1]) | (group[1:] != group[:-1])
-    new_row = fresh.copy()
-    new_row[1:] |= row[1:] != row[:-1]
-    start = np.flatnonzero(fresh)
-    n = np.diff(np.append(start, len(key)))
-    docs = np.add.reduceat(new_row.astype(np.int64), start)
-    bounds = np.cumsum([0, *(len(t.hash) for _, t, _ in held)])
-    chunk = np.searchsorted(bounds, order[start], "right") - 1
-    place = order[start] - bounds[chunk]
-    words = [held[c][1].text(i) for c, i in zip(chunk.tolist(), place.tolist())]
-    langs, sources = ([groups[g][k] for g in group[start].tolist()] for k in (0, 1))
-    return pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(sources, pa.string()), pa.array(words, pa.string()), pa.array(n), pa.array(docs)],
-                                      names=["lang", "source", "term", "n", "docs"])
-
-
-def term_counts(docs: DataFrame, text: str = "text", lang: str = "lang", source: str = "source") -> DataFrame:
-    """(lang, source, term, n, docs) summed over all rows; a row with a null term stands for each group that occurs."""
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
+
+
+def _strings(data: np.ndarray, start: np.ndarray, size: np.ndarray) -> pa.Array:
+    """The slices of the bytes as strings, A-Z taken as a-z."""
+    ends = np.cumsum(size)
+    at = np.arange(ends[-1] if len(ends) else 0) + np.repeat(start - (ends - size), size)
+    return pa.StringArray.from_buffers(len(size), pa.py_buffer(np.append(0, ends).astype(np.int32)), pa.py_buffer(_LOWER[data[at]]))
+
+
+def _report(held: list[tuple], langs: list[str]) -> Iterator[pa.RecordBatch]:
+    """Summed (symbol, grp, n) rows, and (symbol, lang, term, docs) rows, of some chunks."""
+    symbol, group, lang, n = (np.concatenate([x[k] for x in held]) for k in range(4))
+    names = ["symbol", "grp", "n", "lang", "term", "docs"]
+    code = mixed(symbol ^ mixed(group.astype(np.uint64)))
+    order = np.argsort(code)
+    start = np.flatnonzero(np.append(True, code[order][1:] != code[order][:-1]))
+    some = order[start]
+    none = pa.nulls(len(some), pa.string())
+    yield pa.RecordBatch.from_arrays([pa.array(symbol[some].view(np.int64)), pa.array(group[some]), pa.array(np.add.reduceat(n[order], start)), none, none, pa.nulls(len(some), pa.int64())], names=names)
+    unique, first, docs = np.unique(symbol, return_index=True, return_counts=True)
+    data = np.concatenate([x[4] for x in held])
+    begin = np.concatenate([x[5] + at for x, at in zip(held, np.cumsum([0, *(len(x[4]) for x in held)]))])
+    size = np.concatenate([x[6] for x in held])
+    none = pa.nulls(len(unique), pa.int64())
+    named = pa.array(langs, pa.string()).take(pa.array(lang[first]))
+    yield pa.RecordBatch.from_arrays([pa.array(unique.view(np.int64)), none, none, named, _strings(data, begin[first], size[first]), pa.array(docs.astype(np.int64))], names=names)
+
+
+def term_counts(docs: DataFrame, text: str, lang: str, source: str) -> DataFrame:
+    """Scratch table of what the tasks report: (symbol, grp, n) of a group's term, (symbol, lang, term, docs) of a term, and (grp, lang,
+    term) with a source as term for each group that occurs. A group's number is a hash of its language and source."""
     ship_package(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[tuple[str, str], int] = {}
+        langs: dict[str, int] = {}
+        seeds: list[int] = []
+        groups: dict[tuple[str, str], int] = {}
         held, size = [], 0
         for batch in batches:
-            names = list(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()))
-            ids = np.asarray([known.setdefault(g, len(known)) for g in names], np.int64)
+            own, names = batch.column(1).to_pylist(), list(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()))
+            for x in dict.fromkeys(own):
+                if x not in langs:
+                    langs[x] = len(langs)
+                    seeds.append(number(x))
+            for g in dict.fromkeys(names):
+                if g not in groups:
+                    groups[g] = number(*g)
+            lang_of, seed_of = np.asarray([langs[x] for x in own], np.int64), np.asarray(seeds, np.int64).view(np.uint64)
+            group_of = np.asarray([groups[g] for g in names], np.int64)
             for first, _, data, offsets in text_chunks(batch.column(0)):
                 tokens = tokens_of(data, offsets, _TERM, _NO_BREAK)
-                if len(tokens.hash):
-                    held.append((first, tokens, ids[first + tokens.row]))
-                    size += len(tokens.hash)
-            if size > HELD:
-                yield _task_terms(held, list(known))
-                held, size = [], 0
+                if not len(tokens.hash):
+                    continue
+                row = first + tokens.row
+                symbol = mixed(tokens.hash ^ seed_of[lang_of[row]])
+                _, at, n = np.unique(mixed(symbol + row.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)), return_index=True, return_counts=True)
+                held.append((symbol[at], group_of[row[at]], lang_of[row[at]].astype(np.int32), n.astype(np.int64), data.copy(), tokens.start[at], (tokens.end - tokens.start)[at]))
+                size += len(at)
+                if size > HELD:
+                    yield from _report(held, list(langs))
+                    held, size = [], 0
         if held:
-            yield _task_terms(held, list(known))
-        for k in known:
-            yield pa.RecordBatch.from_arrays([pa.array([k[0]]), pa.array([k[1]]), pa.array([None], pa.string()), pa.array([0], pa.int64()), pa.array([0], pa.int64())],
-                                             names=["lang", "source", "term", "n", "docs"])
+            yield from _report(held, list(langs))
+        if groups:
+            none = pa.nulls(len(groups), pa.int64())
+            yield pa.RecordBatch.from_arrays([none, pa.array(list(groups.values()), pa.int64()), none, pa.array([g[0] for g in groups], pa.string()), pa.array([g[1] for g in groups], pa.string()), none],
+                                             names=["symbol", "grp", "n", "lang", "term", "docs"])
 
     as_text = lambda c: F.coalesce(F.col(f"`{c}`").cast("string"), F.lit(""))
     rows = docs.select(as_text(text).alias("text"), as_text(lang).alias("lang"), as_text(source).alias("source"))
-    counted = rows.mapInArrow(run, "lang string, source string, term string, n long, docs long")
-    return counted.groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
+    return written(rows.mapInArrow(run, "symbol long, grp long, n long, lang string, term string, docs long"), "terms")
+
+
+def number(*names: str) -> int:
+    """Signed 64-bit hash of some names."""
+    joined = b"".join(len(x.encode()).to_bytes(8, "little") + x.encode() for x in names)
+    return int.from_bytes(hashlib.blake2b(joined, digest_size=8).digest(), "little", signed=True)
+
+
+def levels_of(reported: DataFrame) -> DataFrame:
+    """Scratch table of the kept terms by parts: (word, grp, n, bits) of a level, and (symbol, lang, term, all_n) of a term, and
+    (symbol, grp, n, all_n) of a term in a group.
+
+    Terms are dealt into parts by hash. Within a part those of a language are placed by falling counts, WORD to a word.
+    """
+    rows = reported.where("symbol IS NOT NULL")
+    parts = max(1, -(-rows.count() // PART_ROWS))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = list(batches)
+        if not held:
+            return
+        part = TaskContext.get().partitionId()
+        table = pa.Table.from_batches(held).combine_chunks()
+        names = table.filter(pc.is_valid(table["term"]))
+        counts = table.filter(pc.is_valid(table["grp"]))
+        symbol, first, inverse = np.unique(names["symbol"].to_numpy(), return_index=True, return_inverse=True)
+        kept = np.bincount(inverse, weights=names["docs"].to_numpy(), minlength=len(symbol)) >= MIN_DOCS
+        own, group, n = (counts[c].to_numpy() for c in ("symbol", "grp", "n"))
+        at = np.searchsorted(symbol, own)
+        order = np.lexsort((group, at))
+        at, group, n = at[order], group[order], n[order]
+        start = np.flatnonzero(np.append(True, (at[1:] != at[:-1]) | (group[1:] != group[:-1])))
+        at, group, n = at[start], group[start], np.add.reduceat(n, start)
+        stay = kept[at]
+        at, group, n = at[stay], group[stay], n[stay]
+        if not len(at):
+            return
+        total = np.zeros(len(symbol), np.int64)
+        np.add.at(total, at, n)
+        strings = names.select(["lang", "term"]).take(pa.array(first))
+        lang = strings["lang"].combine_chunks().dictionary_encode().indices.to_numpy()
+        some = np.flatnonzero(kept)
+        some = some[np.lexsort((symbol[some], -total[some], lang[some]))]
+        place = np.zeros(len(symbol), np.int64)
+        # A language's first place is the first of a word.
+        begins = np.flatnonzero(np.append(True, lang[some][1:] != lang[some][:-1]))
+        sizes = np.diff(np.append(begins, len(some)))
+        word_starts = np.append(0, np.cumsum(-(-sizes // WORD)))[:-1]
+        place[some] = np.arange(len(some)) - np.repeat(begins, sizes) + np.repeat(word_starts, sizes) * WORD
+        columns = ["word", "grp", "n", "bits", "symbol", "lang", "term", "all_n"]
+        none = lambda m, kind=pa.int64(): pa.nulls(m, kind)
+        text = lambda m: none(m, pa.string())
+        word, bit = place[at] // WORD, np.left_shift(np.uint64(1), (place[at] % WORD).astype(np.uint64))
+        order = np.lexsort((n, group, word))
+        fresh = (word[order][1:] != word[order][:-1]) | (group[order][1:] != group[order][:-1]) | (n[order][1:] != n[order][:-1])
+        start = np.flatnonzero(np.append(True, fresh))
+        bits, lead = np.bitwise_or.reduceat(bit[order], start), order[start]
+        m = len(lead)
+        yield pa.RecordBatch.from_arrays([pa.array(word[lead] + (part << 32)), pa.array(group[lead]), pa.array(n[lead]), pa.array(bits.view(np.int64)), none(m), text(m), text(m), none(m)], names=columns)
+        m = len(some)
+        chosen = strings.take(pa.array(some)).combine_chunks()
+        yield pa.RecordBatch.from_arrays([pa.array(place[some] // WORD + (part << 32)), none(m), none(m), none(m), pa.array(symbol[some]), chosen["lang"].chunk(0), chosen["term"].chunk(0), pa.array(total[some])], names=columns)
+        m = len(at)
+        yield pa.RecordBatch.from_arrays([none(m), pa.array(group), pa.array(n), none(m), pa.array(symbol[at]), text(m), text(m), pa.array(total[at])], names=columns)
+
+    dealt = rows.repartition(parts, "symbol")
+    return written(dealt.mapInArrow(run, "word long, grp long, n long, bits long, symbol long, lang string, term string, all_n long"), "levels")
 
 
 def _probability(count: Column, total: Column, terms: Column) -> Column:
@@ -107,20 +199,19 @@ def _floor_squares(p: np.ndarray, q: np.ndarray) -> np.ndarray:
 def joint_cells(frame: pd.DataFrame, left_band: int, right_band: int) -> pd.DataFrame:
     """(source, item, value): the sums of a shard's kept terms for each pair of different sources with one in each band.
 
-    frame: rows (source, band, word, count, bits, p, p0, terms); a row with count 0 and no bits stands for each source.
+    frame: rows (source, band, word, bits, p, p0, terms); a row without bits stands for each source and has p0 and terms.
     """
-    frame = frame.sort_values(["source", "word", "count"], kind="stable")
+    frame = frame.sort_values(["source", "bits", "word"], key=lambda c: c != 0 if c.name == "bits" else c, kind="stable")
     names = frame["source"].to_numpy()
     start = np.flatnonzero(np.append(True, names[1:] != names[:-1]))
     ends = np.append(start[1:], len(names))
     word, bits, p = frame["word"].to_numpy(np.int64), frame["bits"].to_numpy(np.int64).view(np.uint64), frame["p"].to_numpy(np.int64)
-    p0, band, terms = frame["p0"].to_numpy(np.int64), frame["band"].to_numpy(np.int64), int(frame["terms"].iloc[0])
+    p0, band, terms = frame["p0"].to_numpy(), frame["band"].to_numpy(np.int64), int(frame["terms"].max())
     size = np.bitwise_count(bits).astype(np.int64)
     parts = []
     for s, e in zip(start.tolist(), ends.tolist()):
-        own = slice(s, e)
-        held = size[own] > 0
-        parts.append((names[s], int(band[s]), int(p0[s]), word[own][held], bits[own][held], p[own][held], size[own][held]))
+        own = slice(s + 1, e)
+        parts.append((names[s], int(band[s]), int(p0[s]), word[own], bits[own], p[own], size[own]))
     out: list[tuple[str, str, int]] = []
     for x, (name, own_band, zero, words, sets, prob, n) in enumerate(parts):
         for name2, band2, zero2, words2, sets2, prob2, n2 in parts[x + 1:]:
@@ -155,40 +246,36 @@ def audit(docs: DataFrame, text: str = "text", lang: str = "lang", source: str =
     Null text, language and source are ''. Rows count even if they are repeated or have no id; other columns are not read. A group
     without terms has pairs but no terms; a language without kept terms has pairs of value 0. An empty table gives an empty result.
     """
-    counts = written(term_counts(docs, text, lang, source), "terms")
-    groups = counts.where("term IS NULL").select("lang", "source")
-    kept = counts.where("term IS NOT NULL").groupBy("lang", "term").agg(F.sum("n").alias("all_n"), F.sum("docs").alias("docs")).where(F.col("docs") >= MIN_DOCS)
-    # Numbers within the tasks of a range sort: terms of like frequency get neighbouring places.
-    numbered = kept.select("lang", "term", "all_n").repartitionByRange("lang", F.desc("all_n"), F.hash("term")).sortWithinPartitions("lang", F.desc("all_n"), "term")
-    terms = written(numbered.withColumn("place", F.monotonically_increasing_id()), "kept")
+    reported = term_counts(docs, text, lang, source)
+    groups = reported.where("symbol IS NULL").select("grp", "lang", F.col("term").alias("source")).distinct()
+    made = levels_of(reported)
+    levels = made.where("bits IS NOT NULL").select("word", "grp", F.col("n").alias("count"), "bits")
+    terms = made.where("term IS NOT NULL").select("word", "symbol", "lang", "term", "all_n")
     by_lang = terms.groupBy("lang").agg(F.count("*").alias("kept_terms"), F.sum("all_n").alias("lang_total"))
-    levels = written(counts.where("term IS NOT NULL").select("lang", "source", "term", "n").join(terms, ["lang", "term"]), "levels")
-    totals = (groups.join(levels.groupBy("lang", "source").agg(F.sum("n").alias("total")), ["lang", "source"], "left").join(by_lang, "lang", "left")
-              .select("lang", "source", F.coalesce("total", F.lit(0)).alias("total"), F.coalesce("kept_terms", F.lit(0)).alias("kept_terms"), "lang_total"))
-    totals = written(totals, "totals")
-    return pair_part(levels, terms, totals).unionByName(term_part(levels, totals))
+    sums = levels.groupBy("grp").agg(F.sum(F.col("count") * F.bit_count("bits")).alias("total"))
+    totals = written(groups.join(sums, "grp", "left").join(by_lang, "lang", "left").select(
+        "grp", "lang", "source", F.coalesce("total", F.lit(0)).alias("total"), F.coalesce("kept_terms", F.lit(0)).alias("kept_terms"), "lang_total"), "totals")
+    cells = made.where("word IS NULL").select("symbol", "grp", "n", "all_n")
+    return pair_part(levels, terms, totals).unionByName(term_part(cells, terms, totals))
 
 
 def pair_part(levels: DataFrame, terms: DataFrame, totals: DataFrame) -> DataFrame:
-    place, word = F.col("place"), F.floor(F.col("place") / WORD)
-    bitsets = levels.groupBy("lang", "source", word.alias("word"), F.col("n").alias("count")).agg(
-        F.bit_or(F.expr(f"shiftleft(1L, CAST(place % {WORD} AS INT))")).alias("bits"))
-    # Places leave gaps between the tasks that gave them, so a word's shard is a hash; every shard of a language is known from its terms.
-    most = totals.agg(F.max("kept_terms").alias("most")).first()["most"] or 0
+    """Pairs of sources. Every shard has a row of count 0 for each source of its languages, so that sources without terms there count too."""
+    most = totals.agg(F.max("kept_terms").alias("most"), F.count("*").alias("groups")).first()["most"] or 0
     shards = max(1, -(-most // (WORD * SHARD_WORDS)))
-    shard = lambda w: F.pmod(F.xxhash64(w), F.lit(shards)).cast("int")
-    used = terms.groupBy("lang", shard(F.floor(place / WORD)).alias("shard")).agg(F.count("*").alias("terms"))
+    shard = F.pmod(F.xxhash64("word"), F.lit(shards)).cast("int").alias("shard")
+    used = terms.groupBy("lang", shard).agg(F.count("*").alias("terms"))
     widest = totals.groupBy("lang").count().agg(F.max("count").alias("n")).first()["n"] or 0
     bands = max(1, -(-widest // BAND_SOURCES))
-    own = totals.where("kept_terms > 0").select("lang", "source", "total", "kept_terms", F.pmod(F.xxhash64("source"), F.lit(bands)).cast("int").alias("band"))
+    own = totals.where("kept_terms > 0").select("grp", "lang", "source", "total", "kept_terms", F.pmod(F.xxhash64("source"), F.lit(bands)).cast("int").alias("band"))
+    p = lambda count: _probability(count, F.col("total"), F.col("kept_terms"))
     zero = own.join(used, "lang").select(
-        "lang", "source", "shard", "terms", "band", F.lit(0).cast("long").alias("word"), F.lit(0).cast("long").alias("count"), F.lit(0).cast("long").alias("bits"), "total", "kept_terms")
-    found = bitsets.withColumn("shard", shard(F.col("word"))).join(own, ["lang", "source"]).join(used, ["lang", "shard"]).select(*zero.columns)
-    rows = found.unionByName(zero).select(
-        "lang", "source", "shard", "terms", "band", "word", "count", "bits", _probability(F.col("count"), F.col("total"), F.col("kept_terms")).alias("p"),
-        _probability(F.lit(0), F.col("total"), F.col("kept_terms")).alias("p0"))
-    other = F.explode(F.sequence(F.lit(0), F.lit(bands - 1)))
-    rows = rows.withColumn("met", other).select("*", F.least("band", "met").alias("low"), F.greatest("band", "met").alias("high"))
+        "lang", "source", "shard", "terms", "band", F.lit(0).cast("long").alias("word"), F.lit(0).cast("long").alias("bits"), p(F.lit(0)).alias("p"), p(F.lit(0)).alias("p0"))
+    found = levels.select("word", "grp", "count", "bits", shard).join(own, "grp").select(
+        "lang", "source", "shard", F.lit(None).cast("long").alias("terms"), "band", "word", "bits", p(F.col("count")).alias("p"), F.lit(None).cast("long").alias("p0"))
+    rows = found.unionByName(zero)
+    rows = rows.withColumn("met", F.explode(F.sequence(F.lit(0), F.lit(bands - 1)))) if bands > 1 else rows.withColumn("met", F.col("band"))
+    rows = rows.select("*", F.least("band", "met").alias("low"), F.greatest("band", "met").alias("high"))
 
     def cells(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
         out = joint_cells(frame, key[2], key[3])
@@ -203,11 +290,13 @@ def pair_part(levels: DataFrame, terms: DataFrame, totals: DataFrame) -> DataFra
     return valued.select("lang", "source", F.lit("pair").alias("part"), "item", "value", rank.alias("rank"))
 
 
-def term_part(levels: DataFrame, totals: DataFrame) -> DataFrame:
-    joined = levels.join(totals, ["lang", "source"])
+def term_part(cells: DataFrame, terms: DataFrame, totals: DataFrame) -> DataFrame:
+    """Terms of the groups: ranked by value with ties first, so that strings are fetched for the first ranks only."""
     p, q = _probability(F.col("n"), F.col("total"), F.col("kept_terms")), _probability(F.col("all_n"), F.col("lang_total"), F.col("kept_terms"))
-    valued = joined.select("lang", "source", F.col("term").alias("item"), p.alias("p"), q.alias("q")).where("p > q")
-    valued = valued.select("lang", "source", "item", _divergence(F.col("p"), F.col("q")).alias("value"))
+    valued = cells.join(totals, "grp").select("lang", "source", "symbol", p.alias("p"), q.alias("q")).where("p > q")
+    valued = valued.select("lang", "source", "symbol", _divergence(F.col("p"), F.col("q")).alias("value"))
+    near = valued.withColumn("rank", F.rank().over(Window.partitionBy("lang", "source").orderBy(F.desc("value")))).where(F.col("rank") <= TERM_RANKS).drop("rank")
+    named = near.join(terms.select("symbol", F.col("term").alias("item")), "symbol")
     rank = F.row_number().over(Window.partitionBy("lang", "source").orderBy(F.desc("value"), "item"))
-    ranked = valued.withColumn("rank", rank).where(F.col("rank") <= TERM_RANKS)
+    ranked = named.withColumn("rank", rank).where(F.col("rank") <= TERM_RANKS)
     return ranked.select("lang", "source", F.lit("term").alias("part"), "item", "value", "rank")
