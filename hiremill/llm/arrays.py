@@ -29,6 +29,8 @@ def _byte_values(fold_case: bool) -> np.ndarray:
 
 SPACE = np.zeros(256, bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
 #: Bytes that begin a code point.
 LEAD = (np.arange(256) & 0xC0) != 0x80
 _VALUES = {fold: _byte_values(fold) for fold in (False, True)}
@@ -132,9 +134,6 @@ class Tokens:
     hash: np.ndarray
     piece: np.ndarray
 
-    def text(self, i: int) -> str:
-        return self.data[self.start[i]:self.end[i]].tobytes().lower().decode("utf-8", "replace")
-
 
 def tokens_of(data: np.ndarray, offsets: np.ndarray, inside: np.ndarray, breaks: np.ndarray) -> Tokens:
     """Tokens of the rows. inside and breaks tell of each byte value whether it belongs to a token, and whether it ends a piece."""
@@ -158,6 +157,13 @@ def windows(words: Words, size: int) -> tuple[np.ndarray, np.ndarray]:
     return at, mixed(total)
 
 
+def lower_strings(data: np.ndarray, start: np.ndarray, size: np.ndarray) -> pa.Array:
+    """The slices of the bytes as strings, A-Z taken as a-z."""
+    ends = np.cumsum(size)
+    at = np.arange(ends[-1] if len(ends) else 0) + np.repeat(start - (ends - size), size)
+    return pa.StringArray.from_buffers(len(size), pa.py_buffer(np.append(0, ends).astype(np.int32)), pa.py_buffer(_LOWER[data[at]]))
+
+
 def code_points(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """Code points of each row."""
     total = np.zeros(len(data) + 1, np.int64)
@@ -170,3 +176,9 @@ def per_row(flags: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     total = np.zeros(len(flags) + 1, np.int64)
     np.cumsum(flags, out=total[1:])
     return total[offsets[1:]] - total[offsets[:-1]]
+
+
+def sliced(batch: pa.RecordBatch, rows: int = 100_000) -> Iterator[pa.RecordBatch]:
+    """The batch in parts of bounded size."""
+    for at in range(0, batch.num_rows, rows):
+        yield batch.slice(at, rows)

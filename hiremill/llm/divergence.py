@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from hiremill.llm.arrays import mixed, text_chunks, tokens_of
+from hiremill.llm.arrays import lower_strings, mixed, sliced, text_chunks, tokens_of
 from hiremill.llm.shared import ship_package, written
 
 #: Documents of the language in which a kept term stands at least, ranks of the terms, scale of the probabilities.
@@ -39,15 +39,6 @@ HELD, PART_ROWS = 1_000_000, 1_000_000
 _TERM = np.zeros(256, bool)
 _TERM[65:91] = _TERM[97:123] = _TERM[128:] = True
 _NO_BREAK = np.zeros(256, bool)
-_LOWER = np.arange(256, dtype=np.uint8)
-_LOWER[65:91] += 32
-
-
-def _strings(data: np.ndarray, start: np.ndarray, size: np.ndarray) -> pa.Array:
-    """The slices of the bytes as strings, A-Z taken as a-z."""
-    ends = np.cumsum(size)
-    at = np.arange(ends[-1] if len(ends) else 0) + np.repeat(start - (ends - size), size)
-    return pa.StringArray.from_buffers(len(size), pa.py_buffer(np.append(0, ends).astype(np.int32)), pa.py_buffer(_LOWER[data[at]]))
 
 
 def _report(held: list[tuple], langs: list[str]) -> Iterator[pa.RecordBatch]:
@@ -59,14 +50,16 @@ def _report(held: list[tuple], langs: list[str]) -> Iterator[pa.RecordBatch]:
     start = np.flatnonzero(np.append(True, code[order][1:] != code[order][:-1]))
     some = order[start]
     none = pa.nulls(len(some), pa.string())
-    yield pa.RecordBatch.from_arrays([pa.array(symbol[some].view(np.int64)), pa.array(group[some]), pa.array(np.add.reduceat(n[order], start)), none, none, pa.nulls(len(some), pa.int64())], names=names)
+    columns = [pa.array(symbol[some].view(np.int64)), pa.array(group[some]), pa.array(np.add.reduceat(n[order], start)), none, none, pa.nulls(len(some), pa.int64())]
+    yield from sliced(pa.RecordBatch.from_arrays(columns, names=names))
     unique, first, docs = np.unique(symbol, return_index=True, return_counts=True)
     data = np.concatenate([x[4] for x in held])
     begin = np.concatenate([x[5] + at for x, at in zip(held, np.cumsum([0, *(len(x[4]) for x in held)]))])
     size = np.concatenate([x[6] for x in held])
     none = pa.nulls(len(unique), pa.int64())
     named = pa.array(langs, pa.string()).take(pa.array(lang[first]))
-    yield pa.RecordBatch.from_arrays([pa.array(unique.view(np.int64)), none, none, named, _strings(data, begin[first], size[first]), pa.array(docs.astype(np.int64))], names=names)
+    columns = [pa.array(unique.view(np.int64)), none, none, named, lower_strings(data, begin[first], size[first]), pa.array(docs.astype(np.int64))]
+    yield from sliced(pa.RecordBatch.from_arrays(columns, names=names))
 
 
 def term_counts(docs: DataFrame, text: str, lang: str, source: str) -> DataFrame:

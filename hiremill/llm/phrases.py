@@ -22,14 +22,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from hiremill.llm.arrays import Tokens, mixed, text_chunks, tokens_of
+from hiremill.llm.arrays import Tokens, lower_strings, mixed, sliced, text_chunks, tokens_of
 from hiremill.llm.double_array import DoubleArray
 from hiremill.llm.shared import ship_package, written
 
 #: Least count of a candidate, most words, ranks, scale of the scores, per cent of a phrase's count that a longer one must reach to drop it.
 MIN_COUNT, MAX_WORDS, TOP, SCALE, COVERED = 30, 4, 2000, 2_000_000, 80
 #: Phrases of a trie (about), positions that a task holds before it reports, bins of the scores.
-PART_ENTRIES, HELD, SCORE_BINS = 1 << 20, 3_000_000, 1000
+PART_ENTRIES, HELD, SCORE_BINS = 1 << 20, 1_000_000, 1000
 NO_LANGUAGE = "und"
 
 #: Bytes that end a piece, and bytes that are in no word.
@@ -66,26 +66,23 @@ def word_counts(texts: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
 
-        def report() -> pa.RecordBatch:
-            symbols = np.concatenate([x[2] for x in held])
-            unique, first, n = np.unique(symbols, return_index=True, return_counts=True)
-            bounds = np.cumsum([0, *(len(x[2]) for x in held)])
-            chunk = np.searchsorted(bounds, first, "right") - 1
-            langs, words = [], []
-            for c, i in zip(chunk.tolist(), (first - bounds[chunk]).tolist()):
-                tokens, own, _ = held[c]
-                langs.append(own[tokens.row[i]])
-                words.append(tokens.text(i))
-            return pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(words, pa.string()), pa.array(unique.view(np.int64)), pa.array(n.astype(np.int64))], names=["lang", "word", "symbol", "n"])
+        def report() -> Iterator[pa.RecordBatch]:
+            unique, first, n = np.unique(np.concatenate([x[0] for x in held]), return_index=True, return_counts=True)
+            begin = np.concatenate([x[2] + at for x, at in zip(held, np.cumsum([0, *(len(x[1]) for x in held)]))])[first]
+            words = lower_strings(np.concatenate([x[1] for x in held]), begin, np.concatenate([x[3] for x in held])[first])
+            langs = pa.array([lang for x in held for lang in x[5]], pa.string())
+            row = np.concatenate([x[4] + at for x, at in zip(held, np.cumsum([0, *(len(x[5]) for x in held)]))])[first]
+            columns = [langs.take(pa.array(row)), words, pa.array(unique.view(np.int64)), pa.array(n.astype(np.int64))]
+            yield from sliced(pa.RecordBatch.from_arrays(columns, names=["lang", "word", "symbol", "n"]))
 
         for tokens, langs, symbols, _ in Texts().chunks(batches):
-            held.append((tokens, langs, symbols))
+            held.append((symbols, tokens.data.copy(), tokens.start, tokens.end - tokens.start, tokens.row, langs))
             size += len(symbols)
             if size > HELD:
-                yield report()
+                yield from report()
                 held, size = [], 0
         if held:
-            yield report()
+            yield from report()
 
     return texts.mapInArrow(run, "lang string, word string, symbol long, n long").groupBy("lang", "word", "symbol").agg(F.sum("n").alias("n"))
 
@@ -131,12 +128,12 @@ def observed(texts: DataFrame, phrases: DataFrame, size: int, tails: list[int],
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             own, held, rows = shared.value, [], 0
 
-            def report() -> pa.RecordBatch:
+            def report() -> Iterator[pa.RecordBatch]:
                 prefix, one, two = (np.concatenate([x[k] for x in held]) for k in range(3))
                 code = mixed(mixed(one) + mixed(two ^ np.uint64(0x5DEECE66D)) * np.uint64(3) + prefix.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
                 _, first, n = np.unique(code, return_index=True, return_counts=True)
-                return pa.RecordBatch.from_arrays([pa.array(prefix[first].astype(np.int32)), pa.array(one[first].view(np.int64)), pa.array(two[first].view(np.int64)), pa.array(n.astype(np.int64))],
-                                                  names=["prefix", "one", "two", "n"])
+                columns = [pa.array(prefix[first].astype(np.int32)), *(pa.array(x[first].view(np.int64)) for x in (one, two)), pa.array(n.astype(np.int64))]
+                yield from sliced(pa.RecordBatch.from_arrays(columns, names=["prefix", "one", "two", "n"]))
 
             for _, _, symbols, runs in Texts().chunks(batches):
                 *_, (at, state) = own.array.walk(own.ids(symbols), runs, size)
@@ -152,10 +149,10 @@ def observed(texts: DataFrame, phrases: DataFrame, size: int, tails: list[int],
                         held.append((place[at], symbols[at + size], symbols[at + size + 1] if tail == 2 else np.zeros(len(at), np.uint64)))
                         rows += len(at)
                 if rows > HELD:
-                    yield report()
+                    yield from report()
                     held, rows = [], 0
             if held:
-                yield report()
+                yield from report()
 
         def named(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             for batch in batches:
