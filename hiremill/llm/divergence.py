@@ -14,7 +14,6 @@ arithmetic.
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,8 +31,8 @@ from hiremill.llm.shared import ship_package, written
 MIN_DOCS, TERM_RANKS, SCALE = 3, 200, 1_000_000_000
 #: Terms of a word, words of a shard (about), sources of a band.
 WORD, SHARD_WORDS, BAND_SOURCES = 64, 64, 64
-#: (Row, term) pairs that a task holds before it reports them, reported rows of a part (about).
-HELD, PART_ROWS = 1_000_000, 1_000_000
+#: (Row, term) pairs that a task holds before it reports them, characters of the texts for each part.
+HELD, PART_CHARS = 1_000_000, 10_000_000
 
 #: Bytes that terms consist of, letters and all code points above 127.
 _TERM = np.zeros(256, bool)
@@ -62,66 +61,40 @@ def _report(held: list[tuple], langs: list[str]) -> Iterator[pa.RecordBatch]:
     yield from sliced(pa.RecordBatch.from_arrays(columns, names=names))
 
 
-def term_counts(docs: DataFrame, text: str, lang: str, source: str) -> DataFrame:
-    """Scratch table of what the tasks report: (symbol, grp, n) of a group's term, (symbol, lang, term, docs) of a term, and (grp, lang,
-    term) with a source as term for each group that occurs. A group's number is a hash of its language and source."""
-    ship_package(docs.sparkSession)
+def term_counts(docs: DataFrame) -> DataFrame:
+    """What the tasks report: (symbol, grp, n) of a group's term, and (symbol, lang, term, docs) of a term. A group's number is a hash of
+    its language and source. docs: (text, lang, grp, seed) without nulls; seed is a hash of the language."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         langs: dict[str, int] = {}
-        seeds: list[int] = []
-        groups: dict[tuple[str, str], int] = {}
         held, size = [], 0
         for batch in batches:
-            own, names = batch.column(1).to_pylist(), list(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()))
-            for x in dict.fromkeys(own):
-                if x not in langs:
-                    langs[x] = len(langs)
-                    seeds.append(number(x))
-            for g in dict.fromkeys(names):
-                if g not in groups:
-                    groups[g] = number(*g)
-            lang_of, seed_of = np.asarray([langs[x] for x in own], np.int64), np.asarray(seeds, np.int64).view(np.uint64)
-            group_of = np.asarray([groups[g] for g in names], np.int64)
+            lang_of = np.asarray([langs.setdefault(x, len(langs)) for x in batch.column(1).to_pylist()], np.int32)
+            group_of, seed_of = batch.column(2).to_numpy(), batch.column(3).to_numpy().view(np.uint64)
             for first, _, data, offsets in text_chunks(batch.column(0)):
                 tokens = tokens_of(data, offsets, _TERM, _NO_BREAK)
                 if not len(tokens.hash):
                     continue
                 row = first + tokens.row
-                symbol = mixed(tokens.hash ^ seed_of[lang_of[row]])
+                symbol = mixed(tokens.hash ^ seed_of[row])
                 _, at, n = np.unique(mixed(symbol + row.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)), return_index=True, return_counts=True)
-                held.append((symbol[at], group_of[row[at]], lang_of[row[at]].astype(np.int32), n.astype(np.int64), data.copy(), tokens.start[at], (tokens.end - tokens.start)[at]))
+                held.append((symbol[at], group_of[row[at]], lang_of[row[at]], n.astype(np.int64), data.copy(), tokens.start[at], (tokens.end - tokens.start)[at]))
                 size += len(at)
                 if size > HELD:
                     yield from _report(held, list(langs))
                     held, size = [], 0
         if held:
             yield from _report(held, list(langs))
-        if groups:
-            none = pa.nulls(len(groups), pa.int64())
-            yield pa.RecordBatch.from_arrays([none, pa.array(list(groups.values()), pa.int64()), none, pa.array([g[0] for g in groups], pa.string()), pa.array([g[1] for g in groups], pa.string()), none],
-                                             names=["symbol", "grp", "n", "lang", "term", "docs"])
-
-    as_text = lambda c: F.coalesce(F.col(f"`{c}`").cast("string"), F.lit(""))
-    rows = docs.select(as_text(text).alias("text"), as_text(lang).alias("lang"), as_text(source).alias("source"))
-    return written(rows.mapInArrow(run, "symbol long, grp long, n long, lang string, term string, docs long"), "terms")
-
 
-def number(*names: str) -> int:
-    """Signed 64-bit hash of some names."""
-    joined = b"".join(len(x.encode()).to_bytes(8, "little") + x.encode() for x in names)
-    return int.from_bytes(hashlib.blake2b(joined, digest_size=8).digest(), "little", signed=True)
+    return docs.mapInArrow(run, "symbol long, grp long, n long, lang string, term string, docs long")
 
 
-def levels_of(reported: DataFrame) -> DataFrame:
+def levels_of(reported: DataFrame, parts: int) -> DataFrame:
     """Scratch table of the kept terms by parts: (word, grp, n, bits) of a level, and (symbol, lang, term, all_n) of a term, and
     (symbol, grp, n, all_n) of a term in a group.
 
     Terms are dealt into parts by hash. Within a part those of a language are placed by falling counts, WORD to a word.
     """
-    rows = reported.where("symbol IS NOT NULL")
-    parts = max(1, -(-rows.count() // PART_ROWS))
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = list(batches)
         if not held:
@@ -170,7 +143,7 @@ def levels_of(reported: DataFrame) -> DataFrame:
         m = len(at)
         yield pa.RecordBatch.from_arrays([none(m), pa.array(group), pa.array(n), none(m), pa.array(symbol[at]), text(m), text(m), pa.array(total[at])], names=columns)
 
-    dealt = rows.repartition(parts, "symbol")
+    dealt = reported.repartition(parts, "symbol")
     return written(dealt.mapInArrow(run, "word long, grp long, n long, bits long, symbol long, lang string, term string, all_n long"), "levels")
 
 
@@ -239,9 +212,13 @@ def audit(docs: DataFrame, text: str = "text", lang: str = "lang", source: str =
     Null text, language and source are ''. Rows count even if they are repeated or have no id; other columns are not read. A group
     without terms has pairs but no terms; a language without kept terms has pairs of value 0. An empty table gives an empty result.
     """
-    reported = term_counts(docs, text, lang, source)
-    groups = reported.where("symbol IS NULL").select("grp", "lang", F.col("term").alias("source")).distinct()
-    made = levels_of(reported)
+    ship_package(docs.sparkSession)
+    as_text = lambda c: F.coalesce(F.col(f"`{c}`").cast("string"), F.lit(""))
+    rows = docs.select(as_text(text).alias("text"), as_text(lang).alias("lang"), as_text(source).alias("source"))
+    rows = rows.withColumns({"grp": F.xxhash64("lang", "source"), "seed": F.xxhash64("lang")})
+    parts = max(1, -(-(rows.agg(F.sum(F.length("text"))).first()[0] or 0) // PART_CHARS))
+    groups = rows.select("grp", "lang", "source").distinct()
+    made = levels_of(term_counts(rows.select("text", "lang", "grp", "seed")), parts)
     levels = made.where("bits IS NOT NULL").select("word", "grp", F.col("n").alias("count"), "bits")
     terms = made.where("term IS NOT NULL").select("word", "symbol", "lang", "term", "all_n")
     by_lang = terms.groupBy("lang").agg(F.count("*").alias("kept_terms"), F.sum("all_n").alias("lang_total"))

@@ -51,7 +51,7 @@ def test_audit_matches_brute_force(spark, monkeypatch, shard, band, held):
     monkeypatch.setattr(divergence, "SHARD_WORDS", shard)
     monkeypatch.setattr(divergence, "BAND_SOURCES", band)
     monkeypatch.setattr(divergence, "HELD", held)
-    monkeypatch.setattr(divergence, "PART_ROWS", held)
+    monkeypatch.setattr(divergence, "PART_CHARS", 100 * held)
     extra = [(None, "Ünïcode_word straße-ß ÀÉ éa", "de", f"q{i % 5}") for i in range(9)] + [(1, "solo", "xx", "a"), (2, None, "xx", "b"), (3, "tie tie", None, None), (4, "tie", None, "z"), (5, "tie", "", "z")]
     data = [(r[1], r[2], r[3]) for r in rows()] + [(t, x, s) for _, t, x, s in extra]
     table = documents(spark, rows() + [(i, t, x, s, 1, 0.0, True, 1, "a", "b") for i, t, x, s in extra])
