@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hiremill.llm import bpe, divergence, html_runs, jaccard, langid, packing, perplexity, phrases, pii, quality_model, url_rules, vafile
+from hiremill.llm import bpe, divergence, html_runs, jaccard, langid, mixing, packing, perplexity, phrases, pii, quality_model, url_rules, vafile
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -144,6 +144,11 @@ def op11(spark: SparkSession, sf: str) -> DataFrame:
     return phrases.mine(_table(spark, sf, "documents"))
 
 
+@_query("op12_context_mixing")
+def op12(spark: SparkSession, sf: str) -> DataFrame:
+    return mixing.score_documents(_table(spark, sf, "documents"))
+
+
 @_query("op13_source_divergence", """
 WITH d AS (SELECT row_number() OVER () AS id, coalesce(text, '') AS text, coalesce(lang, '') AS lang, coalesce(source, '') AS source FROM documents),
 w AS (
