@@ -2,41 +2,46 @@
 
 Every scan hashes words and shingles as arrays; a document's set is a sorted array of 64-bit shingle hashes, and equal sets are one node.
 
-1. Nodes: size, a digest of the set, two least hashes. The same scan reports shingles that several sets of a task share; of those the
-   `FREQUENT` most frequent are the tail of the global order of shingles (any order is right, a rare-first one is fast).
-2. Leaders: nodes that share a least hash and a size band are compared with one leader of the group. The links that hold give first
-   components, so that large families of near copies are one component before pairs are looked for.
-3. Tiles: two linked sets must share a shingle among the first |x| - ceil(0.8 |x|) + 1 of each. These prefixes are dealt into tiles of
-   bounded size by shingle; shingles of one component only are left out. In a tile the sets of a shingle stand in order of size; a set
-   meets those of its size band only (n to 1.25 n), only across components, and only if the hashed bitmap signatures allow it: the bit
-   count of the difference of two parity bitmaps is a lower bound of the sets' difference, hence bounds the overlap from above.
-   A tile is walked twice: first each two components bring their best pair only, and after the links of those have joined components,
-   all pairs that are left.
-4. Verification: the pairs that are left fetch whole texts and intersect the sorted arrays exactly.
-5. Components of all links by alternating large-star and small-star steps.
-
-No step gathers the members of a shingle, group or component in the driver; no candidate is dropped by a cap.
+1. Nodes: size and a digest of the set. The same scan reports shingles that several sets of a task share; of those the `FREQUENT` most
+   frequent are the tail of the global order of shingles (any order is right, a rare-first one is fast).
+2. Tiles: two linked sets must share a shingle among the first |x| - ceil(0.8 |x|) + 1 of each. These prefixes are dealt by shingle
+   into tiles of bounded size, as packed arrays; shingles that one component has alone are dropped there. In a tile the sets of a
+   shingle stand in order of size and meet within their size band only (n to 1.25 n).
+3. Rounds: in each size band of a shingle a few sets lead, and every other set of another component proposes the leader with which it
+   shares most shingles of the tile. Over all tiles each set keeps its best proposal, which is verified; links join components, and
+   rounds go on while they join many. A family of near copies becomes one component in work that is linear in its size.
+4. The rest: all pairs across components that are left, if the hashed bitmap signatures allow it: the bit count of the difference of two
+   parity bitmaps is a lower bound of the sets' difference, hence bounds the overlap from above.
+5. Verification: pairs fetch whole texts and intersect the sorted arrays exactly. Components by alternating large-star and small-star steps.
+
+No step gathers the members of a group or component in the driver; no candidate is dropped by a cap. Scratch tables go when their last
+reader is done.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hiremill.llm.arrays import mixed, text_chunks, windows, words_of
-from hiremill.llm.shared import ship_package, written
+from hiremill.llm.shared import dropped, ship_package, written
 
 SHINGLE_WORDS, PERCENT = 5, 80
 #: Frequent shingles that are broadcast at most; sets of one task that share a shingle before it is reported.
 FREQUENT, SHARED_SETS = 1 << 18, 2
-#: Prefix shingles of a tile (about) and tiles at least, ratio of the size bands of the leaders, shingles that a task counts at once, bits
-#: of the id filter.
-TILE_KEYS, TILES, BAND, COUNTED, FILTER_BITS = 2_000_000, 24, 1.12, 3_000_000, 1 << 24
+#: Prefix shingles of a tile (about) and tiles at least; ratio of a size band and leaders of a shingle in it; proposals of a set in a tile;
+#: a round follows while the one before linked one of so many of its proposals; rounds at most.
+TILE_KEYS, TILES, BAND, LEADERS, PROPOSALS, WORTH, ROUNDS = 2_000_000, 24, 1.25, 4, 2, 8, 6
+#: Shingles that a task counts at once, nodes that a task packs at once, pairs that a tile tests at once, bits of an id filter for each id
+#: and at most.
+COUNTED, PACKED, TESTED, BITS_EACH, MAX_BITS = 3_000_000, 20_000, 1_000_000, 16, 1 << 27
 _SEEDS = [np.uint64(0x243F6A8885A308D3), np.uint64(0x13198A2E03707344)]
 
 
@@ -112,29 +117,26 @@ def folded(bitmaps: np.ndarray, words: int) -> np.ndarray:
 
 
 def nodes_of(docs: DataFrame, key: str, text: str) -> tuple[DataFrame, DataFrame]:
-    """Scratch tables: (doc_id, mark, n, node, m0, m1) of every row, and (shingle, n) shared within tasks. mark is a hash of the text."""
+    """Scratch tables: (doc_id, mark, n, node) of every row, and (shingle, n) shared within tasks. mark is a hash that tells null from ''."""
     ship_package(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["doc_id", "mark", "n", "node", "m0", "m1"]
+        names = ["doc_id", "mark", "n", "node"]
         seen, held, size = set(), [], 0
 
         def shared() -> pa.RecordBatch:
             unique, n = np.unique(np.concatenate(held), return_counts=True)
             some = n >= SHARED_SETS
             none = pa.nulls(int(some.sum()), pa.int64())
-            return pa.RecordBatch.from_arrays([none, none, pa.array(n[some].astype(np.int64)), pa.array(unique[some].view(np.int64)), none, none], names=names)
+            return pa.RecordBatch.from_arrays([none, none, pa.array(n[some].astype(np.int64)), pa.array(unique[some].view(np.int64))], names=names)
 
         for batch in batches:
-            ns, nodes, least = [], [], [[], []]
+            ns, nodes = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
             for _, _, data, offsets in text_chunks(batch.column(1)):
                 hashes, bounds = shingle_sets(data, offsets)
                 node = set_digests(hashes, bounds)
                 ns.append(np.diff(bounds))
                 nodes.append(node)
-                for out, seed in zip(least, _SEEDS):
-                    padded = np.append(mixed(hashes + seed), np.uint64(2**64 - 1))
-                    out.append(np.minimum.reduceat(padded, bounds[:-1]).view(np.int64))
                 fresh = [i for i, x in enumerate(node.tolist()) if x not in seen and not seen.add(x)]
                 held += [hashes[bounds[i]:bounds[i + 1]] for i in fresh]
                 size += sum(int(bounds[i + 1] - bounds[i]) for i in fresh)
@@ -142,13 +144,12 @@ def nodes_of(docs: DataFrame, key: str, text: str) -> tuple[DataFrame, DataFrame
                     yield shared()
                     held, size = [], 0
                     seen.clear()
-            join = lambda x: pa.array(np.concatenate(x).astype(np.int64) if x else np.zeros(0, np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), batch.column(2), join(ns), join(nodes), join(least[0]), join(least[1])], names=names)
+            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), batch.column(2), pa.array(np.concatenate(ns)), pa.array(np.concatenate(nodes))], names=names)
         if held:
             yield shared()
 
-    source = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("mark"))
-    both = written(source.mapInArrow(run, "doc_id long, mark long, n long, node long, m0 long, m1 long"), "sets")
+    source = docs.select(F.col(f"`{key}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text"), F.xxhash64(F.col(f"`{text}`")).alias("mark"))
+    both = written(source.mapInArrow(run, "doc_id long, mark long, n long, node long"), "sets")
     return both.where("mark IS NOT NULL"), both.where("mark IS NULL").select(F.col("node").alias("shingle"), "n")
 
 
@@ -174,29 +175,39 @@ def frequent_shingles(shared: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return hashes[order], rank[order]
 
 
-def leader_pairs(nodes: DataFrame) -> DataFrame:
-    """(a, b): a the leader of the nodes that share a least hash and a size band, b each other one."""
-    band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(BAND))).cast("int")
-    least = F.array(*(F.struct(F.lit(i).alias("seed"), F.col(f"m{i}").alias("least")) for i in (0, 1)))
-    keyed = nodes.select("node", band.alias("band"), F.explode(least).alias("k"))
-    keyed = keyed.select("node", "band", "k.seed", "k.least")
-    leaders = keyed.groupBy("seed", "least", "band").agg(F.min("node").alias("a"), F.count("*").alias("members")).where("members > 1").drop("members")
-    return keyed.join(leaders, ["seed", "least", "band"]).where("node <> a").select("a", F.col("node").alias("b")).distinct()
+class IdFilter:
+    """Bits of hashes: a filter that lets every wanted id pass and few others. It is made by a grouped bit_or; ids are hashed by Spark."""
 
+    def __init__(self, ids: DataFrame, *columns: str):
+        self.columns = columns
+        n = ids.count()
+        self.bits = 1 << min(MAX_BITS.bit_length() - 1, max(16, (BITS_EACH * n).bit_length()))
+        place = F.pmod(F.xxhash64(*columns), F.lit(self.bits))
+        words = ids.select(place.alias("p")).groupBy(F.expr("shiftright(p, 6)").alias("word")).agg(F.expr("bit_or(shiftleft(1L, CAST(p & 63 AS INT)))").alias("bits")).toArrow()
+        held = np.zeros(self.bits // 64, np.int64)
+        held[words["word"].to_numpy()] = words["bits"].to_numpy()
+        self.shared = ids.sparkSession.sparkContext.broadcast(held.view(np.uint64))
+
+    def place(self, *columns: str) -> Column:
+        return F.pmod(F.xxhash64(*columns), F.lit(self.bits))
+
+
+def hits(words: np.ndarray, places: pa.Array) -> np.ndarray:
+    at = places.to_numpy()
+    return (words[at >> 6] >> (at & 63).astype(np.uint64) & np.uint64(1)).astype(bool)
+
+
+def texts_of(docs: DataFrame, wanted: DataFrame, key: str, text: str) -> DataFrame:
+    """(doc_id, text) of the documents whose ids are wanted, and of few others."""
+    near = IdFilter(wanted, "doc_id")
+    shared = near.shared
 
-def _id_filter(ids: DataFrame) -> np.ndarray:
-    """Bits of the ids' hashes: a fixed-size filter that lets every wanted id pass and, while it is not full, few others."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.zeros(FILTER_BITS // 8, np.uint8)
         for batch in batches:
-            at = (mixed(batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)) % np.uint64(FILTER_BITS)).astype(np.int64)
-            np.bitwise_or.at(bits, at >> 3, (1 << (at & 7)).astype(np.uint8))
-        yield pa.RecordBatch.from_arrays([pa.array([bits.tobytes()], pa.binary())], names=["bits"])
+            yield batch.filter(pa.array(hits(shared.value, batch.column(2)))).select([0, 1])
 
-    out = np.zeros(FILTER_BITS // 8, np.uint8)
-    for row in ids.select("doc_id").coalesce(8).mapInArrow(run, "bits binary").collect():
-        out |= np.frombuffer(bytes(row["bits"]), np.uint8)
-    return out
+    rows = docs.select(F.col(f"`{key}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text")).where("doc_id IS NOT NULL")
+    return rows.withColumn("place", near.place("doc_id")).mapInArrow(run, "doc_id long, text string")
 
 
 def verified(pairs: DataFrame, docs: DataFrame, homes: DataFrame, key: str, text: str) -> DataFrame:
@@ -210,15 +221,7 @@ def verified(pairs: DataFrame, docs: DataFrame, homes: DataFrame, key: str, text
     sides = dealt.select("a", "part", F.col("b").alias("node"), F.lit(1).alias("side")).unionByName(
         dealt.select("a", "part").distinct().select("a", "part", F.col("a").alias("node"), F.lit(0).alias("side")))
     wanted = written(sides.join(homes, "node"), "wanted")
-    bits = spark.sparkContext.broadcast(_id_filter(wanted))
-
-    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            at = (mixed(batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)) % np.uint64(FILTER_BITS)).astype(np.int64)
-            yield batch.filter(pa.array((bits.value[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)))
-
-    texts = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).where("doc_id IS NOT NULL").mapInArrow(near, "doc_id long, text string")
-    rows = texts.join(wanted, "doc_id").select("a", "part", "side", "node", "text")
+    rows = texts_of(docs, wanted, key, text).join(wanted, "doc_id").select("a", "part", "side", "node", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group, leader = None, None
@@ -242,7 +245,9 @@ def verified(pairs: DataFrame, docs: DataFrame, homes: DataFrame, key: str, text
                         right.append(node[r])
             yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], names=["a", "b"])
 
-    return written(rows.repartition("a", "part").sortWithinPartitions("a", "part", "side").mapInArrow(run, "a long, b long").distinct(), "links")
+    out = written(rows.repartition("a", "part").sortWithinPartitions("a", "part", "side").mapInArrow(run, "a long, b long").distinct(), "links")
+    dropped(wanted)
+    return out
 
 
 def connected(edges: DataFrame) -> DataFrame:
@@ -255,70 +260,128 @@ def connected(edges: DataFrame) -> DataFrame:
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.greatest("v", "m").alias("u"), F.least("v", "m").alias("v")).unionByName(low.select("u", F.col("m").alias("v")))
-        state = written(small.where("u <> v").distinct(), "edges")
+        state, old = written(small.where("u <> v").distinct(), "edges"), state
+        dropped(old)
         now = state.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
         if before == now:
             return state.select(F.col("u").alias("node"), F.col("v").alias("root"))
         before = now
 
 
-def prefix_table(docs: DataFrame, text: str, frequent: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """Scratch table (node, n, keys, bitmap): the prefix of each set in the rare-first order and its parity bitmap; sets of a task once."""
-    shared = docs.sparkSession.sparkContext.broadcast(frequent)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hot, rank = shared.value
-        seen: set[int] = set()
-        for batch in batches:
-            out: list[list] = [[], [], [], []]
-            for _, _, data, offsets in text_chunks(batch.column(0)):
-                hashes, bounds = shingle_sets(data, offsets)
-                size = np.diff(bounds)
-                order = hashes >> np.uint64(1)
-                if len(hot):
-                    at = np.minimum(np.searchsorted(hot, hashes), len(hot) - 1)
-                    order = np.where(hot[at] == hashes, np.uint64(1 << 63) + rank[at], order)
-                row = np.repeat(np.arange(len(size)), size)
-                sort = np.lexsort((order, row))
-                for i, node in enumerate(set_digests(hashes, bounds).tolist()):
-                    if size[i] and node not in seen:
-                        seen.add(node)
-                        own = slice(bounds[i], bounds[i + 1])
-                        out[0].append(node)
-                        out[1].append(int(size[i]))
-                        out[2].append(hashes[sort[own][:prefix_length(int(size[i]))]].tobytes())
-                        out[3].append(parity_bitmap(hashes[own], bitmap_words(int(size[i]))).tobytes())
-                if len(seen) > 1_000_000:
-                    seen.clear()
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(out[0], pa.int64()), pa.array(out[1], pa.int32()), pa.array(out[2], pa.binary()), pa.array(out[3], pa.binary())], names=["node", "n", "keys", "bitmap"])
-
-    return written(docs.select(text).mapInArrow(run, "node long, n int, keys binary, bitmap binary"), "prefixes")
-
-
-def _by_key(frame: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Keys and rows of a tile in order of key and row, and which keys stand in several components."""
-    comp = frame["comp"].to_numpy(np.int64)
-    key = np.frombuffer(b"".join(frame["keys"]), np.uint64)
-    row = np.repeat(np.arange(len(frame)), frame["keys"].map(len).to_numpy() // 8)
-    order = np.lexsort((row, key))
-    key, row = key[order], row[order]
-    start = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
-    across = np.minimum.reduceat(comp[row], start) != np.maximum.reduceat(comp[row], start)
-    return key, row, np.repeat(across, np.diff(np.append(start, len(key))))
-
-
-def shared_keys(frame: pd.DataFrame) -> pd.DataFrame:
-    """The rows of a tile with the keys that stand in several components; rows without one are left out."""
-    key, row, across = _by_key(frame)
-    key, row = key[across], row[across]
-    order = np.argsort(row, kind="stable")
-    key, row = key[order], row[order]
-    start = np.flatnonzero(np.append(True, row[1:] != row[:-1])) if len(row) else np.zeros(0, np.int64)
-    raw, ends = key.tobytes(), np.append(start, len(key)) * 8
-    out = frame.iloc[row[start]][["tile", "node", "comp", "n"]].copy()
-    out["keys"] = [raw[s:e] for s, e in zip(ends, ends[1:])]
-    return out
+@dataclass
+class Tile:
+    """Entries (shingle, node) of a tile in order of shingle and size. keys and who go together; node, n and comp are by node, sorted by n."""
+
+    node: np.ndarray
+    n: np.ndarray
+    comp: np.ndarray
+    keys: np.ndarray
+    who: np.ndarray
+
+    @classmethod
+    def of(cls, node: np.ndarray, n: np.ndarray, owner: np.ndarray, keys: np.ndarray) -> Tile:
+        """From entries; a node may come from several tasks."""
+        node, first, inverse = np.unique(node, return_index=True, return_inverse=True)
+        n = n[first]
+        order = np.argsort(n, kind="stable")
+        place = np.empty(len(order), np.int64)
+        place[order] = np.arange(len(order))
+        code = np.unique(keys.astype(np.uint64) << np.uint64(32) | place[inverse][owner].astype(np.uint64))
+        return cls(node[order], n[order], node[order], (code >> np.uint64(32)).astype(np.uint32), (code & np.uint64(2**32 - 1)).astype(np.int64))
+
+    def across(self) -> Tile:
+        """Only the shingles that stand in several components, and their nodes."""
+        if not len(self.keys):
+            return self
+        start = np.flatnonzero(np.append(True, self.keys[1:] != self.keys[:-1]))
+        comp = self.comp[self.who]
+        several = np.minimum.reduceat(comp, start) != np.maximum.reduceat(comp, start)
+        stay = np.repeat(several, np.diff(np.append(start, len(self.keys))))
+        used, who = np.unique(self.who[stay], return_inverse=True)
+        return Tile(self.node[used], self.n[used], self.comp[used], self.keys[stay], who)
+
+    def with_components(self, node: np.ndarray, comp: np.ndarray) -> Tile:
+        order = np.argsort(node)
+        at = np.minimum(np.searchsorted(node[order], self.node), max(len(node) - 1, 0))
+        held = node[order][at] == self.node if len(node) else np.zeros(len(self.node), bool)
+        return Tile(self.node, self.n, np.where(held, comp[order][at], self.node) if len(node) else self.node, self.keys, self.who)
+
+    def row(self, tile: int) -> dict:
+        return {"tile": tile, "nodes": self.node.astype(np.int64).tobytes(), "sizes": self.n.astype(np.int32).tobytes(), "keys": self.keys.tobytes(), "who": self.who.astype(np.int32).tobytes()}
+
+    @classmethod
+    def read(cls, row: pd.Series) -> Tile:
+        node = np.frombuffer(row["nodes"], np.int64)
+        return cls(node, np.frombuffer(row["sizes"], np.int32).astype(np.int64), node, np.frombuffer(row["keys"], np.uint32), np.frombuffer(row["who"], np.int32).astype(np.int64))
+
+    def proposals(self, salt: int) -> pd.DataFrame:
+        """(a, b, shared): for each node b its best leaders a of other components, by the shingles at which a leads."""
+        if not len(self.keys):
+            return pd.DataFrame({"a": [], "b": [], "shared": []})
+        band = np.floor(np.log(np.maximum(self.n, 1)) / math.log(BAND)).astype(np.int64)[self.who]
+        start = np.flatnonzero(np.append(True, (self.keys[1:] != self.keys[:-1]) | (band[1:] != band[:-1])))
+        sizes = np.diff(np.append(start, len(self.keys)))
+        m, codes = len(self.node), []
+        for leader in range(LEADERS):
+            rank = mixed(self.node.view(np.uint64) ^ np.uint64(1 + leader + LEADERS * salt))
+            # In the first round one leader is the set with most shared shingles: the original of a family of near copies.
+            order = np.lexsort((rank, -np.bincount(self.who, minlength=m))) if leader == salt == 0 else np.argsort(rank)
+            place = np.empty(m, np.int64)
+            place[order] = np.arange(m)
+            first = np.repeat(order[np.minimum.reduceat(place[self.who], start)], sizes)
+            fits = (self.comp[first] != self.comp[self.who]) & (100 * np.minimum(self.n[first], self.n[self.who]) >= PERCENT * np.maximum(self.n[first], self.n[self.who]))
+            codes.append(self.who[fits] * m + first[fits])
+        code, shared = np.unique(np.concatenate(codes), return_counts=True)
+        who, leader = code // m, code % m
+        order = np.lexsort((self.node[leader], -shared, who))
+        who, leader, shared = who[order], leader[order], shared[order]
+        start = np.flatnonzero(np.append(True, who[1:] != who[:-1])) if len(who) else np.zeros(0, np.int64)
+        best = np.arange(len(who)) - np.repeat(start, np.diff(np.append(start, len(who)))) < PROPOSALS
+        return pd.DataFrame({"a": self.node[leader[best]], "b": self.node[who[best]], "shared": shared[best]})
+
+    def pairs(self, bitmaps: Bitmaps) -> pd.DataFrame:
+        """(a, b): all pairs of nodes of different components with a common shingle, fitting sizes and bitmaps.
+
+        The entries of a shingle that are not of its largest component meet all others of fitting size.
+        """
+        if not len(self.keys):
+            return pd.DataFrame({"a": [], "b": []})
+        m, comp = len(self.node), self.comp[self.who]
+        start = np.flatnonzero(np.append(True, self.keys[1:] != self.keys[:-1]))
+        sizes = np.diff(np.append(start, len(self.keys)))
+        group = np.repeat(np.arange(len(start)), sizes)
+        _, number = np.unique(comp, return_inverse=True)
+        code, held = np.unique(group * (number.max() + 1) + number, return_counts=True)
+        order = np.lexsort((held, code // (number.max() + 1)))
+        last = np.flatnonzero(np.append(code[order][1:] // (number.max() + 1) != code[order][:-1] // (number.max() + 1), True))
+        largest = (code[order][last] % (number.max() + 1))[group]
+        small = np.flatnonzero(number != largest)
+        size = self.n[self.who]
+        ordered = group * (int(self.n.max()) + 1) + size
+        low = np.searchsorted(ordered, group[small] * (int(self.n.max()) + 1) + -(-size[small] * PERCENT // 100), "left")
+        high = np.searchsorted(ordered, group[small] * (int(self.n.max()) + 1) + np.minimum(size[small] * 100 // PERCENT, int(self.n.max())), "right")
+        found = []
+        ends = np.cumsum(high - low)
+        at = 0
+        while at < len(small):
+            upto = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + TESTED, "right")))
+            for lo in range(0, int(max(high[at:upto] - low[at:upto])), TESTED):
+                begin, end = low[at:upto] + lo, np.minimum(high[at:upto], low[at:upto] + lo + TESTED)
+                met = np.maximum(end - begin, 0)
+                left = np.repeat(small[at:upto], met)
+                right = np.arange(len(left)) - np.repeat(np.cumsum(met) - met, met) + np.repeat(begin, met)
+                new = (number[left] != number[right]) & ((number[right] == largest[right]) | (left < right))
+                x, y = self.who[left[new]], self.who[right[new]]
+                codes = np.unique(np.minimum(x, y) * m + np.maximum(x, y))
+                x, y = codes // m, codes % m
+                total = self.n[x] + self.n[y]
+                most = (total - bitmaps.difference(x, y)) // 2
+                found.append(codes[100 * most >= PERCENT * (total - most)])
+            at = upto
+            if sum(map(len, found)) > TESTED:
+                found = [np.unique(np.concatenate(found))]
+        codes = np.unique(np.concatenate(found)) if found else np.zeros(0, np.int64)
+        return pd.DataFrame({"a": self.node[codes // m], "b": self.node[codes % m]})
 
 
 class Bitmaps:
@@ -346,103 +409,162 @@ class Bitmaps:
         return out
 
 
-def tile_pairs(frame: pd.DataFrame, best_only: bool) -> pd.DataFrame:
-    """Candidate pairs of a tile: nodes of different components with a common prefix shingle, fitting sizes and bitmaps.
+def _packed(docs: DataFrame, text: str, frequent: tuple[np.ndarray, np.ndarray], tiles: int) -> DataFrame:
+    """(tile, nodes, sizes, lens, keys): the prefixes of sets in the rare-first order, dealt by shingle; sets of a task once."""
+    shared = docs.sparkSession.sparkContext.broadcast(frequent)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hot, rank = shared.value
+        seen: set[int] = set()
+        held: list[tuple[np.ndarray, ...]] = []
+        packed = 0
+
+        def report() -> pa.RecordBatch:
+            node, n, key = (np.concatenate([h[i] for h in held]) for i in (0, 1, 3))
+            owner = np.concatenate([h[2] + at for h, at in zip(held, np.cumsum([0, *(len(h[0]) for h in held)]))])
+            tile = (key % np.uint64(tiles)).astype(np.int64)
+            order = np.lexsort((owner, tile))
+            key, tile, owner = (key >> np.uint64(32)).astype(np.uint32)[order], tile[order], owner[order]
+            start = np.flatnonzero(np.append(True, tile[1:] != tile[:-1]))
+            out: dict[str, list] = {c: [] for c in ("tile", "nodes", "sizes", "lens", "keys")}
+            for s, e in zip(start, np.append(start[1:], len(tile))):
+                own, lens = np.unique(owner[s:e], return_counts=True)
+                for c, x in zip(out, (int(tile[s]), node[own].tobytes(), n[own].astype(np.int32).tobytes(), lens.astype(np.int32).tobytes(), key[s:e].tobytes())):
+                    out[c].append(x)
+            return pa.RecordBatch.from_arrays([pa.array(out["tile"], pa.int32()), *(pa.array(out[c], pa.binary()) for c in ("nodes", "sizes", "lens", "keys"))], names=list(out))
 
-    best_only: of each two components the pair with the greatest bound.
-    """
-    frame = frame.sort_values(["n", "node"], kind="stable").reset_index(drop=True)
-    node, comp, n = (frame[c].to_numpy(np.int64) for c in ("node", "comp", "n"))
-    key, row, across = _by_key(frame)
-    key, row = key[across], row[across]
-    bitmaps, found, bounds, held = Bitmaps(list(frame["bitmap"])), [], [], []
-
-    def test() -> None:
-        codes = np.unique(np.concatenate(held)) if held else np.zeros(0, np.int64)
-        held.clear()
-        x, y = codes // len(frame), codes % len(frame)
-        total = n[x] + n[y]
-        most = (total - bitmaps.difference(x, y)) // 2
-        fits = 100 * most >= PERCENT * (total - most)
-        found.append(codes[fits])
-        bounds.append((most / np.maximum(total - most, 1))[fits])
-
-    active, step = np.arange(len(key)), 0
-    while len(active):
-        step += 1
-        active = active[active + step < len(key)]
-        active = active[(key[active] == key[active + step]) & (100 * n[row[active + step]] * PERCENT <= 10_000 * n[row[active]])]
-        x, y = row[active], row[active + step]
-        new = comp[x] != comp[y]
-        held.append(x[new] * len(frame) + y[new])
-        if sum(map(len, held)) > 2_000_000:
-            test()
-    test()
-    codes, place = np.unique(np.concatenate(found), return_index=True)
-    if best_only:
-        bound, x, y = np.concatenate(bounds)[place], comp[codes // len(frame)], comp[codes % len(frame)]
-        low, high = np.minimum(x, y), np.maximum(x, y)
-        order = np.lexsort((-bound, high, low))
-        first = np.ones(len(order), bool)
-        first[1:] = (low[order][1:] != low[order][:-1]) | (high[order][1:] != high[order][:-1])
-        codes = codes[order[first]]
-    return pd.DataFrame({"a": node[codes // len(frame)], "b": node[codes % len(frame)]})
-
-
-def tiles_of(prefixes: DataFrame, roots: DataFrame) -> DataFrame:
-    """Scratch table (tile, node, comp, n, keys): the prefixes dealt into tiles, without keys that one component has alone."""
-    total = prefixes.agg(F.sum(F.length("keys")).alias("bytes")).first()["bytes"] or 0
-    tiles = max(TILES, -(-total // 8 // TILE_KEYS))
-    own = prefixes.select("node", "n", "keys").dropDuplicates(["node"]).join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("comp"), "n", "keys")
-
-    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo in range(0, batch.num_rows, 500):
-                part = batch.slice(lo, 500)
-                blobs = part.column(3).to_pylist()
-                key = np.frombuffer(b"".join(blobs), np.uint64)
-                row = np.repeat(np.arange(len(blobs)), [len(b) // 8 for b in blobs])
-                tile = (mixed(key) % np.uint64(tiles)).astype(np.int64)
-                order = np.lexsort((tile, row))
-                key, code = key[order], (row * tiles + tile)[order]
-                start = np.flatnonzero(np.append(True, code[1:] != code[:-1])) if len(code) else np.zeros(0, np.int64)
-                raw, ends = key.tobytes(), np.append(start, len(key)) * 8
-                at = pa.array(code[start] // tiles)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array((code[start] % tiles).astype(np.int32)), part.column(0).take(at), part.column(1).take(at), part.column(2).take(at),
-                     pa.array([raw[s:e] for s, e in zip(ends, ends[1:])], pa.binary())], names=["tile", "node", "comp", "n", "keys"])
+            for _, _, data, offsets in text_chunks(batch.column(0)):
+                hashes, bounds = shingle_sets(data, offsets)
+                node, size = set_digests(hashes, bounds), np.diff(bounds)
+                fresh = np.asarray([bool(k) and x not in seen and not seen.add(x) for x, k in zip(node.tolist(), size.tolist())], bool)
+                order = hashes >> np.uint64(1)
+                if len(hot):
+                    at = np.minimum(np.searchsorted(hot, hashes), len(hot) - 1)
+                    order = np.where(hot[at] == hashes, np.uint64(1 << 63) + rank[at], order)
+                row = np.repeat(np.arange(len(size)), size)
+                sort = np.lexsort((order, row))
+                own = (np.arange(len(row)) - np.repeat(bounds[:-1], size) < prefix_length(size)[row]) & fresh[row]
+                number = np.cumsum(fresh) - 1
+                held.append((node[fresh], size[fresh], number[row[own]], mixed(hashes[sort][own])))
+                packed += int(fresh.sum())
+                if packed >= PACKED:
+                    yield report()
+                    held, packed = [], 0
+                if len(seen) > 500_000:
+                    seen.clear()
+        if packed:
+            yield report()
+
+    return docs.select(F.col(f"`{text}`")).mapInArrow(run, "tile int, nodes binary, sizes binary, lens binary, keys binary")
+
 
-    schema = "tile int, node long, comp long, n int, keys binary"
-    return written(own.mapInArrow(deal, schema).groupBy("tile").applyInPandas(shared_keys, schema), "shared")
+_TILE = "tile int, nodes binary, sizes binary, keys binary, who binary, a long, b long, shared long"
 
 
-def candidate_pairs(tiles: DataFrame, prefixes: DataFrame, best_only: bool) -> DataFrame:
-    """(a, b) over all tiles. Only the nodes of the tiles bring their bitmaps."""
-    bitmaps = prefixes.select("node", "bitmap").join(tiles.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"])
+def _out(tile: int, kept: Tile, salt: int) -> pd.DataFrame:
+    """A row of the tile (if anything is left) and rows of its proposals."""
+    blank = {"nodes": None, "sizes": None, "keys": None, "who": None, "a": None, "b": None, "shared": None}
+    rows = pd.DataFrame([{**blank, **kept.row(tile)}] if len(kept.keys) else [], columns=["tile", *blank])
+    found = kept.proposals(salt)
+    if len(found):
+        found = found.assign(tile=tile, nodes=None, sizes=None, keys=None, who=None)[["tile", *blank]]
+        rows = pd.concat([rows, found.astype({c: "Int64" for c in ("a", "b", "shared")})], ignore_index=True) if len(rows) else found
+    return rows.astype({c: "Int64" for c in ("a", "b", "shared")})
 
-    def pairs(frame: pd.DataFrame) -> pd.DataFrame:
-        return tile_pairs(frame, best_only)
 
-    return written(tiles.join(bitmaps, "node").groupBy("tile").applyInPandas(pairs, "a long, b long").distinct(), "pairs")
+def first_tiles(docs: DataFrame, text: str, frequent: tuple[np.ndarray, np.ndarray], tiles: int) -> DataFrame:
+    """Scratch table of the tiles with the shingles that several nodes have, and the first proposals."""
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        node, n, lens, keys = (np.frombuffer(b"".join(frame[c]), kind) for c, kind in (("nodes", np.int64), ("sizes", np.int32), ("lens", np.int32), ("keys", np.uint32)))
+        return _out(int(frame["tile"].iloc[0]), Tile.of(node, n.astype(np.int64), np.repeat(np.arange(len(node)), lens), keys).across(), 0)
+
+    return written(_packed(docs, text, frequent, tiles).groupBy("tile").applyInPandas(run, _TILE), "tiles")
+
+
+def _members(tiles: DataFrame, roots: DataFrame) -> DataFrame:
+    """(at, node, comp): the nodes of each tile that have a component."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for tile, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                node = np.frombuffer(blob, np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(node), tile, np.int32)), pa.array(node)], names=["at", "node"])
+
+    return tiles.where("nodes IS NOT NULL").select("tile", "nodes").mapInArrow(run, "at int, node long").join(roots, "node").select("at", "node", F.col("root").alias("comp"))
+
+
+def next_tiles(tiles: DataFrame, roots: DataFrame, salt: int) -> DataFrame:
+    """Scratch table of the tiles with the shingles that several components have, and proposals across components."""
+    def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        if not len(left):
+            return pd.DataFrame(columns=["tile", "nodes", "sizes", "keys", "who", "a", "b", "shared"])
+        tile = Tile.read(left.iloc[0]).with_components(right["node"].to_numpy(np.int64), right["comp"].to_numpy(np.int64))
+        return _out(int(left["tile"].iloc[0]), tile.across(), salt)
+
+    held = tiles.where("nodes IS NOT NULL").select("tile", "nodes", "sizes", "keys", "who")
+    return written(held.groupBy("tile").cogroup(_members(tiles, roots).groupBy("at")).applyInPandas(run, _TILE), "tiles")
+
+
+def best_proposals(tiles: DataFrame) -> DataFrame:
+    """(a, b): for each node the leader with which it shares most over all tiles."""
+    each = tiles.where("a IS NOT NULL").groupBy("b", "a").agg(F.sum("shared").alias("shared"))
+    best = each.groupBy("b").agg(F.max_by("a", F.struct("shared", "a")).alias("a"))
+    return written(best.select("a", "b"), "pairs")
+
+
+def remaining_pairs(tiles: DataFrame, roots: DataFrame, docs: DataFrame, homes: DataFrame, key: str, text: str) -> DataFrame:
+    """Scratch table (a, b): all candidate pairs across components that are left. Only their nodes bring bitmaps."""
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for _, _, data, offsets in text_chunks(batch.column(0)):
+                hashes, bounds = shingle_sets(data, offsets)
+                blobs = [parity_bitmap(hashes[s:e], bitmap_words(int(e - s))).tobytes() for s, e in zip(bounds[:-1], bounds[1:])]
+                yield pa.RecordBatch.from_arrays([pa.array(set_digests(hashes, bounds)), pa.array(blobs, pa.binary())], names=["node", "bitmap"])
+
+    members = written(_members(tiles, homes.select("node", F.col("node").alias("root"))).select("at", "node"), "members")
+    used = written(members.select("node").distinct().join(homes, "node"), "used")
+    bitmaps = texts_of(docs, used, key, text).select("text").mapInArrow(sets, "node long, bitmap binary").join(used.select("node"), "node", "left_semi").dropDuplicates(["node"])
+    side = members.join(bitmaps, "node").join(roots, "node", "left").select("at", "node", F.coalesce("root", "node").alias("comp"), "bitmap")
+
+    def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        if not len(left):
+            return pd.DataFrame({"a": [], "b": []})
+        tile = Tile.read(left.iloc[0]).with_components(right["node"].to_numpy(np.int64), right["comp"].to_numpy(np.int64)).across()
+        place = np.argsort(right["node"].to_numpy(np.int64))
+        own = place[np.searchsorted(right["node"].to_numpy(np.int64)[place], tile.node)]
+        blobs = right["bitmap"].tolist()
+        return tile.pairs(Bitmaps([blobs[i] for i in own]))
+
+    held = tiles.where("nodes IS NOT NULL").select("tile", "nodes", "sizes", "keys", "who")
+    out = written(held.groupBy("tile").cogroup(side.groupBy("at")).applyInPandas(run, "a long, b long").distinct(), "pairs")
+    dropped(members)
+    dropped(used)
+    return out
 
 
 def labelled(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, mark, n, component_id) of every row; see components()."""
     rows, shared = nodes_of(docs, key, text)
     some = rows.where("n > 0 AND doc_id IS NOT NULL")
-    nodes = some.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("m0").alias("m0"), F.first("m1").alias("m1"))
-    nodes = written(nodes, "nodes")
+    nodes = written(some.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n")), "nodes")
     homes = nodes.select("node", "doc_id")
-    first = verified(leader_pairs(nodes), docs, homes, key, text)
-    roots = connected(first)
-    prefixes = prefix_table(docs.where(F.col(key).isNotNull()), text, frequent_shingles(shared))
-    tiles = tiles_of(prefixes, roots)
-    best = candidate_pairs(tiles, prefixes, True)
-    links = first.unionByName(verified(best, docs, homes, key, text))
-    roots = connected(links)
-    again = tiles.drop("comp").join(roots, "node", "left").select("tile", "node", F.coalesce("root", "node").alias("comp"), "n", "keys")
-    across = written(again.groupBy("tile").applyInPandas(shared_keys, "tile int, node long, comp long, n int, keys binary"), "shared")
-    rest = candidate_pairs(across, prefixes, False).join(best, ["a", "b"], "left_anti")
+    total = nodes.agg(F.sum(F.expr(f"n - (n * {PERCENT} + 99) div 100 + 1"))).first()[0] or 0
+    tiles = first_tiles(docs.where(F.col(f"`{key}`").isNotNull()), text, frequent_shingles(shared), max(TILES, -(-total // TILE_KEYS)))
+    links, tried, roots = None, None, None
+    for salt in range(1, ROUNDS + 1):
+        best = best_proposals(tiles)
+        asked = best.count()
+        new = verified(best, docs, homes, key, text)
+        links, tried = (new, best) if links is None else (links.unionByName(new), tried.unionByName(best))
+        roots = connected(links)
+        tiles, old = next_tiles(tiles, roots, salt), tiles
+        dropped(old)
+        if not asked or new.count() * WORTH < asked:
+            break
+    rest = remaining_pairs(tiles, roots, docs, homes, key, text)
+    dropped(tiles)
+    pair = F.struct(F.least("a", "b").alias("low"), F.greatest("a", "b").alias("high"))
+    rest = rest.withColumn("pair", pair).join(tried.select(pair.alias("pair")).distinct(), "pair", "left_anti").select("a", "b")
     roots = connected(links.unionByName(verified(rest, docs, homes, key, text)))
     named = homes.join(roots, "node", "left").select("node", "doc_id", F.coalesce("root", "node").alias("root"))
     least = named.groupBy("root").agg(F.min("doc_id").alias("component_id"))
@@ -464,29 +586,28 @@ def components(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Data
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The documents without near copies: of each component the one with the smallest id stays, once. Columns as given.
 
-    Documents without words stay (repeated rows once), and so do all rows without an id.
+    Documents without words stay (repeated rows once; null and empty text differ), and so do all rows without an id. Columns may have
+    any names.
     """
-    spark = docs.sparkSession
     rows = written(labelled(docs, key, text).where("doc_id IS NOT NULL").groupBy("doc_id", "mark").agg(
         F.max("n").alias("n"), F.min("component_id").alias("component_id"), F.count("*").alias("copies")), "labels")
     chosen = rows.where("n > 0").groupBy("component_id").agg(F.min(F.struct("doc_id", "mark")).alias("first")).select("first.doc_id", "first.mark")
-    stay = chosen.unionByName(rows.where("n = 0").select("doc_id", "mark"))
-    # Texts are shuffled only where a row has to go or is repeated, and where the fixed-size filter takes it for such a row.
+    stay = written(chosen.unionByName(rows.where("n = 0").select("doc_id", "mark")), "stay")
+    # Texts are shuffled only where a row has to go or is repeated, and where the filter takes it for such a row.
     unclear = rows.join(stay, ["doc_id", "mark"], "left_anti").select("doc_id", "mark").unionByName(rows.where("copies > 1").select("doc_id", "mark"))
-    bits = spark.sparkContext.broadcast(_id_filter(unclear.select(F.xxhash64("doc_id", "mark").alias("doc_id"))))
-    mark = F.xxhash64(F.coalesce(F.col(text), F.lit("")))
-    marked = docs.withColumns({"__id": F.col(key).cast("long"), "__mark": mark}).withColumn("__row", F.xxhash64("__id", "__mark"))
+    near = IdFilter(written(unclear, "unclear"), "doc_id", "mark")
+    shared = near.shared
+    whole = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col(f"`{key}`").cast("long").alias("doc_id"), F.xxhash64(F.col(f"`{text}`")).alias("mark"))
+    marked = whole.withColumn("place", near.place("doc_id", "mark"))
 
     def part(hit: bool) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                at = (mixed(batch.column(batch.num_columns - 1).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)) % np.uint64(FILTER_BITS)).astype(np.int64)
-                found = (bits.value[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool) & ~np.asarray(batch.column(batch.num_columns - 3).is_null())
+                found = hits(shared.value, batch.column(3)) & ~np.asarray(batch.column(1).is_null())
                 yield batch.filter(pa.array(found == hit))
 
-        return marked.mapInArrow(run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in marked.schema.fields))
+        return marked.mapInArrow(run, marked.schema)
 
-    columns = [F.col(f"`{c}`") for c in docs.columns]
-    settled = part(False).select(*columns)
-    kept = part(True).join(stay.withColumnsRenamed({"doc_id": "__id", "mark": "__mark"}), ["__id", "__mark"], "left_semi").dropDuplicates(["__id", "__mark"])
-    return settled.unionByName(kept.select(*columns))
+    kept = part(True).join(stay, ["doc_id", "mark"], "left_semi").dropDuplicates(["doc_id", "mark"])
+    both = part(False).select("row").unionByName(kept.select("row"))
+    return both.select(*(F.col("row").getField(c).alias(c) for c in docs.columns))

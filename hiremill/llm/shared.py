@@ -48,6 +48,14 @@ def delete_path(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
+def dropped(df: DataFrame) -> None:
+    """Removes the scratch table that `written` gave, once nothing reads it any more."""
+    root = df.sparkSession.sparkContext.getCheckpointDir()
+    for folder in {os.path.dirname(f) for f in df.inputFiles()}:
+        if root and root.rstrip("/").split(":")[-1] in folder:
+            delete_path(df.sparkSession, folder)
+
+
 def fresh_name(df: DataFrame, name: str) -> str:
     """A column name that the table does not use yet."""
     taken = {c.lower() for c in df.columns}

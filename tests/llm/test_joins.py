@@ -152,3 +152,13 @@ def test_bounds_hold():
     exact, queries = rng.integers(-300, 300, (400, 16)), rng.integers(-300, 300, (9, 16))
     bounds = vafile.Approximation(exact).upper_bounds(queries)
     assert (bounds >= queries @ exact.T).all()
+
+
+def test_kept_rows_tell_null_from_empty_and_stand_clashing_names(spark):
+    text = "one two three four five six seven"
+    data = [(1, None, "zz", 1), (1, "", "yy", 2), (1, "", "yy", 2), (2, text, "a", 3), (3, text.upper(), "b", 4), (None, text, "c", 5)]
+    docs = spark.createDataFrame(data, "doc_id long, text string, __id string, mark int").withColumnsRenamed({"__id": "row"})
+    docs = docs.selectExpr("*", "'p' AS place", "'x' AS __mark", "7 AS node")
+    kept = jaccard.keep_one(docs)
+    assert kept.schema == docs.schema
+    assert sorted((str(r.doc_id), str(r.text), r.row, r.mark) for r in kept.collect()) == [("1", "", "yy", 2), ("1", "None", "zz", 1), ("2", text, "a", 3), ("None", text, "c", 5)]
