@@ -9,7 +9,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from hiremill.functions.text import (canon, compact, contains_any, distinct_by_canon, family, is_in, let, lit_list, lit_map,
-                                     lst, matches, ordered_distinct, squeeze)
+                                     lst, matches, ordered_distinct, s, squeeze)
 from hiremill.rules import board as BR
 from hiremill.rules import signals as SR
 from hiremill.rules import wording as WR
@@ -68,9 +68,16 @@ def signal_text(c: str | Column, rules: TermRules = TERMS) -> Column:
         # Plain substring tests decide whether any of the replacements can apply at all.
         return F.when(let(F.lower(text), lambda low: contains_any(low, cores)), out).otherwise(text) if rules.inline else text
 
-    text = let(squeeze(c), replace)
-    text = let(text, lambda x: F.when(F.contains(x, F.lit("(")), F.regexp_replace(x, "(?U)\\b([A-Za-z0-9가-힣/+]+)\\(\\1\\)", "$1")).otherwise(x))
-    return trim_edges(F.regexp_replace(text, "(?U)\\s+", " "))
+    def whole(given: Column) -> Column:
+        text = let(squeeze(given), replace)
+        text = let(text, lambda x: F.when(F.contains(x, F.lit("(")), F.regexp_replace(x, "(?U)\\b([A-Za-z0-9가-힣/+]+)\\(\\1\\)", "$1")).otherwise(x))
+        return trim_edges(F.regexp_replace(text, "(?U)\\s+", " "))
+
+    # A single word without marks changes only if a known spelling occurs in it.
+    def plain(x: Column) -> Column:
+        return x.rlike("^[0-9A-Za-z가-힣]+$") & ~let(F.lower(x), lambda low: contains_any(low, cores))
+
+    return let(s(c), lambda x: F.when(plain(x), x).otherwise(whole(x)))
 
 
 def trim_edges(c: Column) -> Column:
@@ -80,8 +87,9 @@ def trim_edges(c: Column) -> Column:
 def lookup(c: Column, table: Mapping[str, str]) -> Column:
     if not table:
         return c
-    m = lit_map(table)
-    return let(c, lambda x: F.coalesce(F.try_element_at(m, F.lower(x)), F.try_element_at(m, x), x))
+    m, keys = lit_map(table), list(table)
+    # Most terms are not in the table: a hashed test comes before the walk over its entries.
+    return let(c, lambda x: F.when(F.lower(x).isin(keys) | x.isin(keys), F.coalesce(F.try_element_at(m, F.lower(x)), F.try_element_at(m, x), x)).otherwise(x))
 
 
 def canonical_term(c: str | Column, rules: TermRules = TERMS) -> Column:

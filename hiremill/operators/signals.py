@@ -101,8 +101,10 @@ def composite_labels(text: Column, rules: Sequence[Mapping]) -> Column:
     return let(F.lower(text), found)
 
 
-def joined_terms(summary: Column, keywords: Column, t: TermRules) -> Column:
-    return F.array_join(non_blank(F.transform(F.concat(F.array(summary), keywords), lambda x: canonical_term(x, t))), " ")
+def joined_terms(summary: Column, keywords: Column, t: TermRules, canonical: bool = False) -> Column:
+    """Canonical terms as one text; `canonical` keywords are so already."""
+    terms = keywords if canonical else F.transform(keywords, lambda x: canonical_term(x, t))
+    return F.array_join(non_blank(F.concat(F.array(canonical_term(summary, t)), terms)), " ")
 
 
 def match_signals(rows: DataFrame, r: SignalRules = SIGNALS) -> DataFrame:
@@ -123,11 +125,13 @@ def match_signals(rows: DataFrame, r: SignalRules = SIGNALS) -> DataFrame:
     df = df.withColumns({f"_b_{c}": F.when(low, F.col(f"_g_{c}")).otherwise(v) for c, v in base.items()})
     # Focus, keywords and summary hints seed their own category; tools only while no real signal precedes them.
     label_of = {label: c for c, rules in r.rules.items() for label, _ in rules}
-    seeds = F.concat(F.array(s("focus_label")), lst("keywords"), text_hints(signal_text("summary", t), r.hints),
-                     composite_labels(joined_terms(s("summary"), lst("keywords"), t), r.composites))
-    tagged = F.filter(F.transform(seeds, lambda x, i: let(canonical_term(x, t), lambda y: F.struct(
-        y.alias("v"), i.alias("i"), (F.try_element_at(lit_map(label_of), y) if label_of else F.lit(None).cast("string")).alias("c"),
-        is_tool(y, t).alias("t")))), lambda x: x["c"].isNotNull())
+    # Each keyword is made canonical once; only seeds that are some rule's label go on.
+    df = df.withColumn("_kw", F.transform(lst("keywords"), lambda x: canonical_term(x, t)))
+    near = F.concat(text_hints(signal_text("summary", t), r.hints), composite_labels(joined_terms(s("summary"), F.col("_kw"), t, True), r.composites))
+    seeds = F.concat(F.array(canonical_term("focus_label", t)), F.col("_kw"), F.transform(near, lambda x: canonical_term(x, t)))
+    known = F.filter(F.transform(seeds, lambda y, i: F.struct(y.alias("v"), i.alias("i"))), lambda x: is_in(x["v"], label_of))
+    tagged = F.transform(known, lambda x: F.struct(x["v"].alias("v"), x["i"].alias("i"), (F.try_element_at(lit_map(label_of), x["v"]) if label_of else F.lit(None).cast("string")).alias("c"),
+                                                   is_tool(x["v"], t).alias("t")))
     real = ("domain", "problem", "system", "workflow")
     empty = F.lit(True)
     for c in real:
@@ -148,7 +152,7 @@ def match_signals(rows: DataFrame, r: SignalRules = SIGNALS) -> DataFrame:
         F.when(none, F.lit("missing_domain_problem_signal")),
         F.when((F.size("system_signals") > 0) & none, F.lit("system_only_signal")), sparse))
     out = df.withColumns({"role_signals": role_list, "confidence_notes": F.slice(notes, 1, r.limits.get("notes", 4))})
-    return out.drop("_text", "_seeds", "_first", *[f"_g_{c}" for c in CATEGORIES], *[f"_b_{c}" for c in CATEGORIES])
+    return out.drop("_text", "_kw", "_seeds", "_first", *[f"_g_{c}" for c in CATEGORIES], *[f"_b_{c}" for c in CATEGORIES])
 
 
 def _in_category(c: str, ok):
