@@ -18,7 +18,9 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -28,8 +30,8 @@ from hiremill.llm.shared import ship_package, written
 
 #: Least count of a candidate, most words, ranks, scale of the scores, per cent of a phrase's count that a longer one must reach to drop it.
 MIN_COUNT, MAX_WORDS, TOP, SCALE, COVERED = 30, 4, 2000, 2_000_000, 80
-#: Phrases of a trie (about), positions that a task holds before it reports, bins of the scores.
-PART_ENTRIES, HELD, SCORE_BINS = 1 << 20, 1_000_000, 1000
+#: Phrases of a trie (about), positions that a task holds before it reports, bins of the scores, counts of a shard and parts of the shards.
+PART_ENTRIES, HELD, SCORE_BINS, SHARD, SHARDS = 1 << 20, 1_000_000, 1000, 4096, 64
 NO_LANGUAGE = "und"
 
 #: Bytes that end a piece, and bytes that are in no word.
@@ -182,16 +184,29 @@ def counted(texts: DataFrame, candidates: DataFrame) -> DataFrame:
                 for _, state in own.array.walk(own.ids(symbols), runs, own.width):
                     ends = own.array.accept[state]
                     total += np.bincount(ends[ends >= 0], minlength=len(total))
-            some = np.flatnonzero(total)
-            yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(total[some])], names=["phrase", "n"])
+            part = TaskContext.get().partitionId() % SHARDS
+            for at in range(0, len(total), SHARD):
+                if total[at:at + SHARD].any():
+                    yield pa.RecordBatch.from_arrays([pa.array([at], pa.int32()), pa.array([part], pa.int32()), pa.array([total[at:at + SHARD].tobytes()], pa.binary())], names=["at", "part", "n"])
+
+        def summed(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
+            total = np.frombuffer(frame["n"].iloc[0], np.int64).copy()
+            for more in frame["n"].iloc[1:]:
+                total += np.frombuffer(more, np.int64)
+            return pd.DataFrame({"at": [key[0]], "part": [0], "n": [total.tobytes()]})
 
         def named(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                symbols = [[x for x in row if x] for row in shared.value.phrases[batch.column(0).to_numpy()].view(np.int64).tolist()]
-                yield pa.RecordBatch.from_arrays([pa.array(symbols, pa.list_(pa.int64())), batch.column(1)], names=["symbols", "a"])
-
-        summed = texts.mapInArrow(run, "phrase int, n long").groupBy("phrase").agg(F.sum("n").alias("n"))
-        found.append(written(summed.mapInArrow(named, "symbols array<long>, a long"), "counted"))
+                for at, blob in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist()):
+                    n = np.frombuffer(blob, np.int64)
+                    some = np.flatnonzero(n)
+                    symbols = [[x for x in row if x] for row in shared.value.phrases[at + some].view(np.int64).tolist()]
+                    yield pa.RecordBatch.from_arrays([pa.array(symbols, pa.list_(pa.int64())), pa.array(n[some])], names=["symbols", "a"])
+
+        # Shards meet in two steps, so that no task gets more than a share of them.
+        schema = "at int, part int, n binary"
+        shards = texts.mapInArrow(run, schema).groupBy("at", "part").applyInPandas(summed, schema).groupBy("at").applyInPandas(summed, schema)
+        found.append(written(shards.mapInArrow(named, "symbols array<long>, a long"), "counted"))
     out = found[0]
     for more in found[1:]:
         out = out.unionByName(more)

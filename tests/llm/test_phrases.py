@@ -51,6 +51,7 @@ def texts(seed):
 def test_mining_matches_brute_force(spark, monkeypatch, least, top, entries, held):
     monkeypatch.setattr(phrases, "PART_ENTRIES", entries)
     monkeypatch.setattr(phrases, "HELD", held)
+    monkeypatch.setattr(phrases, "SHARD", min(entries, 4096))
     more = texts(least)
     data = [(r[1], r[2]) for r in rows()] + more
     table = documents(spark, rows() + [(900 + i, t, x, "s", 1, 0.0, True, 1, "a", "b") for i, (t, x) in enumerate(more)])
