@@ -317,12 +317,28 @@ def gold_to_overrides(gold: DataFrame, postings: DataFrame, updated_at: str, all
                     F.when(F.col("target_scope") == "include", F.col("target_role")).otherwise("").alias("mapped_role"), F.lit("high").alias("confidence"), F.col("_sig").alias("signature"), F.lit(updated_at).alias("updated_at"))
 
 
+def _files(spark: SparkSession, root: str):
+    """The Hadoop file system of a folder and a function that makes paths in it."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    return path(root).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), lambda name: path(f"{root}/{name}")
+
+
+def _numbers(spark: SparkSession, root: str, prefix: str) -> list[int]:
+    """Numbers of the pointers (no prefix) or claims of a store, falling."""
+    fs, path = _files(spark, root)
+    if not fs.exists(path("pointers")):
+        return []
+    names = [f.getPath().getName() for f in fs.listStatus(path("pointers"))]
+    return sorted((int(n[len(prefix):]) for n in names if n.startswith(prefix) and n[len(prefix):].isdigit()), reverse=True)
+
+
 def guarded_apply(spark: SparkSession, root: str, store: DataFrame, batch: DataFrame, gate_passed: bool, measure: Callable[[DataFrame], bool], dry_run: bool = False,
                   version: str | None = None) -> str:
-    """Publish an upserted override table as a new version directory and switch the pointer only when gate and re-measurement hold.
+    """Publish an upserted override table as a new version directory and point to it only when gate and re-measurement hold.
 
-    Returns the status: dry_run, blocked, rolled_back or published. `version` is a new name (a fresh one by default); a name that exists
-    is refused, so no published version is ever touched. The pointer is written beside the old one and takes its place by a rename.
+    Returns the status: dry_run, blocked, rolled_back, refused or published. `version` is a new name (a fresh one by default); a name that
+    exists is refused with an error, so no published version is ever touched. A pointer is a numbered file that is made once and never
+    changed: of two writers that started from the same pointer one is refused, and at every moment the last whole pointer is readable.
     """
     import uuid
 
@@ -334,22 +350,40 @@ def guarded_apply(spark: SparkSession, root: str, store: DataFrame, batch: DataF
         return "dry_run"
     if not gate_passed:
         return "blocked"
+    state = lambda: (_numbers(spark, root, "")[:1], _numbers(spark, root, "claim-")[:1])
+    started = state()
     path = f"{root}/version={version}"
     upsert_by_key(store, batch).write.mode("errorifexists").parquet(path)
     if not measure(spark.read.parquet(path)):
         return "rolled_back"
-    jvm = spark.sparkContext._jvm
-    fresh, pointer, old = (jvm.org.apache.hadoop.fs.Path(f"{root}/{n}") for n in (f"pointer-{version}", "current", f"replaced-by-{version}"))
-    spark.createDataFrame([(path,)], "path string").coalesce(1).write.json(fresh.toString())
-    fs = fresh.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if fs.exists(pointer) and not fs.rename(pointer, old):
-        raise OSError(f"the pointer {pointer} could not be moved")
-    if not fs.rename(fresh, pointer):
-        fs.rename(old, pointer)
-        raise OSError(f"the pointer {pointer} could not be written")
+    fs, at = _files(spark, root)
+    # The claim of a writer that died leaves a gap in the numbers and nothing else.
+    number = max([0, *started[0], *started[1]]) + 1
+    if state() != started:
+        return "refused"
+    # The pointer is whole before it gets its number; a number that is taken is not given again.
+    part = at(f"pointers/part-{version}")
+    out = fs.create(part, False)
+    out.write(bytearray(f"version={version}".encode()))
+    out.close()
+    try:
+        taken = not fs.createNewFile(at(f"pointers/claim-{number}"))
+    except Exception as e:
+        if "Exists" not in str(e):
+            raise
+        taken = True
+    if taken or not fs.rename(part, at(f"pointers/{number}")):
+        return "refused"
     return "published"
 
 
 def current_version(spark: SparkSession, root: str) -> DataFrame:
-    """The table the pointer names; the pointer is one row."""
-    return spark.read.parquet(spark.read.json(f"{root}/current").first()["path"])
+    """The table that the last pointer names."""
+    number = _numbers(spark, root, "")[0]
+    return spark.read.parquet(f"{root}/" + spark.read.text(f"{root}/pointers/{number}").first()["value"])
+
+
+def publish_report(current: DataFrame, statuses: Sequence[tuple[str, str]]) -> DataFrame:
+    """Rows of the published table beside what became of each attempt: (part, name, value)."""
+    attempts = current.sparkSession.createDataFrame([("attempt", n, v) for n, v in statuses], "part string, name string, value string")
+    return attempts.unionByName(current.select(F.lit("override").alias("part"), F.col("id").cast("string").alias("name"), F.col("action").alias("value")))

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 from hiremill.functions.rank import first_per, top_k
@@ -144,22 +145,38 @@ def gold_candidates(items: DataFrame, broad: Sequence[str] = tuple(EV.GOLD_BROAD
 
 
 def balanced_pick(rows: DataFrame, target: int, per_company: int = 2, role: str = "role_display") -> DataFrame:
-    """Up to `target` rows: two per company, a share per role, then a fill without shares.
+    """Up to `target` rows in order: a row is passed over while its company or its role has its share; then a fill without shares.
 
-    The company share is taken first and the role share on what remains, so a row passed over for its role has used its
-    company's share; a sequential pick would give that place to the next row of the company.
+    This is the sequential pick. A row that is passed over stays so, for full companies and roles stay full; so a round takes, of the
+    rows whose role is open, each company's first ones up to its room, and from the start of those in order all up to the row that fills a
+    role. Roles that fill up number at most target / share, hence few rounds; the driver holds the at most `target` picks.
     """
     density = rows.groupBy(squeeze("company").alias("_c")).agg(F.count(F.lit(1)).alias("density"))
     q = F.coalesce(F.try_element_at(lit_map({"low": 0, "medium": 1, "high": 2}), F.lower(squeeze("quality"))), F.lit(3))
     df = rows.select("id", squeeze("company").alias("_c"), squeeze(role).alias("_r"), q.alias("_q"), F.size(lst("keywords")).alias("_n"), squeeze("focus_label").alias("_f"), squeeze("title").alias("_t")).join(density, "_c")
     order = ["_q", "density", F.col("_n").desc(), "_f", "_t", "id"]
-    a = top_k(df, ["_c"], order, per_company, "company_rank")
-    cap = max(4, target // 3)
-    b = top_k(a.where("_r <> ''"), ["_r"], order, cap, "role_rank").drop("role_rank").unionByName(a.where("_r = ''"))
-    first = b.orderBy(*order).limit(target).select("id", F.lit("balanced").alias("source"))
-    rest = df.join(first.select("id"), "id", "left_anti").orderBy(*order).limit(target).withColumn("_one", F.lit(1))
-    room = F.lit(target) - first.agg(F.count(F.lit(1)).alias("n")).scalar()
-    fill = top_k(rest, ["_one"], order, target, "place").where(F.col("place") <= room).select("id", F.lit("fill").alias("source"))
+    share = max(4, target // 3)
+    picked: list[Row] = []
+    by_company, by_role = Counter(), Counter()
+    while len(picked) < target:
+        full = [r for r, n in by_role.items() if r and n >= share]
+        open_rows = df.where(~is_in(F.col("_r"), full) & ~is_in(F.col("id"), [p["id"] for p in picked]))
+        room = F.lit(per_company) - (F.coalesce(F.try_element_at(lit_map(dict(by_company)), F.col("_c")), F.lit(0)) if by_company else F.lit(0))
+        near = top_k(open_rows, ["_c"], order, per_company, "company_rank").where(F.col("company_rank") <= room)
+        found = near.orderBy(*order).limit(target - len(picked)).select("id", "_c", "_r").collect()
+        filled = False
+        for p in found:
+            picked.append(p)
+            by_company[p["_c"]] += 1
+            by_role[p["_r"]] += 1
+            if p["_r"] and by_role[p["_r"]] == share:
+                filled = True
+                break
+        if not filled:
+            break
+    ids = [p["id"] for p in picked]
+    first = df.where(is_in(F.col("id"), ids)).select("id", F.lit("balanced").alias("source"))
+    fill = df.where(~is_in(F.col("id"), ids)).orderBy(*order).limit(target - len(picked)).select("id", F.lit("fill").alias("source"))
     return first.unionByName(fill)
 
 

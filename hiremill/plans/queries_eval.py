@@ -89,11 +89,18 @@ def i5(spark, sf):
     return I.gold_candidates(rows(spark, sf), ["view"], {"thtion": "d1", "attion": "d2", "ertion": "d1"})
 
 
-@query("i6_balanced_pick", "WITH " + POSTING_SQL + """,
+@query("i6_balanced_pick", "WITH RECURSIVE " + POSTING_SQL + """,
 d AS (SELECT id, company AS c, role AS r, CASE quality WHEN 'low' THEN 0 WHEN 'medium' THEN 1 ELSE 2 END AS q, count(*) OVER (PARTITION BY company) AS den, len(keywords) AS n, focus_label AS f, trim(regexp_replace(title, '\\s+', ' ', 'g')) AS t FROM posting),
-a AS (SELECT * FROM d QUALIFY row_number() OVER (PARTITION BY c ORDER BY q, den, n DESC, f, t, id) <= 2), b AS (SELECT * FROM a QUALIFY row_number() OVER (PARTITION BY r ORDER BY q, den, n DESC, f, t, id) <= 10),
-p AS (SELECT id FROM b ORDER BY q, den, n DESC, f, t, id LIMIT 30), fl AS (SELECT id, row_number() OVER (ORDER BY q, den, n DESC, f, t, id) AS pl FROM d WHERE id NOT IN (SELECT id FROM p))
-SELECT id, 'balanced' AS source FROM p UNION ALL SELECT id, 'fill' FROM fl WHERE pl <= 30 - (SELECT count(*) FROM p)""")
+o AS (SELECT id, c, r, row_number() OVER (ORDER BY q, den, n DESC, f, t, id) AS pl FROM d),
+g(i, cs, rs, ids) AS (
+  SELECT 0, CAST([] AS VARCHAR[]), CAST([] AS VARCHAR[]), CAST([] AS VARCHAR[])
+  UNION ALL
+  SELECT i + 1, CASE WHEN ok THEN list_append(cs, c) ELSE cs END, CASE WHEN ok THEN list_append(rs, r) ELSE rs END, CASE WHEN ok THEN list_append(ids, CAST(id AS VARCHAR)) ELSE ids END
+  FROM (SELECT g.*, o.id, o.c, o.r, len(ids) < 30 AND len(list_filter(cs, lambda x: x = o.c)) < 2 AND (o.r = '' OR len(list_filter(rs, lambda x: x = o.r)) < 10) AS ok FROM g JOIN o ON o.pl = g.i + 1)
+),
+p AS (SELECT unnest(ids) AS id FROM (SELECT ids FROM g ORDER BY i DESC LIMIT 1)),
+fl AS (SELECT id, row_number() OVER (ORDER BY q, den, n DESC, f, t, id) AS pl FROM d WHERE CAST(id AS VARCHAR) NOT IN (SELECT id FROM p))
+SELECT id, 'balanced' AS source FROM d WHERE CAST(id AS VARCHAR) IN (SELECT id FROM p) UNION ALL SELECT id, 'fill' FROM fl WHERE pl <= 30 - (SELECT count(*) FROM p)""")
 def i6(spark, sf):
     return I.balanced_pick(rows(spark, sf), 30, role="role")
 
@@ -634,3 +641,31 @@ def k12s(spark, sf):
 def k13(spark, sf):
     p, g = gold_rows(spark, sf)
     return K.gold_to_overrides(g.where("not requires_confirmation"), p, "t0").select("id", "action", "mapped_role", "reason", "confidence")
+
+
+@query("k14_guarded_apply", """
+WITH store AS (SELECT CAST(doc_id AS VARCHAR) AS id, CASE n_chars % 3 WHEN 0 THEN 'include' WHEN 1 THEN 'exclude' ELSE 'review' END AS action FROM documents WHERE n_chars % 2 = 0),
+batch AS (SELECT CAST(doc_id AS VARCHAR) AS id, CASE WHEN n_chars % 7 = 0 THEN 'exclude' ELSE 'include' END AS action FROM documents WHERE n_chars % 5 = 0)
+SELECT 'override' AS part, id AS name, action AS value FROM (SELECT * FROM store ANTI JOIN batch USING (id) UNION ALL SELECT * FROM batch)
+UNION ALL SELECT * FROM (VALUES ('attempt', '1 without writing', 'dry_run'), ('attempt', '2 gate closed', 'blocked'), ('attempt', '3 too many excluded', 'rolled_back'), ('attempt', '4 published', 'published'))""")
+def k14(spark, sf):
+    """Four attempts on one store; what is published is measured again on the written version."""
+    from hiremill.operators import review as R
+    from hiremill.session import scratch_folder
+
+    docs = table(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("id"), "n_chars", F.col("doc_id").alias("ord"))
+    store = docs.where("n_chars % 2 = 0").select("id", F.when(F.col("n_chars") % 3 == 0, "include").when(F.col("n_chars") % 3 == 1, "exclude").otherwise("review").alias("action"))
+    change = docs.where("n_chars % 5 = 0")
+    batch = change.select("id", F.when(F.col("n_chars") % 7 == 0, "exclude").otherwise("include").alias("action"), "ord")
+    worse = change.select("id", F.lit("exclude").alias("action"), "ord")
+
+    def measured(written):
+        """As many ids as before and new ones, and no larger share of exclusions than the store had."""
+        share = F.avg((F.col("action") == "exclude").cast("int"))
+        now, before = written.agg(share.alias("x"), F.count_distinct("id").alias("ids"), F.count("*").alias("n")).first(), store.agg(share.alias("x")).first()
+        return now["ids"] == now["n"] and now["x"] <= before["x"]
+
+    root = scratch_folder(spark, "overrides")
+    statuses = [("1 without writing", R.guarded_apply(spark, root, store, batch, True, measured, dry_run=True)), ("2 gate closed", R.guarded_apply(spark, root, store, batch, False, measured)),
+                ("3 too many excluded", R.guarded_apply(spark, root, store, worse, True, measured)), ("4 published", R.guarded_apply(spark, root, store, batch, True, measured))]
+    return R.publish_report(R.current_version(spark, root), statuses)

@@ -196,6 +196,51 @@ def test_guarded_apply_publishes_or_rolls_back(spark, tmp_path):
     assert sorted(tuple(r) for r in R.current_version(spark, root).collect()) == [("a", "include"), ("b", "review")]
 
 
+def test_concurrent_and_dead_writers_leave_a_readable_version(spark, tmp_path):
+    store = spark.createDataFrame([("a", "include")], "id string, action string")
+    batch = lambda action: spark.createDataFrame([("a", action, 1)], "id string, action string, ord bigint")
+    root = str(tmp_path / "ovr")
+    assert R.guarded_apply(spark, root, store, batch("one"), True, lambda t: True) == "published"
+    inner = []
+
+    def meanwhile(t):
+        inner.append(R.guarded_apply(spark, root, store, batch("two"), True, lambda t: True))
+        return True
+
+    assert R.guarded_apply(spark, root, store, batch("late"), True, meanwhile) == "refused" and inner == ["published"]
+    assert R.current_version(spark, root).first()["action"] == "two"
+    # A writer that died between its claim and its pointer.
+    (tmp_path / "ovr" / "pointers" / "claim-3").write_text("")
+    (tmp_path / "ovr" / "pointers" / "part-x").write_text("version=")
+    assert R.current_version(spark, root).first()["action"] == "two"
+    assert R.guarded_apply(spark, root, store, batch("three"), True, lambda t: True) == "published"
+    assert R.current_version(spark, root).first()["action"] == "three"
+
+
+def test_balanced_pick_is_the_sequential_pick(spark):
+    import random
+
+    from hiremill.operators import sampling as I
+
+    rng = random.Random(4)
+    for case in range(4):
+        data = [(i, f"c{rng.randint(0, 9)}", rng.choice(["r0", "r0", "r0", "r1", "r2", ""]), rng.choice(["low", "medium", "high"]), [], rng.choice("ab"), rng.choice("xy")) for i in range(70)]
+        target, share = 18 - 4 * case, max(4, (18 - 4 * case) // 3)
+        size = {}
+        for r in data:
+            size[r[1]] = size.get(r[1], 0) + 1
+        order = sorted(data, key=lambda r: (["low", "medium", "high"].index(r[3]), size[r[1]], -len(r[4]), r[5], r[6], r[0]))
+        want, company, role = [], {}, {}
+        for r in order:
+            if len(want) < target and company.get(r[1], 0) < 2 and (r[2] == "" or role.get(r[2], 0) < share):
+                want.append((r[0], "balanced"))
+                company[r[1]], role[r[2]] = company.get(r[1], 0) + 1, role.get(r[2], 0) + 1
+        taken = {i for i, _ in want}
+        want += [(r[0], "fill") for r in order if r[0] not in taken][:target - len(want)]
+        rows = spark.createDataFrame(data, "id bigint, company string, role_display string, quality string, keywords array<string>, focus_label string, title string")
+        assert sorted(tuple(r) for r in I.balanced_pick(rows, target).collect()) == sorted(want)
+
+
 def test_gold_to_overrides_refuses_provisional(spark):
     import pytest
 
