@@ -6,6 +6,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from hiremill.llm import jaccard, vafile
 from tests.llm.samples import documents, rows
@@ -150,8 +151,20 @@ def test_search_matches_brute_force(spark, sizes):
 def test_bounds_hold():
     rng = np.random.default_rng(5)
     exact, queries = rng.integers(-300, 300, (400, 16)), rng.integers(-300, 300, (9, 16))
-    bounds = vafile.Approximation(exact).upper_bounds(queries)
-    assert (bounds >= queries @ exact.T).all()
+    made = vafile.Approximation.of(exact)
+    for q in queries:
+        lower, upper = made.bounds(q.astype(float))
+        assert (lower <= exact @ q).all() and (exact @ q <= upper).all() and (upper - lower).mean() < 0.2 * np.abs(exact @ q).max()
+
+
+def test_few_exact_vectors_are_read(spark):
+    rng = np.random.default_rng(7)
+    centres = rng.normal(size=(20, 32))
+    vectors = [(i, (centres[i % 20] + 0.2 * rng.normal(size=32)).tolist()) for i in range(2000)]
+    q = vafile.quantised(spark.createDataFrame(vectors, "vec_id long, embedding array<double>"), "vec_id", "embedding", 256).withColumn("mark", F.xxhash64("id", "v"))
+    asked = q.where("id % 50 = 0")
+    near = vafile.survivors(asked, vafile.files(q, 4), 5, 4, 1)
+    assert near.count() < 0.1 * asked.count() * 2000
 
 
 def test_kept_rows_tell_null_from_empty_and_stand_clashing_names(spark):
