@@ -110,7 +110,13 @@ def fit(docs: DataFrame, learn: Column, text: str = "text", lang: str = "lang",
     ship_package(docs.sparkSession)
     mark = F.xxhash64(F.coalesce(F.col(text), F.lit("")))
     marked = docs.where(learn & F.col(lang).isNotNull() & (F.col(text) != "")).select(F.col(lang).alias("language"), mark.alias("mark"), F.col(text).alias("body"))
-    ranked = marked.select("language", "mark").distinct().select(
+    # A share of the hashes that surely holds the smallest ones leaves few rows of any language to be ranked.
+    sizes = marked.groupBy("language").agg(F.approx_count_distinct("mark").alias("n")).collect()
+    if not sizes:
+        return None
+    share = F.create_map(*[x for r in sizes for x in (F.lit(r["language"]), F.lit(int(-2**63 + min(1.0, 4.0 * per_language / max(r["n"], 1)) * (2**64 - 2**11))))])
+    near = marked.where(F.col("mark") <= F.try_element_at(share, F.col("language")))
+    ranked = near.select("language", "mark").distinct().select(
         "language", "mark", F.row_number().over(Window.partitionBy("language").orderBy("mark")).alias("rank"))
     cuts = ranked.where(F.col("rank") <= per_language).groupBy("language").agg(F.max("mark").alias("cut")).collect()
     if not cuts:

@@ -36,7 +36,8 @@ WIDE_PATTERNS = [
 NEAR_WORDS = ["e-?mail|mail|contact|write|correo|courriel", "ip|host|server|client|login|addr", "card|visa|master|amex|credit|karte|carte|tarjeta", "tel|phone|fax|call|mobile|cell|handy|fono"]
 OTHER_WORDS = "version|release|chapter|section|isbn|issn|order|invoice|article|build|sha|md5|token|key"
 DOMAIN_ENDS = "(?i)[.\\x20)\\]](?:com|org|net|edu|gov|info|io|co|de|fr|es|uk|eu|us)$"
-CONTEXT, RUN = 24, 64
+#: Code points of a span's context, spans of a run, code points of a piece.
+CONTEXT, RUN, PIECE = 24, 64, 1024
 LABELLERS = ["pattern", "structure", "gazetteer", "other_words", "joined", "variety"]
 _SHAPES = 4
 
@@ -287,29 +288,38 @@ def redact(docs: DataFrame, text: str = "text", length: str | None = "n_chars")
     """The documents with every span replaced by its kind in brackets, such as [EMAIL]; overlapping spans become one.
 
     Columns, their order and the number of rows stay; `length`, where the table has it, becomes the new text's code points for changed
-    texts. Texts without spans, null among them, stay as they are.
+    texts. Texts without spans, null among them, stay as they are. Columns may have any names.
     """
     model = fit(docs, text)
     names = F.array(*(F.lit(f"[{k.upper()}]") for k in KINDS))
-    found = candidates(docs, text, "__found").withColumn("__all", F.array_sort(F.transform(
+    # The whole row is one column, so that no name of the table meets a working name.
+    given = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("__row"), F.col(f"`{text}`").alias("__text"))
+    found = candidates(given, "__text", "__found").withColumn("__all", F.array_sort(F.transform(
         _accepted(model, "__found"), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind")))))
-    body = F.col(text)
+    body, changed = F.col("__text"), F.size("__all") > 0
+    # Texts with spans are cut into pieces of PIECE code points once; a gap is taken from the pieces it touches.
+    found = found.withColumn("__cut", F.when(changed, F.regexp_extract_all(body, F.lit(f"(?s).{{1,{PIECE}}}"), F.lit(0))))
+
+    def gap(begin: Column, end: Column) -> Column:
+        first = F.floor(begin / PIECE).cast("int")
+        near = F.array_join(F.slice("__cut", first + 1, F.floor(end / PIECE).cast("int") - first + 1), "")
+        return F.when(end > begin, F.substring(near, begin - first * PIECE + 1, end - begin)).otherwise(F.lit(""))
 
     def step(acc: Column, s: Column) -> Column:
         fresh = s["start"] >= acc["pos"]
-        gap = F.when(fresh, F.concat(F.substring(body, acc["pos"] + 1, s["start"] - acc["pos"]), F.element_at(names, s["kind"] + 1))).otherwise(F.lit(""))
-        return F.struct(F.greatest(acc["pos"], s["end"]).alias("pos"), F.concat(acc["out"], F.array(gap)).alias("out"))
+        part = F.when(fresh, F.concat(gap(acc["pos"], s["start"]), F.element_at(names, s["kind"] + 1))).otherwise(F.lit(""))
+        return F.struct(F.greatest(acc["pos"], s["end"]).alias("pos"), F.concat(acc["out"], F.array(part)).alias("out"))
 
     parts = F.aggregate("__all", F.struct(F.lit(0).alias("pos"), F.expr("CAST(array() AS array<string>)").alias("out")), step,
-                        lambda acc: F.concat(F.array_join(acc["out"], ""), F.substring(body, acc["pos"] + 1, F.length(body))))
-    changed = F.size("__all") > 0
+                        lambda acc: F.concat(F.array_join(acc["out"], ""), gap(acc["pos"], F.length(body))))
     out = found.withColumn("__new", F.when(changed, parts).otherwise(body))
     columns = []
     for c in docs.columns:
+        own = F.col("__row").getField(c)
         if c == text:
             columns.append(F.col("__new").alias(text))
         elif length and c == length:
-            columns.append(F.when(changed, F.length("__new")).otherwise(F.col(c)).cast(docs.schema[c].dataType).alias(c))
+            columns.append(F.when(changed, F.length("__new")).otherwise(own).cast(docs.schema[c].dataType).alias(c))
         else:
-            columns.append(F.col(f"`{c}`"))
+            columns.append(own.alias(c))
     return out.select(*columns)

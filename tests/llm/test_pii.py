@@ -80,6 +80,22 @@ def test_added_spans_and_redaction(spark):
     assert pii.find_spans(documents(spark, [])).count() == 0 and pii.redact(documents(spark, [])).count() == 0
 
 
+def test_dense_lists_take_linear_time_and_names_may_clash(spark):
+    unit = "call (319) 555-1234 or +1 206 555 0100, a.b@example.org, 4111 1111 1111 1111; "
+    data = [(i, unit * n, "zz", "f", 7) for i, n in enumerate((50, 100, 400))] + [(9, None, "yy", "g", 8)]
+    docs = spark.createDataFrame(data, "doc_id long, text string, __body string, __found string, __row int")
+    start = time.time()
+    out = pii.redact(docs)
+    assert out.schema == docs.schema
+    got = {r.doc_id: r for r in out.collect()}
+    for i, n in enumerate((50, 100, 400)):
+        assert got[i].text == "call [PHONE] or [PHONE], [EMAIL], [CARD]; " * n and (got[i]["__body"], got[i]["__found"], got[i]["__row"]) == ("zz", "f", 7)
+    assert got[9].text is None and got[9]["__body"] == "yy"
+    spans = {r.doc_id: r.spans.count(",") + 1 for r in pii.find_spans(docs).collect() if r.spans}
+    assert spans == {0: 200, 1: 400, 2: 1600}
+    assert time.time() - start < 90
+
+
 def test_reliabilities_follow_the_votes():
     def code(votes, shape=1):
         total = 0
