@@ -36,9 +36,9 @@ from hiremill.llm.shared import dropped, ship_package, written
 SHINGLE_WORDS, PERCENT = 5, 80
 #: Frequent shingles that are broadcast at most; sets of one task that share a shingle before it is reported.
 FREQUENT, SHARED_SETS = 1 << 18, 2
-#: Prefix shingles of a tile (about) and tiles at least; ratio of a size band and leaders of a shingle in it; proposals of a set in a tile;
+#: Shingles that long sets have to share in their prefixes, which are so much longer; prefix shingles of a tile (about) and tiles at least; ratio of a size band and leaders of a shingle in it; proposals of a set in a tile;
 #: a round follows while the one before linked one of so many of its proposals; rounds at most.
-TILE_KEYS, TILES, BAND, LEADERS, PROPOSALS, WORTH, ROUNDS = 2_000_000, 24, 1.25, 4, 2, 8, 6
+COMMON, TILE_KEYS, TILES, BAND, LEADERS, PROPOSALS, WORTH, ROUNDS = 4, 2_000_000, 24, 1.25, 4, 2, 8, 6
 #: Shingles that a task counts at once, nodes that a task packs at once, pairs that a tile tests at once, bits of an id filter for each id
 #: and at most.
 COUNTED, PACKED, TESTED, BITS_EACH, MAX_BITS = 3_000_000, 20_000, 1_000_000, 16, 1 << 27
@@ -100,6 +100,11 @@ def prefix_length(n: np.ndarray | int, percent: int = PERCENT):
     return n - (n * percent + 99) // 100 + 1
 
 
+def common(n: np.ndarray | int, percent: int = PERCENT):
+    """Shingles that the longer prefixes of two linked sets share at least: the smaller of both sets' values."""
+    return np.minimum(COMMON, (n * percent + 99) // 100)
+
+
 def bitmap_words(n: int) -> int:
     """64-bit words of the parity bitmap of a set of n: a power of two, four to eight bits for each shingle."""
     return 1 << (n // 16).bit_length()
@@ -250,17 +255,25 @@ def verified(pairs: DataFrame, docs: DataFrame, homes: DataFrame, key: str, text
     return out
 
 
+def stars(edges: DataFrame) -> DataFrame:
+    """Scratch table (u, v) after a large-star and a small-star step on edges (u, v) with u > v; components stay as they are."""
+    both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+    least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
+    large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+    low = large.groupBy("u").agg(F.min("v").alias("m"))
+    small = large.join(low, "u").select(F.greatest("v", "m").alias("u"), F.least("v", "m").alias("v")).unionByName(low.select("u", F.col("m").alias("v")))
+    return written(small.where("u <> v").distinct(), "edges")
+
+
+def _falling(edges: DataFrame) -> DataFrame:
+    return edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct()
+
+
 def connected(edges: DataFrame) -> DataFrame:
     """(node, root): the smallest node that each node of the edges (a, b) reaches; nodes without edges are not listed."""
-    state = written(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "edges")
-    before = None
+    state, before = written(_falling(edges), "edges"), None
     while True:
-        both = state.unionByName(state.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(F.greatest("v", "m").alias("u"), F.least("v", "m").alias("v")).unionByName(low.select("u", F.col("m").alias("v")))
-        state, old = written(small.where("u <> v").distinct(), "edges"), state
+        state, old = stars(state), state
         dropped(old)
         now = state.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
         if before == now:
@@ -339,13 +352,14 @@ class Tile:
         best = np.arange(len(who)) - np.repeat(start, np.diff(np.append(start, len(who)))) < PROPOSALS
         return pd.DataFrame({"a": self.node[leader[best]], "b": self.node[who[best]], "shared": shared[best]})
 
-    def pairs(self, bitmaps: Bitmaps) -> pd.DataFrame:
-        """(a, b): all pairs of nodes of different components with a common shingle, fitting sizes and bitmaps.
+    def pairs(self) -> pd.DataFrame:
+        """(a, b, shared, need): all pairs of nodes of different components with a common shingle and fitting sizes, how many shingles of
+        the tile they share, and how many they must share over all tiles.
 
         The entries of a shingle that are not of its largest component meet all others of fitting size.
         """
         if not len(self.keys):
-            return pd.DataFrame({"a": [], "b": []})
+            return pd.DataFrame({"a": [], "b": [], "shared": [], "need": []})
         m, comp = len(self.node), self.comp[self.who]
         start = np.flatnonzero(np.append(True, self.keys[1:] != self.keys[:-1]))
         sizes = np.diff(np.append(start, len(self.keys)))
@@ -360,7 +374,12 @@ class Tile:
         ordered = group * (int(self.n.max()) + 1) + size
         low = np.searchsorted(ordered, group[small] * (int(self.n.max()) + 1) + -(-size[small] * PERCENT // 100), "left")
         high = np.searchsorted(ordered, group[small] * (int(self.n.max()) + 1) + np.minimum(size[small] * 100 // PERCENT, int(self.n.max())), "right")
-        found = []
+        found: list[tuple[np.ndarray, np.ndarray]] = []
+
+        def merged() -> tuple[np.ndarray, np.ndarray]:
+            codes, inverse = np.unique(np.concatenate([c for c, _ in found]), return_inverse=True)
+            return codes, np.bincount(inverse, weights=np.concatenate([n for _, n in found])).astype(np.int64)
+
         ends = np.cumsum(high - low)
         at = 0
         while at < len(small):
@@ -372,16 +391,13 @@ class Tile:
                 right = np.arange(len(left)) - np.repeat(np.cumsum(met) - met, met) + np.repeat(begin, met)
                 new = (number[left] != number[right]) & ((number[right] == largest[right]) | (left < right))
                 x, y = self.who[left[new]], self.who[right[new]]
-                codes = np.unique(np.minimum(x, y) * m + np.maximum(x, y))
-                x, y = codes // m, codes % m
-                total = self.n[x] + self.n[y]
-                most = (total - bitmaps.difference(x, y)) // 2
-                found.append(codes[100 * most >= PERCENT * (total - most)])
+                found.append(np.unique(np.minimum(x, y) * m + np.maximum(x, y), return_counts=True))
             at = upto
-            if sum(map(len, found)) > TESTED:
-                found = [np.unique(np.concatenate(found))]
-        codes = np.unique(np.concatenate(found)) if found else np.zeros(0, np.int64)
-        return pd.DataFrame({"a": self.node[codes // m], "b": self.node[codes % m]})
+            if sum(len(c) for c, _ in found) > TESTED:
+                found = [merged()]
+        codes, shared = merged() if found else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+        x, y = codes // m, codes % m
+        return pd.DataFrame({"a": self.node[x], "b": self.node[y], "shared": shared, "need": np.minimum(common(self.n[x]), common(self.n[y]))})
 
 
 class Bitmaps:
@@ -444,7 +460,7 @@ def _packed(docs: DataFrame, text: str, frequent: tuple[np.ndarray, np.ndarray],
                     order = np.where(hot[at] == hashes, np.uint64(1 << 63) + rank[at], order)
                 row = np.repeat(np.arange(len(size)), size)
                 sort = np.lexsort((order, row))
-                own = (np.arange(len(row)) - np.repeat(bounds[:-1], size) < prefix_length(size)[row]) & fresh[row]
+                own = (np.arange(len(row)) - np.repeat(bounds[:-1], size) < (prefix_length(size) + common(size) - 1)[row]) & fresh[row]
                 number = np.cumsum(fresh) - 1
                 held.append((node[fresh], size[fresh], number[row[own]], mixed(hashes[sort][own])))
                 packed += int(fresh.sum())
@@ -513,32 +529,40 @@ def best_proposals(tiles: DataFrame) -> DataFrame:
 
 
 def remaining_pairs(tiles: DataFrame, roots: DataFrame, docs: DataFrame, homes: DataFrame, key: str, text: str) -> DataFrame:
-    """Scratch table (a, b): all candidate pairs across components that are left. Only their nodes bring bitmaps."""
+    """Scratch table (a, b): all candidate pairs across components that are left, and whose bitmaps allow a link."""
+    def meet(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        if not len(left):
+            return pd.DataFrame({"a": [], "b": [], "shared": [], "need": []})
+        return Tile.read(left.iloc[0]).with_components(right["node"].to_numpy(np.int64), right["comp"].to_numpy(np.int64)).across().pairs()
+
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for _, _, data, offsets in text_chunks(batch.column(0)):
                 hashes, bounds = shingle_sets(data, offsets)
                 blobs = [parity_bitmap(hashes[s:e], bitmap_words(int(e - s))).tobytes() for s, e in zip(bounds[:-1], bounds[1:])]
-                yield pa.RecordBatch.from_arrays([pa.array(set_digests(hashes, bounds)), pa.array(blobs, pa.binary())], names=["node", "bitmap"])
-
-    members = written(_members(tiles, homes.select("node", F.col("node").alias("root"))).select("at", "node"), "members")
-    used = written(members.select("node").distinct().join(homes, "node"), "used")
-    bitmaps = texts_of(docs, used, key, text).select("text").mapInArrow(sets, "node long, bitmap binary").join(used.select("node"), "node", "left_semi").dropDuplicates(["node"])
-    side = members.join(bitmaps, "node").join(roots, "node", "left").select("at", "node", F.coalesce("root", "node").alias("comp"), "bitmap")
+                yield pa.RecordBatch.from_arrays([pa.array(set_digests(hashes, bounds)), pa.array(np.diff(bounds)), pa.array(blobs, pa.binary())], names=["node", "n", "bitmap"])
 
-    def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        if not len(left):
-            return pd.DataFrame({"a": [], "b": []})
-        tile = Tile.read(left.iloc[0]).with_components(right["node"].to_numpy(np.int64), right["comp"].to_numpy(np.int64)).across()
-        place = np.argsort(right["node"].to_numpy(np.int64))
-        own = place[np.searchsorted(right["node"].to_numpy(np.int64)[place], tile.node)]
-        blobs = right["bitmap"].tolist()
-        return tile.pairs(Bitmaps([blobs[i] for i in own]))
+    def bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            total = batch.column(2).to_numpy() + batch.column(4).to_numpy()
+            rows = batch.num_rows
+            difference = Bitmaps(batch.column(3).to_pylist() + batch.column(5).to_pylist()).difference(np.arange(rows), np.arange(rows, 2 * rows))
+            most = (total - difference) // 2
+            yield batch.select([0, 1]).filter(pa.array(100 * most >= PERCENT * (total - most)))
 
     held = tiles.where("nodes IS NOT NULL").select("tile", "nodes", "sizes", "keys", "who")
-    out = written(held.groupBy("tile").cogroup(side.groupBy("at")).applyInPandas(run, "a long, b long").distinct(), "pairs")
-    dropped(members)
-    dropped(used)
+    met = held.groupBy("tile").cogroup(_members(tiles, roots).groupBy("at")).applyInPandas(meet, "a long, b long, shared long, need long")
+    pair = [F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")]
+    near = met.groupBy(*pair).agg(F.sum("shared").alias("shared"), F.first("need").alias("need")).where("shared >= need")
+    near = written(near.select("a", "b"), "pairs")
+    used = written(near.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(homes, "node"), "used")
+    bitmaps = texts_of(docs, used, key, text).select("text").mapInArrow(sets, "node long, n long, bitmap binary").join(used.select("node"), "node", "left_semi").dropDuplicates(["node"])
+    bitmaps = written(bitmaps, "bitmaps")
+    both = near.join(bitmaps.select(F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("bitmap").alias("bits_a")), "a")
+    both = both.join(bitmaps.select(F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("bitmap").alias("bits_b")), "b")
+    out = written(both.select("a", "b", "n_a", "bits_a", "n_b", "bits_b").mapInArrow(bounded, "a long, b long"), "pairs")
+    for table in (near, used, bitmaps):
+        dropped(table)
     return out
 
 
@@ -550,13 +574,18 @@ def labelled(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
     homes = nodes.select("node", "doc_id")
     total = nodes.agg(F.sum(F.expr(f"n - (n * {PERCENT} + 99) div 100 + 1"))).first()[0] or 0
     tiles = first_tiles(docs.where(F.col(f"`{key}`").isNotNull()), text, frequent_shingles(shared), max(TILES, -(-total // TILE_KEYS)))
-    links, tried, roots = None, None, None
+    # Between the rounds one step over the stars so far and the new links will do: what is joined too late costs proposals, not links.
+    state, tried = None, None
     for salt in range(1, ROUNDS + 1):
         best = best_proposals(tiles)
         asked = best.count()
         new = verified(best, docs, homes, key, text)
-        links, tried = (new, best) if links is None else (links.unionByName(new), tried.unionByName(best))
-        roots = connected(links)
+        tried = best if tried is None else tried.unionByName(best)
+        fresh = _falling(new)
+        state, old = stars(fresh if state is None else state.unionByName(fresh)), state
+        if old is not None:
+            dropped(old)
+        roots = state.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("root"))
         tiles, old = next_tiles(tiles, roots, salt), tiles
         dropped(old)
         if not asked or new.count() * WORTH < asked:
@@ -565,7 +594,7 @@ def labelled(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
     dropped(tiles)
     pair = F.struct(F.least("a", "b").alias("low"), F.greatest("a", "b").alias("high"))
     rest = rest.withColumn("pair", pair).join(tried.select(pair.alias("pair")).distinct(), "pair", "left_anti").select("a", "b")
-    roots = connected(links.unionByName(verified(rest, docs, homes, key, text)))
+    roots = connected(state.select(F.col("u").alias("a"), F.col("v").alias("b")).unionByName(verified(rest, docs, homes, key, text)))
     named = homes.join(roots, "node", "left").select("node", "doc_id", F.coalesce("root", "node").alias("root"))
     least = named.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     labels = named.join(least, "root").select("node", "component_id")
