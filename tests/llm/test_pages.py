@@ -88,3 +88,13 @@ def test_articles_of_the_pages_table(spark):
         article = re.search(r"<article>(.*?)(?:</article>|\Z)", r.html, re.S).group(1)
         blocks = [re.sub(r"\s+", " ", html.unescape(re.sub(r"</?(?:b|br)>", " " if "br" in b else "", b))).strip() for b in re.split(r"</?(?:p|h1)>", article)]
         assert got[r.page_id].split() == " ".join(b for b in blocks if b).split()
+
+
+def test_names_of_chrome_are_whole_and_quotes_belong_to_attributes():
+    from hiremill.llm.html_runs import CHROME, CONTENT, blocks_of
+
+    for name in ("notice-period", "login-guide", "article-share-price", "commentary", "shared"):
+        assert blocks_of(f'<article><div class="{name}">Kept text.</div></article>') == [(CONTENT, "Kept text.")], name
+    for name in ("ad", "ad-slot", "cookie-notice", "share-buttons", "reader comments", "newsletter_box", "x related"):
+        assert blocks_of(f'<article><div class="{name}">Gone.</div></article>') == [(CHROME, "Gone.")], name
+    assert blocks_of("<article><p title=don't>Hello world</p><p data-x=\"a > b\" id='c > d'>Second</p></article>") == [(CONTENT, "Hello world"), (CONTENT, "Second")]
