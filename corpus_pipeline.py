@@ -45,7 +45,8 @@ STAGES = [
     ("packing", pack),
 ]
 
-#: Trained models and components have no SQL form; tests compare every stage with a brute-force version.
+#: Trained models and components have no SQL form. Tests compare near duplicates, base rules, base spans and packing with brute-force
+#: versions, and the two classifiers with the labels.
 ORACLE_SQL = None
 
 
