@@ -101,12 +101,15 @@ def e10(spark, sf):
     return M.representative_postings(plain_rows(spark, sf))
 
 
-@query("e11_label_snapshot", "WITH " + POSTING_SQL + """,
+LABEL_SNAPSHOT_SQL = "WITH " + POSTING_SQL + """,
 b AS (SELECT *, focus_label IN ('click', 'view', 'error') AS br, focus_label IN ('view') AS ac FROM posting)
 SELECT 'jobs' AS metric, count(*) AS value FROM b UNION ALL SELECT 'summary_present', count(*) FROM b WHERE trim(summary) <> '' UNION ALL SELECT 'focus_present', count(*) FROM b WHERE focus_label <> ''
 UNION ALL SELECT 'low', count(*) FROM b WHERE quality = 'low' UNION ALL SELECT 'broad_raw', count(*) FROM b WHERE br UNION ALL SELECT 'accepted_broad_raw', count(*) FROM b WHERE br AND ac
 UNION ALL SELECT 'bad_broad_raw', count(*) FROM b WHERE br AND NOT ac UNION ALL SELECT 'broad_board', count(*) FROM b WHERE br AND active UNION ALL SELECT 'accepted_broad_board', count(*) FROM b WHERE ac AND active
-UNION ALL SELECT 'bad_broad_board', count(*) FROM b WHERE br AND NOT ac AND active UNION ALL SELECT 'low_blank_focus', count(*) FROM b WHERE quality = 'low' AND focus_label = '' AND active""")
+UNION ALL SELECT 'bad_broad_board', count(*) FROM b WHERE br AND NOT ac AND active UNION ALL SELECT 'low_blank_focus', count(*) FROM b WHERE quality = 'low' AND focus_label = '' AND active"""
+
+
+@query("e11_label_snapshot", LABEL_SNAPSHOT_SQL)
 def e11(spark, sf):
     p = posting_doc(spark, sf)
     return M.label_snapshot(p, p.where("active"), ["click", "view", "error"], ["view"])
@@ -131,14 +134,13 @@ def e12(spark, sf):
     return M.decision_report_metrics(p, p, review_flags(spark, sf), False, 1, need_incremental=100_000)[1]
 
 
-@query("e12_decision_metrics", """
-SELECT 'core_reviewed' AS metric, count(*) FILTER (doc_id % 2 = 0 AND doc_id % 3 > 0) AS value FROM labels UNION ALL SELECT 'incremental_reviewed', count(*) FILTER (doc_id % 2 = 1 AND doc_id % 3 > 0) FROM labels
+@query("e12_decision_metrics", LABEL_SNAPSHOT_SQL + """
+UNION ALL SELECT 'core_reviewed' AS metric, count(*) FILTER (doc_id % 2 = 0 AND doc_id % 3 > 0) AS value FROM labels UNION ALL SELECT 'incremental_reviewed', count(*) FILTER (doc_id % 2 = 1 AND doc_id % 3 > 0) FROM labels
 UNION ALL SELECT 'core_passed', count(*) FILTER (doc_id % 2 = 0 AND doc_id % 3 = 1 AND quality = 1) FROM labels UNION ALL SELECT 'incremental_passed', count(*) FILTER (doc_id % 2 = 1 AND doc_id % 3 = 1 AND quality = 1) FROM labels
 UNION ALL SELECT 'core_judged', count(*) FILTER (doc_id % 2 = 0 AND doc_id % 3 = 1) FROM labels UNION ALL SELECT 'incremental_judged', count(*) FILTER (doc_id % 2 = 1 AND doc_id % 3 = 1) FROM labels""")
 def e12m(spark, sf):
     p = posting_doc(spark, sf)
-    m = M.decision_report_metrics(p, p, review_flags(spark, sf), False)[0]
-    return m.where(F.col("metric").rlike("^(core|incremental)_"))
+    return M.decision_report_metrics(p, p.where("active"), review_flags(spark, sf), False, broad=["click", "view", "error"], accepted=["view"])[0]
 
 
 @query("e13_scope_audit", "WITH " + QT.SCOPE_SQL + """
