@@ -289,15 +289,18 @@ def h2(spark, sf):
 
 
 @query("h3_merge_stored_clusters", """
-WITH st AS (SELECT n_regionkey AS ord, 'c' || n_regionkey AS id, n_name AS company FROM nation WHERE n_nationkey % 4 <> 0 UNION ALL SELECT 2, 'c2', n_name FROM nation WHERE n_nationkey % 5 = 1),
-co AS (SELECT n_name AS company, n_nationkey + 1 AS postings FROM nation WHERE n_nationkey % 3 <> 2),
+WITH st AS (SELECT c_nationkey AS ord, 'c' || c_nationkey AS id, c_name AS company FROM customer WHERE c_custkey % 4 <> 0 UNION ALL SELECT 2, 'c2', c_name FROM customer WHERE c_custkey % 5 = 1),
+co AS (SELECT c_name AS company, 1 + count(o_orderkey) AS postings FROM customer LEFT JOIN orders ON o_custkey = c_custkey WHERE c_custkey % 3 <> 2 GROUP BY ALL),
 fc AS (SELECT company, id FROM st WHERE company IN (SELECT company FROM co) QUALIFY row_number() OVER (PARTITION BY company ORDER BY ord) = 1)
 SELECT co.company, co.postings, coalesce(fc.id, (SELECT arg_min(st.id, st.ord) FROM st JOIN co ON co.company = st.company)) AS cluster_id FROM co LEFT JOIN fc ON fc.company = co.company""")
 def h3(spark, sf):
-    n = table(spark, sf, "nation")
-    rows = n.where("n_nationkey % 4 <> 0").select(F.col("n_regionkey").cast("bigint").alias("ord"), "n_name").unionByName(n.where("n_nationkey % 5 = 1").select(F.lit(2).cast("bigint").alias("ord"), "n_name"))
-    st = rows.groupBy("ord").agg(F.collect_list("n_name").alias("companies")).withColumns({"id": F.concat(F.lit("c"), F.col("ord")), "label": F.lit("")})
-    co = n.where("n_nationkey % 3 <> 2").select(F.col("n_name").alias("company"), (F.col("n_nationkey") + 1).cast("bigint").alias("postings"))
+    """Customers as companies, their orders as postings, nations as stored clusters; some are claimed twice, some by none."""
+    c = table(spark, sf, "customer")
+    rows = (c.where("c_custkey % 4 <> 0").select(F.col("c_nationkey").cast("bigint").alias("ord"), "c_name")
+            .unionByName(c.where("c_custkey % 5 = 1").select(F.lit(2).cast("bigint").alias("ord"), "c_name")))
+    st = rows.groupBy("ord").agg(F.collect_list("c_name").alias("companies")).withColumns({"id": F.concat(F.lit("c"), F.col("ord")), "label": F.lit("")})
+    orders = table(spark, sf, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.count(F.lit(1)).alias("n"))
+    co = c.where("c_custkey % 3 <> 2").join(orders, "c_custkey", "left").select(F.col("c_name").alias("company"), (F.coalesce("n", F.lit(0)) + 1).cast("bigint").alias("postings"))
     return H.merge_stored_clusters(st, co)[0]
 
 
