@@ -364,11 +364,20 @@ def j8(spark, sf):
     return J.quality_metrics(flags(spark, sf))
 
 
+#: SQL condition of each row metric that occurs in the view.
+METRIC_ROWS = {
+    "board_rows": "sh", "low_rows": "sh AND quality = 'low'", "missing_summary_rows": "sh AND trim(summary) = ''", "display_leak_rows": "sh AND list_contains(keywords, 'thatin')",
+    "role_conflict_rows": "sh AND cl <> '' AND cl <> role", "role_low_conflict_rows": "sh AND cl <> '' AND cl <> role", "role_missing_rows": "sh AND cl = ''", "excluded_rows": "NOT sh",
+    "review_rows": "scope_action = 'review'", "excluded_high_rows": "hd AND quality = 'high'", "excluded_medium_or_high_rows": "hd AND quality IN ('high', 'medium')",
+    "excluded_adjacent_rows": "hd AND quality IN ('high', 'medium') AND NOT contains(tx, 'stupid') AND (contains(tx, 'tion') OR (role = 'de' AND contains(tx, 'und')))",
+    "excluded_confident_rows": "hd AND n_chars % 2 = 0", "guard_recovered_rows": "sh AND act = 'exclude'", "guard_recovered_high_rows": "sh AND act = 'exclude' AND quality = 'high'"}
+
+
 @query("j8_metric_samples", "WITH " + QM_SQL + """,
-l AS (SELECT id, ord, unnest(list_filter([CASE WHEN sh AND quality = 'low' THEN 'low_rows' END, CASE WHEN hd AND quality = 'high' THEN 'excluded_high_rows' END, CASE WHEN sh AND act = 'exclude' THEN 'guard_recovered_rows' END], lambda x: x IS NOT NULL)) AS metric FROM qf)
+l AS (SELECT id, ord, unnest(list_filter([""" + ", ".join(f"CASE WHEN {cond} THEN '{name}' END" for name, cond in METRIC_ROWS.items()) + """], lambda x: x IS NOT NULL)) AS metric FROM qf)
 SELECT metric, id, row_number() OVER (PARTITION BY metric ORDER BY ord) AS rank FROM l QUALIFY rank <= 10""")
 def j8s(spark, sf):
-    return J.metric_samples(flags(spark, sf)).where(F.col("metric").isin("low_rows", "excluded_high_rows", "guard_recovered_rows")).select("metric", "id", "rank")
+    return J.metric_samples(flags(spark, sf)).select("metric", "id", "rank")
 
 
 TGT_SQL = """
