@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from hiremill.functions.terms import TermRules, canonical_terms
-from hiremill.functions.text import empty_list, join_list
+from hiremill.functions.text import empty_list, join_list, lst
 from hiremill.operators import classify as K
 from hiremill.operators import lines as L
 from hiremill.operators import signals as S
@@ -253,11 +253,14 @@ def f4p(spark, sf):
     return m.select("id", S.project_focus(F.col("focus_label"), F.col("keywords"), SIG).alias("projected"))
 
 
-@query("f4_override_focus", "WITH " + POSTING_SQL + """
-SELECT id, CASE WHEN focus_label = 'click' AND contains(lower(title), 'ing') AND contains(lower(title), 'tion') AND NOT contains(lower(title), 'stupid') THEN 'Clicking'
-  WHEN focus_label = 'view' AND contains(lower(title), 'der') THEN '' ELSE focus_label END AS focus FROM posting""")
+@query("f4_override_focus", "WITH " + SIG_SQL + """,
+oc AS (SELECT id, focus_label, lower(concat_ws(' ', title, role, array_to_string(problem_signals, ' '), array_to_string(domain_signals, ' '), array_to_string(system_signals, ' '), summary, array_to_string(keywords, ' '))) AS c FROM signals)
+SELECT id, CASE WHEN focus_label = 'click' AND contains(c, 'ing') AND contains(c, 'tion') AND NOT contains(c, 'stupid') THEN 'Clicking'
+  WHEN focus_label = 'view' AND contains(c, 'der') THEN '' ELSE focus_label END AS focus FROM oc""")
 def f4o(spark, sf):
-    return posting_doc(spark, sf).select("id", S.override_focus(F.col("focus_label"), F.col("title"), SIG).alias("focus"))
+    # The ladder sees title, role, signals, summary and keywords.
+    context = F.concat_ws(" ", "title", "role", *[F.array_join(lst(f"{c}_signals"), " ") for c in ("problem", "domain", "system")], "summary", F.array_join("keywords", " "))
+    return signal_rows(spark, sf).select("id", S.override_focus(F.col("focus_label"), context, SIG).alias("focus"))
 
 
 @query("f5_rebalance_focus", "WITH " + SIG_SQL + """,
