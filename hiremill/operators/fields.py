@@ -44,8 +44,8 @@ def keys_of(values: Sequence[str]) -> set[str]:
 def weak_field_term(term: Column, section: Column, r: FieldRules) -> Column:
     def judge(k: Column) -> Column:
         out = ((k == "") | is_in(k, keys_of([*r.stop_words, *r.weak])) | matches(term, [*WEAK_SHAPES, *r.endings], False)
-               | (term.rlike("(모집|채용)$") & (F.length(term) <= 24)) | (term.rlike("^[가-힣]{2}$") & ~is_in(k, keys_of(r.short_ok)))
-               | (term.rlike("^[A-Za-z]{1,3}$") & ~is_in(k, keys_of(r.short_ok))))
+               | (contains_any(term, ["모집", "채용"]) & term.rlike("(모집|채용)$") & (F.length(term) <= 24))
+               | ((F.length(term) <= 4) & (term.rlike("^[가-힣]{2}$") | term.rlike("^[A-Za-z]{1,3}$")) & ~is_in(k, keys_of(r.short_ok))))
         return out | (is_in(k, keys_of(r.skill_only)) & (section != "skills"))
 
     return let(canon(term), judge)
@@ -96,12 +96,21 @@ def section_documents(rows: DataFrame, sections: Sequence[str], r: FieldRules =
             extra = F.concat(empty_list(), *[lst(f"{c}_signals") for c in SECTION_SIGNALS[sec] if f"{c}_signals" in have])
         parts.append(F.struct(F.lit(sec).alias("section"), non_blank(F.transform(values, squeeze)).alias("lines"), extra.alias("extra")))
     long = rows.select("id", "ord", s("company").alias("company"), F.explode(F.array(*parts)).alias("d")).select("id", "ord", "company", "d.*")
-    long = long.withColumn("raw", field_terms(F.col("lines"), F.col("company"), F.col("section"), r))
-    given = F.col("extra") if facets and facets in have else F.concat("raw", "extra")
-    labelled = F.slice(distinct_by_canon(F.transform(given, lambda x: term_label(x, r))), 1, 10)
-    long = long.withColumn("signals", F.filter(labelled, lambda x: ~weak_field_term(x, F.col("section"), r))).drop("extra")
-    plus = F.when(F.size("signals") >= 2, F.col("signals")).when(F.col("section") == "skills", F.concat("signals", "raw")).otherwise(F.col("signals"))
-    return long.withColumn("terms", distinct_by_canon(plus)).where(F.size("terms") > 0)
+
+    def signals(d: Column) -> Column:
+        given = d["extra"] if facets and facets in have else F.concat(d["raw"], d["extra"])
+        labelled = F.slice(distinct_by_canon(F.transform(given, lambda x: term_label(x, r))), 1, 10)
+        return F.struct(d["raw"].alias("raw"), F.filter(labelled, lambda x: ~weak_field_term(x, d["section"], r)).alias("signals"), d["section"].alias("section"))
+
+    def terms(d: Column) -> Column:
+        plus = F.when(F.size(d["signals"]) >= 2, d["signals"]).when(d["section"] == "skills", F.concat(d["signals"], d["raw"])).otherwise(d["signals"])
+        return F.struct(d["raw"].alias("raw"), d["signals"].alias("signals"), distinct_by_canon(plus).alias("terms"))
+
+    # A filter on the terms would be pushed below them and make all lists again, several times over; the rows come out of a generator instead.
+    raw = field_terms(F.col("lines"), F.col("company"), F.col("section"), r)
+    made = let(let(F.struct(raw.alias("raw"), F.col("extra").alias("extra"), F.col("section").alias("section")), signals), terms)
+    found = F.explode_outer(let(made, lambda d: F.when(F.size(d["terms"]) > 0, F.array(d))))
+    return long.select("id", "ord", "company", "section", "lines", found.alias("d")).where("d is not null").select("id", "ord", "company", "section", "lines", "d.raw", "d.signals", "d.terms")
 
 
 def pick_theme(docs: DataFrame, r: FieldRules = FIELDS) -> DataFrame:
