@@ -166,8 +166,17 @@ def _cluster_tables(assigned: DataFrame, kw: DataFrame, k: int, r: FieldRules) -
     return j.withColumn("label", label_parts(F.col("keywords"), F.col("name"), r))
 
 
+def written_once(docs: DataFrame) -> DataFrame:
+    """The term lists are read by several aggregates; they are written once so that no text is tokenised twice."""
+    return checkpointed(docs.drop("raw"))
+
+
 def seed_clusters(docs: DataFrame, r: FieldRules = FIELDS) -> DataFrame:
     """Clusters around the strongest frequent term of every posting."""
+    return _seed_clusters(written_once(docs), r)
+
+
+def _seed_clusters(docs: DataFrame, r: FieldRules) -> DataFrame:
     long = docs.select("section", "id", "ord", F.posexplode("terms").alias("pos", "label"))
     support = long.groupBy("section", "label").agg(F.count(F.lit(1)).alias("df"))
     n = docs.groupBy("section").agg(F.count(F.lit(1)).alias("n"))
@@ -190,6 +199,10 @@ def seed_clusters(docs: DataFrame, r: FieldRules = FIELDS) -> DataFrame:
 
 def theme_clusters(docs: DataFrame, r: FieldRules = FIELDS) -> DataFrame:
     """Clusters by theme."""
+    return _theme_clusters(written_once(docs), r)
+
+
+def _theme_clusters(docs: DataFrame, r: FieldRules) -> DataFrame:
     assigned = docs.select("section", F.col("theme.id").alias("key"), "id", "ord", "company", F.col("theme.tone").alias("tone"), F.col("theme.label").alias("name"),
                            evidence_line(F.col("terms"), F.when(F.size("lines") > 0, F.col("lines")).otherwise(F.col("signals"))).alias("evidence"))
     kw = (docs.select("section", F.col("theme.id").alias("key"), F.posexplode("terms").alias("pos", "label")).where("pos < 8")
@@ -203,13 +216,10 @@ def limited(clusters: DataFrame, r: FieldRules, order: Sequence | None = None) -
 
 
 def section_clusters(docs: DataFrame, r: FieldRules = FIELDS) -> DataFrame:
-    """Seeded clusters where a field has at least three, else themes; the detail text takes both. Unique by label.
-
-    The term lists are read by several aggregates; they are written once so that no text is tokenised twice.
-    """
-    docs = checkpointed(docs)
-    seeds = limited(seed_clusters(docs, r), r).withColumn("kind", F.lit("seed"))
-    themes = limited(theme_clusters(docs, r), r).withColumn("kind", F.lit("theme"))
+    """Seeded clusters where a field has at least three, else themes; the detail text takes both. Unique by label."""
+    docs = written_once(docs)
+    seeds = limited(_seed_clusters(docs, r), r).withColumn("kind", F.lit("seed"))
+    themes = limited(_theme_clusters(docs, r), r).withColumn("kind", F.lit("theme"))
     n = seeds.groupBy("section").agg(F.count(F.lit(1)).alias("seeds"))
     both = seeds.unionByName(themes).join(n, "section", "left").withColumn("seeds", F.coalesce("seeds", F.lit(0)))
     use = (F.col("section") == DETAIL) | ((F.col("kind") == "seed") == (F.col("seeds") >= 3))
