@@ -8,10 +8,11 @@ Every scan hashes words and shingles as arrays; a document's set is a sorted arr
    into tiles of bounded size, as packed arrays; shingles that one component has alone are dropped there. In a tile the sets of a
    shingle stand in order of size and meet within their size band only (n to 1.25 n).
 3. Rounds: in each size band of a shingle a few sets lead, and every other set of another component proposes the leader with which it
-   shares most shingles of the tile. Over all tiles each set keeps its best proposal, which is verified; links join components, and
-   rounds go on while they join many. A family of near copies becomes one component in work that is linear in its size.
+   shares most shingles of the tile. Over all tiles each set keeps its best proposal, which is verified if it shares enough; links join components,
+   and rounds go on while they join many. A family of near copies becomes one component in work that is linear in its size.
 4. The rest: all pairs across components that are left, if the hashed bitmap signatures allow it: the bit count of the difference of two
-   parity bitmaps is a lower bound of the sets' difference, hence bounds the overlap from above.
+   parity bitmaps is a lower bound of the sets' difference, hence bounds the overlap from above. A tile gets the bitmaps
+   of the sets left in it and tests a pair where it meets it, so that only pairs that may link are shuffled.
 5. Verification: pairs fetch whole texts and intersect the sorted arrays exactly. Components by alternating large-star and small-star steps.
 
 No step gathers the members of a group or component in the driver; no candidate is dropped by a cap. Scratch tables go when their last
@@ -31,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hiremill.llm.arrays import mixed, text_chunks, windows, words_of
-from hiremill.llm.shared import dropped, ship_package, written
+from hiremill.llm.shared import dropped, freed, ship_package, written
 
 SHINGLE_WORDS, PERCENT = 5, 80
 #: Frequent shingles that are broadcast at most; sets of one task that share a shingle before it is reported.
@@ -39,9 +40,11 @@ FREQUENT, SHARED_SETS = 1 << 18, 2
 #: Shingles that long sets have to share in their prefixes, which are so much longer; prefix shingles of a tile (about) and tiles at least; ratio of a size band and leaders of a shingle in it; proposals of a set in a tile;
 #: a round follows while the one before linked one of so many of its proposals; rounds at most.
 COMMON, TILE_KEYS, TILES, BAND, LEADERS, PROPOSALS, WORTH, ROUNDS = 4, 2_000_000, 24, 1.25, 4, 2, 8, 6
+#: A proposal is verified if it shares one of so many shingles of the prefix; the others are left to the last step, which tests all pairs.
+PROPOSED = 4
 #: Shingles that a task counts at once, nodes that a task packs at once, pairs that a tile tests at once, bits of an id filter for each id
 #: and at most.
-COUNTED, PACKED, TESTED, BITS_EACH, MAX_BITS = 3_000_000, 20_000, 1_000_000, 16, 1 << 27
+COUNTED, PACKED, TESTED, BITS_EACH, MAX_BITS = 3_000_000, 6_000, 1 << 18, 16, 1 << 27
 _SEEDS = [np.uint64(0x243F6A8885A308D3), np.uint64(0x13198A2E03707344)]
 
 
@@ -106,8 +109,8 @@ def common(n: np.ndarray | int, percent: int = PERCENT):
 
 
 def bitmap_words(n: int) -> int:
-    """64-bit words of the parity bitmap of a set of n: a power of two, four to eight bits for each shingle."""
-    return 1 << (n // 16).bit_length()
+    """64-bit words of the parity bitmap of a set of n: a power of two, one to two bits for each shingle."""
+    return 1 << (n // 64).bit_length()
 
 
 def parity_bitmap(hashes: np.ndarray, words: int) -> np.ndarray:
@@ -130,7 +133,12 @@ def nodes_of(docs: DataFrame, key: str, text: str) -> tuple[DataFrame, DataFrame
         seen, held, size = set(), [], 0
 
         def shared() -> pa.RecordBatch:
-            unique, n = np.unique(np.concatenate(held), return_counts=True)
+            every = np.concatenate(held)
+            held.clear()
+            every.sort()
+            # All but the first occurrence of each shingle: few, so that little is held beside the sorted array.
+            unique, again = np.unique(every[1:][every[1:] == every[:-1]], return_counts=True)
+            n = again + 1
             some = n >= SHARED_SETS
             none = pa.nulls(int(some.sum()), pa.int64())
             return pa.RecordBatch.from_arrays([none, none, pa.array(n[some].astype(np.int64)), pa.array(unique[some].view(np.int64))], names=names)
@@ -143,15 +151,16 @@ def nodes_of(docs: DataFrame, key: str, text: str) -> tuple[DataFrame, DataFrame
                 ns.append(np.diff(bounds))
                 nodes.append(node)
                 fresh = [i for i, x in enumerate(node.tolist()) if x not in seen and not seen.add(x)]
-                held += [hashes[bounds[i]:bounds[i + 1]] for i in fresh]
+                held += [np.concatenate([hashes[bounds[i]:bounds[i + 1]] for i in fresh])] if fresh else []
                 size += sum(int(bounds[i + 1] - bounds[i]) for i in fresh)
                 if size > COUNTED:
                     yield shared()
-                    held, size = [], 0
+                    size = 0
                     seen.clear()
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), batch.column(2), pa.array(np.concatenate(ns)), pa.array(np.concatenate(nodes))], names=names)
         if held:
             yield shared()
+        freed()
 
     source = docs.select(F.col(f"`{key}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text"), F.xxhash64(F.col(f"`{text}`")).alias("mark"))
     both = written(source.mapInArrow(run, "doc_id long, mark long, n long, node long"), "sets")
@@ -193,7 +202,7 @@ class IdFilter:
         held[words["word"].to_numpy()] = words["bits"].to_numpy()
         self.shared = ids.sparkSession.sparkContext.broadcast(held.view(np.uint64))
 
-    def place(self, *columns: str) -> Column:
+    def place(self, *columns: str | Column) -> Column:
         return F.pmod(F.xxhash64(*columns), F.lit(self.bits))
 
 
@@ -302,14 +311,26 @@ class Tile:
         code = np.unique(keys.astype(np.uint64) << np.uint64(32) | place[inverse][owner].astype(np.uint64))
         return cls(node[order], n[order], node[order], (code >> np.uint64(32)).astype(np.uint32), (code & np.uint64(2**32 - 1)).astype(np.int64))
 
+    def groups(self) -> tuple[np.ndarray, np.ndarray]:
+        """Start of each shingle's entries, and the number of the shingle of each entry."""
+        start = np.flatnonzero(np.append(True, self.keys[1:] != self.keys[:-1]))
+        return start, np.repeat(np.arange(len(start)), np.diff(np.append(start, len(self.keys))))
+
+    def fitting(self, at: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Bounds of the entries of the same shingle whose sizes allow a link with the entries `at`."""
+        size, most = self.n[self.who], int(self.n.max())
+        ordered, base = group * (most + 1) + size, group[at] * (most + 1)
+        return (np.searchsorted(ordered, base + -(-size[at] * PERCENT // 100), "left"),
+                np.searchsorted(ordered, base + np.minimum(size[at] * 100 // PERCENT, most), "right"))
+
     def across(self) -> Tile:
-        """Only the shingles that stand in several components, and their nodes."""
+        """Only the entries that have another component of fitting size at their shingle, and their nodes."""
         if not len(self.keys):
             return self
-        start = np.flatnonzero(np.append(True, self.keys[1:] != self.keys[:-1]))
         comp = self.comp[self.who]
-        several = np.minimum.reduceat(comp, start) != np.maximum.reduceat(comp, start)
-        stay = np.repeat(several, np.diff(np.append(start, len(self.keys))))
+        low, high = self.fitting(np.arange(len(comp)), self.groups()[1])
+        changes = np.cumsum(np.append(False, comp[1:] != comp[:-1]))
+        stay = changes[low] != changes[high - 1]
         used, who = np.unique(self.who[stay], return_inverse=True)
         return Tile(self.node[used], self.n[used], self.comp[used], self.keys[stay], who)
 
@@ -328,9 +349,10 @@ class Tile:
         return cls(node, np.frombuffer(row["sizes"], np.int32).astype(np.int64), node, np.frombuffer(row["keys"], np.uint32), np.frombuffer(row["who"], np.int32).astype(np.int64))
 
     def proposals(self, salt: int) -> pd.DataFrame:
-        """(a, b, shared): for each node b its best leaders a of other components, by the shingles at which a leads."""
+        """(a, b, shared, need): for each node b its best leaders a of other components, by the shingles at which a leads, and how many
+        such shingles over all tiles make a verification worth while."""
         if not len(self.keys):
-            return pd.DataFrame({"a": [], "b": [], "shared": []})
+            return pd.DataFrame({"a": [], "b": [], "shared": [], "need": []})
         band = np.floor(np.log(np.maximum(self.n, 1)) / math.log(BAND)).astype(np.int64)[self.who]
         start = np.flatnonzero(np.append(True, (self.keys[1:] != self.keys[:-1]) | (band[1:] != band[:-1])))
         sizes = np.diff(np.append(start, len(self.keys)))
@@ -350,30 +372,28 @@ class Tile:
         who, leader, shared = who[order], leader[order], shared[order]
         start = np.flatnonzero(np.append(True, who[1:] != who[:-1])) if len(who) else np.zeros(0, np.int64)
         best = np.arange(len(who)) - np.repeat(start, np.diff(np.append(start, len(who)))) < PROPOSALS
-        return pd.DataFrame({"a": self.node[leader[best]], "b": self.node[who[best]], "shared": shared[best]})
+        return pd.DataFrame({"a": self.node[leader[best]], "b": self.node[who[best]], "shared": shared[best],
+                             "need": np.maximum(common(self.n[who[best]]), prefix_length(self.n[who[best]]) // PROPOSED)})
 
-    def pairs(self) -> pd.DataFrame:
-        """(a, b, shared, need): all pairs of nodes of different components with a common shingle and fitting sizes, how many shingles of
-        the tile they share, and how many they must share over all tiles.
+    def pairs(self, nodes: np.ndarray, bitmaps: Bitmaps) -> pd.DataFrame:
+        """(a, b, shared, need): all pairs of nodes of different components with a common shingle and fitting sizes, whose bitmaps (in the
+        order of `nodes`) allow a link, how many shingles of the tile they share, and how many they must share over all tiles.
 
         The entries of a shingle that are not of its largest component meet all others of fitting size.
         """
         if not len(self.keys):
             return pd.DataFrame({"a": [], "b": [], "shared": [], "need": []})
         m, comp = len(self.node), self.comp[self.who]
-        start = np.flatnonzero(np.append(True, self.keys[1:] != self.keys[:-1]))
-        sizes = np.diff(np.append(start, len(self.keys)))
-        group = np.repeat(np.arange(len(start)), sizes)
+        sorter = np.argsort(nodes)
+        place = sorter[np.searchsorted(nodes, self.node, sorter=sorter)]
+        _, group = self.groups()
         _, number = np.unique(comp, return_inverse=True)
         code, held = np.unique(group * (number.max() + 1) + number, return_counts=True)
         order = np.lexsort((held, code // (number.max() + 1)))
         last = np.flatnonzero(np.append(code[order][1:] // (number.max() + 1) != code[order][:-1] // (number.max() + 1), True))
         largest = (code[order][last] % (number.max() + 1))[group]
         small = np.flatnonzero(number != largest)
-        size = self.n[self.who]
-        ordered = group * (int(self.n.max()) + 1) + size
-        low = np.searchsorted(ordered, group[small] * (int(self.n.max()) + 1) + -(-size[small] * PERCENT // 100), "left")
-        high = np.searchsorted(ordered, group[small] * (int(self.n.max()) + 1) + np.minimum(size[small] * 100 // PERCENT, int(self.n.max())), "right")
+        low, high = self.fitting(small, group)
         found: list[tuple[np.ndarray, np.ndarray]] = []
 
         def merged() -> tuple[np.ndarray, np.ndarray]:
@@ -381,7 +401,7 @@ class Tile:
             return codes, np.bincount(inverse, weights=np.concatenate([n for _, n in found])).astype(np.int64)
 
         ends = np.cumsum(high - low)
-        at = 0
+        at, held = 0, TESTED
         while at < len(small):
             upto = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + TESTED, "right")))
             for lo in range(0, int(max(high[at:upto] - low[at:upto])), TESTED):
@@ -391,10 +411,15 @@ class Tile:
                 right = np.arange(len(left)) - np.repeat(np.cumsum(met) - met, met) + np.repeat(begin, met)
                 new = (number[left] != number[right]) & ((number[right] == largest[right]) | (left < right))
                 x, y = self.who[left[new]], self.who[right[new]]
-                found.append(np.unique(np.minimum(x, y) * m + np.maximum(x, y), return_counts=True))
+                code, n = np.unique(np.minimum(x, y) * m + np.maximum(x, y), return_counts=True)
+                total = self.n[code // m] + self.n[code % m]
+                most = (total - bitmaps.difference(place[code // m], place[code % m])) // 2
+                able = 100 * most >= PERCENT * (total - most)
+                found.append((code[able], n[able]))
             at = upto
-            if sum(len(c) for c, _ in found) > TESTED:
+            if sum(len(c) for c, _ in found) > held:
                 found = [merged()]
+                held = max(TESTED, 2 * len(found[0][0]))
         codes, shared = merged() if found else (np.zeros(0, np.int64), np.zeros(0, np.int64))
         x, y = codes // m, codes % m
         return pd.DataFrame({"a": self.node[x], "b": self.node[y], "shared": shared, "need": np.minimum(common(self.n[x]), common(self.n[y]))})
@@ -419,7 +444,7 @@ class Bitmaps:
         for code in np.unique(widths).tolist():
             at, a, b = np.flatnonzero(widths == code), code >> 32, code & (2**32 - 1)
             low = min(a, b)
-            for part in np.array_split(at, 1 + len(at) * max(a, b) // 4_000_000):
+            for part in np.array_split(at, 1 + len(at) * max(a, b) // 500_000):
                 left, right = self.rows[a][self.place[x[part]]], self.rows[b][self.place[y[part]]]
                 out[part] = np.bitwise_count((folded(left, low) if a > low else left) ^ (folded(right, low) if b > low else right)).sum(1)
         return out
@@ -471,22 +496,23 @@ def _packed(docs: DataFrame, text: str, frequent: tuple[np.ndarray, np.ndarray],
                     seen.clear()
         if packed:
             yield report()
+        freed()
 
     return docs.select(F.col(f"`{text}`")).mapInArrow(run, "tile int, nodes binary, sizes binary, lens binary, keys binary")
 
 
-_TILE = "tile int, nodes binary, sizes binary, keys binary, who binary, a long, b long, shared long"
+_TILE = "tile int, nodes binary, sizes binary, keys binary, who binary, a long, b long, shared long, need long"
 
 
 def _out(tile: int, kept: Tile, salt: int) -> pd.DataFrame:
     """A row of the tile (if anything is left) and rows of its proposals."""
-    blank = {"nodes": None, "sizes": None, "keys": None, "who": None, "a": None, "b": None, "shared": None}
+    blank = {"nodes": None, "sizes": None, "keys": None, "who": None, "a": None, "b": None, "shared": None, "need": None}
     rows = pd.DataFrame([{**blank, **kept.row(tile)}] if len(kept.keys) else [], columns=["tile", *blank])
     found = kept.proposals(salt)
     if len(found):
         found = found.assign(tile=tile, nodes=None, sizes=None, keys=None, who=None)[["tile", *blank]]
-        rows = pd.concat([rows, found.astype({c: "Int64" for c in ("a", "b", "shared")})], ignore_index=True) if len(rows) else found
-    return rows.astype({c: "Int64" for c in ("a", "b", "shared")})
+        rows = pd.concat([rows, found.astype({c: "Int64" for c in ("a", "b", "shared", "need")})], ignore_index=True) if len(rows) else found
+    return rows.astype({c: "Int64" for c in ("a", "b", "shared", "need")})
 
 
 def first_tiles(docs: DataFrame, text: str, frequent: tuple[np.ndarray, np.ndarray], tiles: int) -> DataFrame:
@@ -498,22 +524,27 @@ def first_tiles(docs: DataFrame, text: str, frequent: tuple[np.ndarray, np.ndarr
     return written(_packed(docs, text, frequent, tiles).groupBy("tile").applyInPandas(run, _TILE), "tiles")
 
 
-def _members(tiles: DataFrame, roots: DataFrame) -> DataFrame:
-    """(at, node, comp): the nodes of each tile that have a component."""
+def _nodes(tiles: DataFrame) -> DataFrame:
+    """(at, node): the nodes of each tile."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for tile, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 node = np.frombuffer(blob, np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(node), tile, np.int32)), pa.array(node)], names=["at", "node"])
 
-    return tiles.where("nodes IS NOT NULL").select("tile", "nodes").mapInArrow(run, "at int, node long").join(roots, "node").select("at", "node", F.col("root").alias("comp"))
+    return tiles.where("nodes IS NOT NULL").select("tile", "nodes").mapInArrow(run, "at int, node long")
+
+
+def _members(tiles: DataFrame, roots: DataFrame) -> DataFrame:
+    """(at, node, comp): the nodes of each tile that have a component."""
+    return _nodes(tiles).join(roots, "node").select("at", "node", F.col("root").alias("comp"))
 
 
 def next_tiles(tiles: DataFrame, roots: DataFrame, salt: int) -> DataFrame:
     """Scratch table of the tiles with the shingles that several components have, and proposals across components."""
     def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if not len(left):
-            return pd.DataFrame(columns=["tile", "nodes", "sizes", "keys", "who", "a", "b", "shared"])
+            return pd.DataFrame(columns=["tile", "nodes", "sizes", "keys", "who", "a", "b", "shared", "need"])
         tile = Tile.read(left.iloc[0]).with_components(right["node"].to_numpy(np.int64), right["comp"].to_numpy(np.int64))
         return _out(int(left["tile"].iloc[0]), tile.across(), salt)
 
@@ -522,8 +553,8 @@ def next_tiles(tiles: DataFrame, roots: DataFrame, salt: int) -> DataFrame:
 
 
 def best_proposals(tiles: DataFrame) -> DataFrame:
-    """(a, b): for each node the leader with which it shares most over all tiles."""
-    each = tiles.where("a IS NOT NULL").groupBy("b", "a").agg(F.sum("shared").alias("shared"))
+    """(a, b): for each node the leader with which it shares most over all tiles, if that is enough."""
+    each = tiles.where("a IS NOT NULL").groupBy("b", "a").agg(F.sum("shared").alias("shared"), F.first("need").alias("need")).where("shared >= need")
     best = each.groupBy("b").agg(F.max_by("a", F.struct("shared", "a")).alias("a"))
     return written(best.select("a", "b"), "pairs")
 
@@ -533,35 +564,29 @@ def remaining_pairs(tiles: DataFrame, roots: DataFrame, docs: DataFrame, homes:
     def meet(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if not len(left):
             return pd.DataFrame({"a": [], "b": [], "shared": [], "need": []})
-        return Tile.read(left.iloc[0]).with_components(right["node"].to_numpy(np.int64), right["comp"].to_numpy(np.int64)).across().pairs()
+        node = right["node"].to_numpy(np.int64)
+        return Tile.read(left.iloc[0]).with_components(node, right["comp"].to_numpy(np.int64)).across().pairs(node, Bitmaps(right["bitmap"].tolist()))
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for _, _, data, offsets in text_chunks(batch.column(0)):
+            for _, _, data, offsets in text_chunks(batch.column(0).filter(pa.array(hits(wanted.value, batch.column(1))))):
                 hashes, bounds = shingle_sets(data, offsets)
                 blobs = [parity_bitmap(hashes[s:e], bitmap_words(int(e - s))).tobytes() for s, e in zip(bounds[:-1], bounds[1:])]
-                yield pa.RecordBatch.from_arrays([pa.array(set_digests(hashes, bounds)), pa.array(np.diff(bounds)), pa.array(blobs, pa.binary())], names=["node", "n", "bitmap"])
-
-    def bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            total = batch.column(2).to_numpy() + batch.column(4).to_numpy()
-            rows = batch.num_rows
-            difference = Bitmaps(batch.column(3).to_pylist() + batch.column(5).to_pylist()).difference(np.arange(rows), np.arange(rows, 2 * rows))
-            most = (total - difference) // 2
-            yield batch.select([0, 1]).filter(pa.array(100 * most >= PERCENT * (total - most)))
-
+                yield pa.RecordBatch.from_arrays([pa.array(set_digests(hashes, bounds)), pa.array(blobs, pa.binary())], names=["node", "bitmap"])
+        freed()
+
+    used = written(_nodes(tiles).select("node").distinct().join(homes, "node"), "used")
+    near = IdFilter(used, "doc_id")
+    wanted = near.shared
+    texts = docs.where(F.col(f"`{key}`").isNotNull()).select(F.col(f"`{text}`").alias("text"), near.place(F.col(f"`{key}`").cast("long")).alias("place"))
+    bitmaps = texts.mapInArrow(sets, "node long, bitmap binary").join(used.select("node"), "node", "left_semi").dropDuplicates(["node"])
+    bitmaps = written(bitmaps.join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("comp"), "bitmap"), "bitmaps")
     held = tiles.where("nodes IS NOT NULL").select("tile", "nodes", "sizes", "keys", "who")
-    met = held.groupBy("tile").cogroup(_members(tiles, roots).groupBy("at")).applyInPandas(meet, "a long, b long, shared long, need long")
+    met = held.groupBy("tile").cogroup(_nodes(tiles).join(bitmaps, "node").groupBy("at")).applyInPandas(meet, "a long, b long, shared long, need long")
     pair = [F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")]
-    near = met.groupBy(*pair).agg(F.sum("shared").alias("shared"), F.first("need").alias("need")).where("shared >= need")
-    near = written(near.select("a", "b"), "pairs")
-    used = written(near.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(homes, "node"), "used")
-    bitmaps = texts_of(docs, used, key, text).select("text").mapInArrow(sets, "node long, n long, bitmap binary").join(used.select("node"), "node", "left_semi").dropDuplicates(["node"])
-    bitmaps = written(bitmaps, "bitmaps")
-    both = near.join(bitmaps.select(F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("bitmap").alias("bits_a")), "a")
-    both = both.join(bitmaps.select(F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("bitmap").alias("bits_b")), "b")
-    out = written(both.select("a", "b", "n_a", "bits_a", "n_b", "bits_b").mapInArrow(bounded, "a long, b long"), "pairs")
-    for table in (near, used, bitmaps):
+    pairs = met.groupBy(*pair).agg(F.sum("shared").alias("shared"), F.first("need").alias("need")).where("shared >= need")
+    out = written(pairs.select("a", "b"), "pairs")
+    for table in (used, bitmaps):
         dropped(table)
     return out
 

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hiremill.llm.arrays import LEAD, SPACE, mixed, per_row, text_chunks, windows, words_of
-from hiremill.llm.shared import ship_package
+from hiremill.llm.shared import freed, ship_package
 
 #: Documents that train the scorer at most, hashed features, passes, step and penalty of the training, least score that is kept.
 SAMPLE_ROWS, FEATURES, PASSES, RATE, PENALTY, THRESHOLD = 20_000, 4096, 300, 2.0, 1e-4, 0.5
@@ -263,6 +263,7 @@ def score_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", sa
             score, posterior, words = _assess(batch.column(1), shared.value)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(words), pa.array(posterior), pa.array(score), pa.array(score >= threshold)], names=[key, "n_words", "label_good", "score", "kept"])
+        freed()
 
     kind = docs.schema[key].dataType.simpleString()
     return docs.select(key, text).mapInArrow(run, f"`{key}` {kind}, n_words long, label_good double, score double, kept boolean")
@@ -275,5 +276,6 @@ def keep_good(docs: DataFrame, text: str = "text", sample_rows: int = SAMPLE_ROW
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             yield batch.filter(pa.array(_assess(batch.column(text), shared.value)[0] >= threshold))
+        freed()
 
     return docs.mapInArrow(run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields))
