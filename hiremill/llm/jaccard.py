@@ -39,7 +39,7 @@ SHINGLE_WORDS, PERCENT = 5, 80
 FREQUENT, SHARED_SETS = 1 << 18, 2
 #: Shingles that long sets have to share in their prefixes, which are so much longer; prefix shingles of a tile (about) and tiles at least; ratio of a size band and leaders of a shingle in it; proposals of a set in a tile;
 #: a round follows while the one before linked one of so many of its proposals; rounds at most.
-COMMON, TILE_KEYS, TILES, BAND, LEADERS, PROPOSALS, WORTH, ROUNDS = 4, 2_000_000, 24, 1.25, 4, 2, 8, 6
+COMMON, TILE_KEYS, TILES, BAND, LEADERS, PROPOSALS, WORTH, ROUNDS = 4, 2_000_000, 24, 1.25, 4, 2, 32, 6
 #: A proposal is verified if it shares one of so many shingles of the prefix; the others are left to the last step, which tests all pairs.
 PROPOSED = 4
 #: Shingles that a task counts at once, nodes that a task packs at once, pairs that a tile tests at once, bits of an id filter for each id
@@ -109,8 +109,8 @@ def common(n: np.ndarray | int, percent: int = PERCENT):
 
 
 def bitmap_words(n: int) -> int:
-    """64-bit words of the parity bitmap of a set of n: a power of two, one to two bits for each shingle."""
-    return 1 << (n // 64).bit_length()
+    """64-bit words of the parity bitmap of a set of n: a power of two, four to eight bits for each shingle, one to two beyond 512 bits."""
+    return min(1 << (n // 16).bit_length(), max(8, 1 << (n // 64).bit_length()))
 
 
 def parity_bitmap(hashes: np.ndarray, words: int) -> np.ndarray:
