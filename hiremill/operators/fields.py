@@ -65,26 +65,47 @@ def term_label(token: Column, r: FieldRules) -> Column:
     return let(canon(token), named)
 
 
-def field_terms(values: Column, company: Column, section: Column, r: FieldRules = FIELDS) -> Column:
-    """Alias labels, then tokens, of a field's lines; distinct by canonical key, company tokens and weak terms out."""
-    own = F.transform(F.regexp_extract_all(company, F.lit("[A-Za-z][A-Za-z0-9]+|[가-힣]{2,}"), F.lit(0)), canon)
+def own_keys(company: Column) -> Column:
+    return F.transform(F.regexp_extract_all(company, F.lit("[A-Za-z][A-Za-z0-9]+|[가-힣]{2,}"), F.lit(0)), canon)
+
+
+def text_aliases(text: Column, r: FieldRules) -> Column:
+    """Labels of the aliases whose spellings a text holds."""
+    return let(canon(text), lambda k: compact(*[F.when(contains_any(k, [canon_py(x) for x in ps]), F.lit(label)) for label, ps in r.aliases])) if r.aliases else empty_list()
+
+
+def text_tokens(text: Column) -> Column:
+    """Repeated tokens are dropped before the costlier label and weakness tests."""
+    return F.array_distinct(F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0)))
+
+
+def raw_terms(aliases: Column, tokens: Column, own: Column, section: Column, r: FieldRules) -> Column:
+    """Alias labels, then the labels of the tokens, in order; distinct by canonical key, company tokens and weak terms out.
 
-    def build(p: Column) -> Column:
-        found = let(canon(p["t"]), lambda k: compact(*[F.when(contains_any(k, [canon_py(x) for x in ps]), F.lit(label)) for label, ps in r.aliases])) if r.aliases else empty_list()
-        # Repeated tokens are dropped before the costlier label and weakness tests.
-        tokens = F.transform(F.array_distinct(F.regexp_extract_all(p["t"], F.lit(TOKEN), F.lit(0))), lambda x: term_label(x, r))
-        once = distinct_by_canon(F.concat(found, tokens))
-        return F.filter(once, lambda x: let(canon(x), lambda k: (F.length(k) >= 2) & ~F.array_contains(p["o"], k)) & ~weak_field_term(x, p["s"], r))
+    The list is read from left to right: fewer tokens at the end give the same terms but for the last ones.
+    """
+    once = distinct_by_canon(F.concat(aliases, F.transform(tokens, lambda x: term_label(x, r))))
+    return F.filter(once, lambda x: let(canon(x), lambda k: (F.length(k) >= 2) & ~F.array_contains(own, k)) & ~weak_field_term(x, section, r))
 
-    return let(F.struct(F.array_join(non_blank(values), " ").alias("t"), own.alias("o"), section.alias("s")), build)
 
+def field_terms(values: Column, company: Column, section: Column, r: FieldRules = FIELDS) -> Column:
+    """Alias labels, then tokens, of a field's lines; distinct by canonical key, company tokens and weak terms out."""
+    shaped = F.struct(F.array_join(non_blank(values), " ").alias("t"), own_keys(company).alias("o"), section.alias("s"))
+    return let(shaped, lambda p: raw_terms(text_aliases(p["t"], r), text_tokens(p["t"]), p["o"], p["s"], r))
 
+
+#: Signals of a section, and how many tokens or lines are tried before all of them.
+MOST_SIGNALS, HEADS = 10, (20, 80)
+MADE = "struct<seen:int,raw:array<string>,labels:int,signals:array<string>,terms:array<string>>"
 SECTION_SIGNALS = {"detail_body": ["problem", "domain", "system", "model", "data"], "tasks": ["problem", "workflow", "system"],
                    "requirements": ["model", "system", "data", "domain"], "preferred": ["domain", "data", "workflow"], "skills": ["model", "data", "system"]}
 
 
 def section_documents(rows: DataFrame, sections: Sequence[str], r: FieldRules = FIELDS, facets: str | None = None) -> DataFrame:
-    """Long (section, id, ord, company, terms, theme columns, evidence lines): one row per posting and section with terms."""
+    """Long (section, id, ord, company, terms, theme columns, evidence lines): one row per posting and section with terms.
+
+    `raw` holds the raw terms of a row without signals; elsewhere nothing reads them and it is empty.
+    """
     have = set(rows.columns)
     parts = []
     for sec in sections:
@@ -97,19 +118,34 @@ def section_documents(rows: DataFrame, sections: Sequence[str], r: FieldRules =
         parts.append(F.struct(F.lit(sec).alias("section"), non_blank(F.transform(values, squeeze)).alias("lines"), extra.alias("extra")))
     long = rows.select("id", "ord", s("company").alias("company"), F.explode(F.array(*parts)).alias("d")).select("id", "ord", "company", "d.*")
 
-    def signals(d: Column) -> Column:
-        given = d["extra"] if facets and facets in have else F.concat(d["raw"], d["extra"])
-        labelled = F.slice(distinct_by_canon(F.transform(given, lambda x: term_label(x, r))), 1, 10)
-        return F.struct(d["raw"].alias("raw"), F.filter(labelled, lambda x: ~weak_field_term(x, d["section"], r)).alias("signals"), d["section"].alias("section"))
+    projected = bool(facets) and facets in have
+
+    def made(p: Column, n: Column) -> Column:
+        def signals(d: Column) -> Column:
+            given = p["extra"] if projected else F.concat(d, p["extra"])
+            labelled = F.slice(distinct_by_canon(F.transform(given, lambda x: term_label(x, r))), 1, MOST_SIGNALS)
+            return let(labelled, lambda x: F.struct(d.alias("raw"), F.size(x).alias("labels"), F.filter(x, lambda y: ~weak_field_term(y, p["section"], r)).alias("signals")))
+
+        def terms(d: Column) -> Column:
+            plus = F.when(F.size(d["signals"]) >= 2, d["signals"]).when(p["section"] == "skills", F.concat(d["signals"], d["raw"])).otherwise(d["signals"])
+            raw = F.when(F.size(d["signals"]) > 0, empty_list()).otherwise(d["raw"])
+            return F.struct(n.alias("seen"), raw.alias("raw"), d["labels"].alias("labels"), d["signals"].alias("signals"), distinct_by_canon(plus).alias("terms"))
+
+        return let(let(raw_terms(p["aliases"], F.slice(p["tokens"], F.lit(1), n), p["own"], p["section"], r), signals), terms)
+
+    # Signals come from the first labels. Where the head of the tokens gives all of them, and so many that nothing else is asked for, the
+    # rest of a long text is not worked on; otherwise the whole list is.
+    def rounds(p: Column) -> Column:
+        def enough(d: Column) -> Column:
+            full = F.lit(True) if projected else d["labels"] >= MOST_SIGNALS
+            return d.isNotNull() & ((F.size(p["tokens"]) <= d["seen"]) | (full & (F.size(d["signals"]) >= 2)))
 
-    def terms(d: Column) -> Column:
-        plus = F.when(F.size(d["signals"]) >= 2, d["signals"]).when(d["section"] == "skills", F.concat(d["signals"], d["raw"])).otherwise(d["signals"])
-        return F.struct(d["raw"].alias("raw"), d["signals"].alias("signals"), distinct_by_canon(plus).alias("terms"))
+        return F.aggregate(F.array(*map(F.lit, (*HEADS, 2**31 - 1))), F.expr(f"cast(null as {MADE})"), lambda d, n: F.when(enough(d), d).otherwise(made(p, n)))
 
     # A filter on the terms would be pushed below them and make all lists again, several times over; the rows come out of a generator instead.
-    raw = field_terms(F.col("lines"), F.col("company"), F.col("section"), r)
-    made = let(let(F.struct(raw.alias("raw"), F.col("extra").alias("extra"), F.col("section").alias("section")), signals), terms)
-    found = F.explode_outer(let(made, lambda d: F.when(F.size(d["terms"]) > 0, F.array(d))))
+    text = let(F.array_join(F.col("lines"), " "), lambda x: F.struct(text_aliases(x, r).alias("aliases"), text_tokens(x).alias("tokens")))
+    shaped = let(text, lambda x: F.struct(x["aliases"].alias("aliases"), x["tokens"].alias("tokens"), own_keys(F.col("company")).alias("own"), F.col("extra").alias("extra"), F.col("section").alias("section")))
+    found = F.explode_outer(let(let(shaped, rounds), lambda d: F.when(F.size(d["terms"]) > 0, F.array(d))))
     return long.select("id", "ord", "company", "section", "lines", found.alias("d")).where("d is not null").select("id", "ord", "company", "section", "lines", "d.raw", "d.signals", "d.terms")
 
 
@@ -139,7 +175,9 @@ def pick_theme(docs: DataFrame, r: FieldRules = FIELDS) -> DataFrame:
 def evidence_line(terms: Column, lines: Column) -> Column:
     """First line holding one of the three leading terms, else the first line, cut at 88 characters."""
     def choose(p: Column) -> Column:
-        hit = F.get(F.filter(p["l"], lambda x: let(canon(x), lambda k: F.exists(p["k"], lambda t: F.contains(k, t)))), 0)
+        # The first lines often hold it; the whole list is searched where they do not.
+        first = lambda lines: F.get(F.filter(lines, lambda x: let(canon(x), lambda k: F.exists(p["k"], lambda t: F.contains(k, t)))), 0)
+        hit = F.coalesce(*[first(F.slice(p["l"], 1, n)) for n in HEADS], F.when(F.size(p["l"]) > max(HEADS), first(p["l"])))
         return F.coalesce(hit, F.get(p["l"], 0), F.lit(""))
 
     line = let(F.struct(F.transform(F.slice(terms, 1, 3), canon).alias("k"), lines.alias("l")), choose)
