@@ -16,9 +16,9 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from typing import TYPE_CHECKING
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
@@ -26,7 +26,10 @@ from pyspark.sql import functions as F
 
 from hiremill.llm.arrays import Tokens, lower_strings, mixed, sliced, text_chunks, tokens_of
 from hiremill.llm.double_array import DoubleArray
-from hiremill.llm.shared import ship_package, written
+from hiremill.llm.shared import freed, ship_package, short_batches, written
+
+if TYPE_CHECKING:
+    import pandas as pd
 
 #: Least count of a candidate, most words, ranks, scale of the scores, per cent of a phrase's count that a longer one must reach to drop it.
 MIN_COUNT, MAX_WORDS, TOP, SCALE, COVERED = 30, 4, 2000, 2_000_000, 80
@@ -63,28 +66,41 @@ class Texts:
                     yield tokens, langs[first:end], mixed(tokens.hash ^ seeds[first + tokens.row]), run
 
 
+def grouped(codes: np.ndarray, n: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """The place of the first row of each code, and its sum of n (its rows, if n is not given)."""
+    order = np.argsort(codes, kind="stable")
+    ordered = codes[order]
+    start = np.flatnonzero(np.append(np.ones(min(len(codes), 1), bool), ordered[1:] != ordered[:-1]))
+    total = np.diff(np.append(start, len(codes))) if n is None else np.add.reduceat(n[order], start) if len(start) else np.zeros(0, np.int64)
+    return order[start], total
+
+
 def word_counts(texts: DataFrame) -> DataFrame:
-    """(lang, word, symbol, n) over all texts, each task's words summed before the shuffle."""
+    """(lang, word, symbol, n) over all texts, each chunk's and then each task's words summed before the shuffle."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
 
         def report() -> Iterator[pa.RecordBatch]:
-            unique, first, n = np.unique(np.concatenate([x[0] for x in held]), return_index=True, return_counts=True)
-            begin = np.concatenate([x[2] + at for x, at in zip(held, np.cumsum([0, *(len(x[1]) for x in held)]))])[first]
-            words = lower_strings(np.concatenate([x[1] for x in held]), begin, np.concatenate([x[3] for x in held])[first])
-            langs = pa.array([lang for x in held for lang in x[5]], pa.string())
-            row = np.concatenate([x[4] + at for x, at in zip(held, np.cumsum([0, *(len(x[5]) for x in held)]))])[first]
-            columns = [langs.take(pa.array(row)), words, pa.array(unique.view(np.int64)), pa.array(n.astype(np.int64))]
+            symbols = np.concatenate([x[0] for x in held])
+            first, n = grouped(symbols, np.concatenate([x[1] for x in held]))
+            begin, length = (np.concatenate([x[k] for x in held])[first] for k in (3, 4))
+            words = lower_strings(np.concatenate([x[2] for x in held]), begin + np.repeat(np.cumsum([0, *(len(x[2]) for x in held[:-1])]), [len(x[0]) for x in held])[first], length)
+            langs = pa.array([lang for x in held for lang in x[6]], pa.string())
+            row = np.concatenate([x[5] + at for x, at in zip(held, np.cumsum([0, *(len(x[6]) for x in held)]))])[first]
+            columns = [langs.take(pa.array(row)), words, pa.array(symbols[first].view(np.int64)), pa.array(n.astype(np.int64))]
             yield from sliced(pa.RecordBatch.from_arrays(columns, names=["lang", "word", "symbol", "n"]))
 
         for tokens, langs, symbols, _ in Texts().chunks(batches):
-            held.append((symbols, tokens.data.copy(), tokens.start, tokens.end - tokens.start, tokens.row, langs))
+            first, n = grouped(symbols)
+            held.append((symbols[first], n, tokens.data.copy(), tokens.start[first], (tokens.end - tokens.start)[first], tokens.row[first], langs))
             size += len(symbols)
             if size > HELD:
                 yield from report()
                 held, size = [], 0
         if held:
             yield from report()
+        held = []
+        freed()
 
     return texts.mapInArrow(run, "lang string, word string, symbol long, n long").groupBy("lang", "word", "symbol").agg(F.sum("n").alias("n"))
 
@@ -131,10 +147,10 @@ def observed(texts: DataFrame, phrases: DataFrame, size: int, tails: list[int],
             own, held, rows = shared.value, [], 0
 
             def report() -> Iterator[pa.RecordBatch]:
-                prefix, one, two = (np.concatenate([x[k] for x in held]) for k in range(3))
-                code = mixed(mixed(one) + mixed(two ^ np.uint64(0x5DEECE66D)) * np.uint64(3) + prefix.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-                _, first, n = np.unique(code, return_index=True, return_counts=True)
-                columns = [pa.array(prefix[first].astype(np.int32)), *(pa.array(x[first].view(np.int64)) for x in (one, two)), pa.array(n.astype(np.int64))]
+                first, n = grouped(*(np.concatenate([x[k] for x in held]) for k in range(2)))
+                # One column is put together at a time.
+                columns = [pa.array(np.concatenate([x[k] for x in held])[first]) for k in range(2, 5)] + [pa.array(n)]
+                held.clear()
                 yield from sliced(pa.RecordBatch.from_arrays(columns, names=["prefix", "one", "two", "n"]))
 
             for _, _, symbols, runs in Texts().chunks(batches):
@@ -148,13 +164,19 @@ def observed(texts: DataFrame, phrases: DataFrame, size: int, tails: list[int],
                     if own.whole:
                         at = at[place[at + tail] >= 0]
                     if tail in tails and len(at):
-                        held.append((place[at], symbols[at + size], symbols[at + size + 1] if tail == 2 else np.zeros(len(at), np.uint64)))
+                        prefix, one = place[at], symbols[at + size]
+                        two = symbols[at + size + 1] if tail == 2 else np.zeros(len(at), np.uint64)
+                        codes = mixed(mixed(one) + mixed(two ^ np.uint64(0x5DEECE66D)) * np.uint64(3) + prefix.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+                        # What a chunk repeats is held once.
+                        first, n = grouped(codes)
+                        held.append((codes[first], n, prefix[first].astype(np.int32), one[first].view(np.int64), two[first].view(np.int64)))
                         rows += len(at)
                 if rows > HELD:
                     yield from report()
-                    held, rows = [], 0
+                    rows = 0
             if held:
                 yield from report()
+            freed()
 
         def named(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -188,8 +210,12 @@ def counted(texts: DataFrame, candidates: DataFrame) -> DataFrame:
             for at in range(0, len(total), SHARD):
                 if total[at:at + SHARD].any():
                     yield pa.RecordBatch.from_arrays([pa.array([at], pa.int32()), pa.array([part], pa.int32()), pa.array([total[at:at + SHARD].tobytes()], pa.binary())], names=["at", "part", "n"])
+            del total
+            freed()
 
         def summed(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
+            import pandas as pd
+
             total = np.frombuffer(frame["n"].iloc[0], np.int64).copy()
             for more in frame["n"].iloc[1:]:
                 total += np.frombuffer(more, np.int64)
@@ -256,12 +282,13 @@ def mine(docs: DataFrame, text: str = "text", lang: str = "lang", least: int = M
     """
     ship_package(docs.sparkSession)
     texts = docs.select(F.col(text).alias("text"), F.col(lang).cast("string").alias("lang"))
-    words = written(word_counts(texts), "words")
-    frequent = words.where(F.col("n") >= least)
-    pairs = observed(texts, frequent.select(F.array("symbol").alias("symbols")), 1, [1], least)
-    longer = observed(texts, pairs.select("symbols"), 2, [1, 2], least)
-    candidates = pairs.select("symbols").unionByName(longer.select("symbols"))
-    phrases = counted(texts, candidates)
+    with short_batches(docs.sparkSession):
+        words = written(word_counts(texts), "words")
+        frequent = words.where(F.col("n") >= least)
+        pairs = observed(texts, frequent.select(F.array("symbol").alias("symbols")), 1, [1], least)
+        longer = observed(texts, pairs.select("symbols"), 2, [1, 2], least)
+        candidates = pairs.select("symbols").unionByName(longer.select("symbols"))
+        phrases = counted(texts, candidates)
     best = written(uncovered(scored(phrases, frequent)), "scored")
     each = best.select("symbols", F.posexplode("symbols").alias("at", "symbol")).join(frequent.select("symbol", "lang", "word"), "symbol")
     named = each.groupBy("symbols").agg(F.first("lang").alias("lang"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "word"))), lambda x: x["word"]), " ").alias("phrase"))
