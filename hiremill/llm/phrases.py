@@ -9,7 +9,8 @@
    positions level by level, bincounts the accepting states, and these shards are summed.
 
 A language's words are symbols of their own (64-bit hashes of language and word), so one trie holds all languages. A trie holds at most
-about PART_ENTRIES phrases; where there are more, they are dealt into parts by hash and the texts are read once for each part.
+about PART_ENTRIES phrases; where there are more, they are dealt into parts by hash and the texts are read once for each part. A filter
+of bits of all phrases then tells what the other parts hold; what it lets pass wrongly falls below the threshold.
 """
 
 from __future__ import annotations
@@ -34,7 +35,9 @@ if TYPE_CHECKING:
 #: Least count of a candidate, most words, ranks, scale of the scores, per cent of a phrase's count that a longer one must reach to drop it.
 MIN_COUNT, MAX_WORDS, TOP, SCALE, COVERED = 30, 4, 2000, 2_000_000, 80
 #: Phrases of a trie (about), positions that a task holds before it reports, bins of the scores, counts of a shard and parts of the shards.
-PART_ENTRIES, HELD, SCORE_BINS, SHARD, SHARDS = 1 << 20, 1_000_000, 1000, 4096, 64
+PART_ENTRIES, HELD, SCORE_BINS, SHARD, SHARDS = 1 << 21, 1_000_000, 1000, 4096, 64
+#: Bits of the filter of all phrases at most. Beyond some 10^7 phrases it lets more candidates pass; the results stay right.
+FILTER_BITS = 1 << 27
 NO_LANGUAGE = "und"
 
 #: Bytes that end a piece, and bytes that are in no word.
@@ -105,42 +108,94 @@ def word_counts(texts: DataFrame) -> DataFrame:
     return texts.mapInArrow(run, "lang string, word string, symbol long, n long").groupBy("lang", "word", "symbol").agg(F.sum("n").alias("n"))
 
 
+class PhraseFilter:
+    """Bits of the hashes of all phrases of one length: has() is true for each of them, and seldom for others."""
+
+    def __init__(self, parts: Iterator[np.ndarray], n: int):
+        bits = min(FILTER_BITS, 1 << max(10, (16 * n).bit_length()))
+        found = np.zeros(bits, bool)
+        for phrases in parts:
+            for at in self._places(list(phrases.T), bits):
+                found[at] = True
+        self.bits, self.size = np.packbits(found, bitorder="little"), bits
+
+    @staticmethod
+    def _places(words: list[np.ndarray], bits: int) -> tuple[np.ndarray, np.ndarray]:
+        code = np.zeros(len(words[0]), np.uint64)
+        for word in words:
+            code = mixed(code * np.uint64(3) ^ word)
+        return code & np.uint64(bits - 1), code >> np.uint64(32) & np.uint64(bits - 1)
+
+    def has(self, words: list[np.ndarray]) -> np.ndarray:
+        one, two = (self.bits[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8) & 1 for at in self._places(words, self.size))
+        return (one & two).astype(bool)
+
+
 class PhraseTrie:
-    """A part of the phrases, given as rows of 64-bit symbols filled up with 0, in a double array over the symbols that occur."""
-
-    def __init__(self, phrases: list[list[int]], whole: bool):
-        self.width = max((len(p) for p in phrases), default=1)
-        self.phrases = np.zeros((len(phrases), self.width), np.uint64)
-        for k in range(self.width):
-            own = [i for i, p in enumerate(phrases) if len(p) > k]
-            self.phrases[own, k] = np.asarray([phrases[i][k] for i in own], np.int64).view(np.uint64)
-        used = np.arange(self.width) < np.asarray([len(p) for p in phrases]).reshape(-1, 1)
-        self.symbols = np.unique(self.phrases[used])
-        ids = np.where(used, np.searchsorted(self.symbols, self.phrases) + 1, 0)
-        self.array, self.whole = DoubleArray(ids, len(self.symbols)), whole
+    """A part of the phrases, given as rows of 64-bit symbols filled up with 0, in a double array over the symbols that occur.
+
+    others: filter of the phrases of all parts, None where this part is the only one.
+    """
+
+    def __init__(self, phrases: np.ndarray, others: PhraseFilter | None):
+        self.width = phrases.shape[1]
+        used = phrases != 0
+        self.symbols, place, often = np.unique(phrases[used], return_inverse=True, return_counts=True)
+        # The more phrases hold a symbol the smaller its id, so that children lie close together.
+        self._rank = np.empty(len(often), np.int32)
+        self._rank[np.argsort(-often, kind="stable")] = np.arange(1, len(often) + 1)
+        self._ids = np.zeros(phrases.shape, np.int32)
+        self._ids[used] = self._rank[place]
+        self.array, self.others = DoubleArray(self._ids, len(self.symbols)), others
+
+    def __len__(self) -> int:
+        return len(self._ids)
+
+    def phrases(self, at: np.ndarray) -> np.ndarray:
+        """Rows of symbols of the phrases of those places."""
+        by_rank = np.zeros(len(self.symbols) + 1, np.uint64)
+        by_rank[self._rank] = self.symbols
+        return by_rank[self._ids[at]]
 
     def ids(self, symbols: np.ndarray) -> np.ndarray:
         if not len(self.symbols):
             return np.zeros(len(symbols), np.int64)
         at = np.minimum(np.searchsorted(self.symbols, symbols), len(self.symbols) - 1)
-        return np.where(self.symbols[at] == symbols, at + 1, 0)
+        return np.where(self.symbols[at] == symbols, self._rank[at], 0)
+
+
+def _matrix(phrases: DataFrame) -> np.ndarray:
+    """Rows of symbols, filled up with 0. No symbol is 0 but by a chance of 2**-64."""
+    column = phrases.select("symbols").toArrow()["symbols"].combine_chunks()
+    if not len(column):
+        return np.zeros((0, 1), np.uint64)
+    size = column.value_lengths().to_numpy().astype(np.int64)
+    out = np.zeros((len(size), int(size.max())), np.uint64)
+    out[np.arange(out.shape[1]) < size[:, None]] = column.flatten().to_numpy().view(np.uint64)
+    return out
+
+
+def tries(phrases: DataFrame, filtered: bool = False) -> Iterator[PhraseTrie]:
+    """The phrases (symbols array<long>) as tries of about PART_ENTRIES each. filtered: parts know the phrases of the others, which have one length."""
+    n = phrases.count()
+    parts = max(1, -(-n // PART_ENTRIES))
 
+    def matrices() -> Iterator[np.ndarray]:
+        for part in range(parts):
+            yield _matrix(phrases if parts == 1 else phrases.where(F.pmod(F.xxhash64("symbols"), F.lit(parts)) == part))
 
-def tries(phrases: DataFrame) -> Iterator[PhraseTrie]:
-    """The phrases (symbols array<long>) as tries of about PART_ENTRIES each."""
-    parts = max(1, -(-phrases.count() // PART_ENTRIES))
-    for part in range(parts):
-        rows = phrases.where(F.pmod(F.xxhash64("symbols"), F.lit(parts)) == part).select("symbols").toArrow()
-        yield PhraseTrie(sorted(rows["symbols"].to_pylist()), parts == 1)
+    others = PhraseFilter(matrices(), n) if filtered and parts > 1 else None
+    for found in matrices():
+        yield PhraseTrie(found, others)
 
 
 def observed(texts: DataFrame, phrases: DataFrame, size: int, tails: list[int], least: int) -> DataFrame:
     """(symbols, n): candidates that extend the phrases of `size` words by each number of words in tails, at least `least` times.
 
-    Where one trie holds all phrases, every phrase of `size` words inside the candidate is one of them.
+    Every phrase of `size` words inside the candidate is one of them, for all that a filter tells where one trie does not hold all.
     """
     found = []
-    for trie in tries(phrases):
+    for trie in tries(phrases, True):
         shared = texts.sparkSession.sparkContext.broadcast(trie)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
@@ -161,8 +216,7 @@ def observed(texts: DataFrame, phrases: DataFrame, size: int, tails: list[int],
                 for tail in range(1, max(tails) + 1):
                     at = at[at + size - 1 + tail < len(symbols)]
                     at = at[runs[at + size - 1 + tail] == runs[at]]
-                    if own.whole:
-                        at = at[place[at + tail] >= 0]
+                    at = at[place[at + tail] >= 0 if own.others is None else own.others.has([symbols[at + tail + k] for k in range(size)])]
                     if tail in tails and len(at):
                         prefix, one = place[at], symbols[at + size]
                         two = symbols[at + size + 1] if tail == 2 else np.zeros(len(at), np.uint64)
@@ -180,7 +234,7 @@ def observed(texts: DataFrame, phrases: DataFrame, size: int, tails: list[int],
 
         def named(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                head = shared.value.phrases[batch.column(0).to_numpy()].view(np.int64).tolist()
+                head = shared.value.phrases(batch.column(0).to_numpy())[:, :size].view(np.int64).tolist()
                 ends = zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())
                 symbols = [[*h, one] if two == 0 else [*h, one, two] for h, (one, two) in zip(head, ends)]
                 yield pa.RecordBatch.from_arrays([pa.array(symbols, pa.list_(pa.int64())), batch.column(3)], names=["symbols", "n"])
@@ -201,7 +255,7 @@ def counted(texts: DataFrame, candidates: DataFrame) -> DataFrame:
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             own = shared.value
-            total = np.zeros(len(own.phrases), np.int64)
+            total = np.zeros(len(own), np.int64)
             for _, _, symbols, runs in Texts().chunks(batches):
                 for _, state in own.array.walk(own.ids(symbols), runs, own.width):
                     ends = own.array.accept[state]
@@ -226,7 +280,7 @@ def counted(texts: DataFrame, candidates: DataFrame) -> DataFrame:
                 for at, blob in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist()):
                     n = np.frombuffer(blob, np.int64)
                     some = np.flatnonzero(n)
-                    symbols = [[x for x in row if x] for row in shared.value.phrases[at + some].view(np.int64).tolist()]
+                    symbols = [[x for x in row if x] for row in shared.value.phrases(at + some).view(np.int64).tolist()]
                     yield pa.RecordBatch.from_arrays([pa.array(symbols, pa.list_(pa.int64())), pa.array(n[some])], names=["symbols", "a"])
 
         # Shards meet in two steps, so that no task gets more than a share of them.
